@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, toxicity
+from . import bpe, langid, license_scan, token_tree, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(read(spark, sf_dir, "documents"))
 
@@ -24,9 +28,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tree.recount(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op4_bpe_codec, op6_toxicity)}
+    own = (op1_warc_normaliser, op2_language_id, op4_bpe_codec, op6_toxicity, op8_license_scan, op9_token_counts)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_normaliser": warc.ORACLE_SQL, "op8_license_scan": license_scan.oracle_sql()}
