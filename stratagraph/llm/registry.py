@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, token_tree, toxicity, warc
+from . import bpe, langid, license_scan, ngram_join, token_tree, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -37,9 +41,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_warc_normaliser, op2_language_id, op4_bpe_codec, op6_toxicity, op8_license_scan, op9_token_counts)
+    own = (op1_warc_normaliser, op2_language_id, op4_bpe_codec, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_normaliser": warc.ORACLE_SQL, "op8_license_scan": license_scan.oracle_sql()}
+    return {"op1_warc_normaliser": warc.ORACLE_SQL, "op7_ngram_join": ngram_join.ORACLE_SQL, "op8_license_scan": license_scan.oracle_sql()}
