@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,14 +271,14 @@ def _inside(table: pa.Table) -> pa.Table:
     return _edges([(int(handle[j]), int(handle[i])) for i, j in enumerate(label) if i != j])
 
 
-def _between(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between two lots of sets, one for each pair of components that they have on both sides."""
+def _between(both: pa.Table) -> pa.Table:
+    """Links between the sets of side 0 and those of side 1: a forest of them, or all if they are few."""
+    left, right = (both.filter(pc.equal(both.column("side"), k)) for k in (0, 1))
     if not left.num_rows or not right.num_rows:
         return _edges([])
     (ha, a), (hb, b) = _sets_of(left), _sets_of(right)
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     i, j = np.nonzero(linked(intersections(a, b), na[:, None], nb[None, :]))
-    # a link to each set, from the first that has one; and those among the first ones follow from a chain
     pairs = {(int(ha[x]), int(hb[y])) for x, y in zip(i, j, strict=True)} if len(i) < 4 * (len(a) + len(b)) else None
     if pairs is None:
         seen_a, seen_b, pairs = np.zeros(len(a), bool), np.zeros(len(b), bool), set()
@@ -298,14 +299,16 @@ def verified_links(members: DataFrame) -> DataFrame:
     if large.limit(1).count() == 0:
         drop_settled(large)
         return links
+    sides = lambda x, y: x.withColumn("side", F.lit(0)).unionByName(y.withColumn("side", F.lit(1)))
     # blocks of a large cluster: by hash, so many that one has BLOCK_BYTES / 2 on average
+    each = F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")
     blocks = F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES / 2)).cast("int")
     in_blocks = large.select("cluster", "handle", "elements", blocks.alias("blocks"), F.pmod(F.xxhash64("handle"), blocks).alias("block"))
     own = in_blocks.groupBy("cluster", "block").applyInArrow(_inside, "a long, b long")
     # the sets of the smallest hashes are compared with all blocks; a heap of CENTRES for each cluster is all that is kept of it
     centre = large.groupBy("cluster").agg(F.max(F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES / 2))).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
-    chosen = large.join(centre, "cluster").where(F.pmod(F.xxhash64("handle", F.lit(7)), F.col("n")) < CENTRES).select("cluster", "handle", "elements", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"))
-    spread = chosen.groupBy("cluster", "block").cogroup(in_blocks.groupBy("cluster", "block")).applyInArrow(_between, "a long, b long")
+    chosen = large.join(centre, "cluster").where(F.pmod(F.xxhash64("handle", F.lit(7)), F.col("n")) < CENTRES).select("cluster", "handle", "elements", F.explode(each).alias("block"))
+    spread = sides(chosen, in_blocks.drop("blocks")).groupBy("cluster", "block").applyInArrow(_between, "a long, b long")
     first = settle(own.unionByName(spread), "large-links")
     roots = components(first, "large-components")
     labelled = in_blocks.join(roots, in_blocks["handle"] == roots["node"], "left").select("cluster", "block", "blocks", "handle", "elements", F.coalesce("root", "handle").alias("root"))
@@ -313,11 +316,11 @@ def verified_links(members: DataFrame) -> DataFrame:
     main = count.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     marked = settle(labelled.join(main, "cluster"), "large-labelled")
     # every pair that could still join two components has a set outside the largest one
-    rest = marked.where("root <> main").select("cluster", "handle", "elements", F.col("block").alias("from"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"))
-    all_ = marked.select("cluster", "handle", "elements", "block", "blocks").withColumn("from", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long"))
+    rest = marked.where("root <> main").select("cluster", "handle", "elements", F.col("block").alias("from"), F.explode(each).alias("block"))
+    all_ = marked.select("cluster", "handle", "elements", "block", "blocks").withColumn("from", F.explode(each))
     waiting = marked.where("root <> main").groupBy("cluster", F.col("block").alias("from")).agg(F.count(F.lit(1)).alias("w")).select("cluster", "from")
     all_ = all_.join(waiting, ["cluster", "from"], "left_semi").select("cluster", "handle", "elements", "from", "block")
-    last = rest.groupBy("cluster", "from", "block").cogroup(all_.groupBy("cluster", "from", "block")).applyInArrow(_between, "a long, b long")
+    last = sides(rest, all_).groupBy("cluster", "from", "block").applyInArrow(_between, "a long, b long")
     return links.unionByName(first).unionByName(last)
 
 
