@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, ngram_join, token_tree, toxicity, warc
+from . import bpe, langid, license_scan, ngram_join, suffix_dedup, token_tree, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_warc_normaliser, op2_language_id, op4_bpe_codec, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts)
+    own = (op1_warc_normaliser, op2_language_id, op3_suffix_dedup, op4_bpe_codec, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts)
     return {f.__name__: f for f in own}
 
 
