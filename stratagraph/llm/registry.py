@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, ngram_join, suffix_dedup, token_tree, toxicity, warc
+from . import bpe, decontam, langid, license_scan, ngram_join, suffix_dedup, token_tree, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_warc_normaliser, op2_language_id, op3_suffix_dedup, op4_bpe_codec, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts)
+    own = (op1_warc_normaliser, op2_language_id, op3_suffix_dedup, op4_bpe_codec, op5_decontamination, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts)
     return {f.__name__: f for f in own}
 
 

@@ -6,6 +6,8 @@ import numpy as np
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = _SPACES.copy()
+_MARKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -22,11 +24,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z in lower case, and how many each text has."""
+def words(texts: list[str], punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z in lower case, and how many each text has; with punctuation, ASCII marks part words as blanks do."""
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = _LOWER[np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8)]
-    space = _SPACES[data]
+    space = (_MARKS if punctuation else _SPACES)[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
