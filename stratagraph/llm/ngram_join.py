@@ -355,6 +355,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return linked_rows.unionByName(alone)
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component: that with the smallest id; rows without an id come after all others."""
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 61))
+    key = "__id"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), stand_in))
+    kept = join(keyed, key, text_col).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
+    return keyed.join(kept, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key]).drop(key)
+
+
 ORACLE_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents

@@ -362,6 +362,14 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     return rows.mapInArrow(per_slice(run), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def strip_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with what is left of each text (a character cut through becomes U+FFFD), and its length in size_col if there is one; null texts stay null."""
+    done = strip(docs, id_col, text_col)
+    left = F.when(F.col(f"row.{text_col}").isNotNull(), F.make_valid_utf8(F.col("kept").cast("string")))
+    cols = [left.alias(c) if c == text_col else F.char_length(left).cast(docs.schema[c].dataType).alias(c) if c == size_col else F.col(f"row.{c}").alias(c) for c in docs.columns]
+    return done.select(*cols)
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = strip(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)

@@ -205,6 +205,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return docs.select(id_col, text_col).mapInArrow(per_slice(run, text_col), f"`{id_col}` {kind}, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic."""
+
+    def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return batch.filter(pa.array(scores(model, texts) < 0.5))
+
+    return docs.mapInArrow(per_slice(run, text_col), docs.schema)
+
+
 def detect(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learns from the labels whose crc32(doc_id) mod 5 is not 0, and scores all of docs."""
     model = fit_table(docs, labels.where(id_hash("doc_id") % 5 != 0), sample=sample)
