@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import visible_to_workers
+
 #: Bytes of text that one vectorised step handles at once.
 SLICE_BYTES = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return visible_to_workers(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, license_scan, ngram_join, suffix_dedup, token_tree, toxicity, warc
+from . import bpe, decontam, langid, license_scan, media, ngram_join, suffix_dedup, token_tree, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tree.recount(read(spark, sf_dir, "documents"))
 
 
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.find_edited(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_warc_normaliser, op2_language_id, op3_suffix_dedup, op4_bpe_codec, op5_decontamination, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts)
+    own = (op1_warc_normaliser, op2_language_id, op3_suffix_dedup, op4_bpe_codec, op5_decontamination, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts, op10_media_copies)
     return {f.__name__: f for f in own}
 
 
