@@ -52,24 +52,24 @@ def binomial_tails(df: DataFrame, k: str, s: str, n: str, name: str = "p_value")
     follows from how counts are spread and not from the rows.
     """
     spark = df.sparkSession
-    cases = df.select(F.col(k).cast("long").alias("__k"), F.col(s).cast("long").alias("__s"), F.col(n).cast("long").alias("__n")).distinct()
-    most = cases.agg(F.coalesce(F.max("__s"), F.lit(0))).first()[0]
+    cases = df.select(F.col(k).cast("long").alias("__tail_k"), F.col(s).cast("long").alias("__tail_s"), F.col(n).cast("long").alias("__tail_n")).distinct()
+    most = cases.agg(F.coalesce(F.max("__tail_s"), F.lit(0))).first()[0]
     logs = spark.range(0, max(0, most) + 1).select(F.col("id").alias("x"), F.when(F.col("id") > 0, F.ln(F.col("id").cast("double"))).otherwise(0.0).alias("l"))
     width = 4096
     block = F.floor(F.col("x") / width)
     per_block = logs.groupBy(block.alias("blk")).agg(F.sum("l").alias("t")).select("blk", (F.sum("t").over(W.orderBy("blk")) - F.col("t")).alias("b"))  # most / width rows
     facts = logs.withColumn("blk", block).withColumn("own", F.sum("l").over(W.partitionBy("blk").orderBy("x"))).join(per_block, "blk").select("x", (F.col("own") + F.col("b")).alias("lf"))
-    valid = cases.where((F.col("__n") > 1) & (F.col("__s") > 0) & (F.col("__k") > 0) & (F.col("__k") <= F.col("__s")))
-    terms = valid.withColumn("i", F.explode(F.sequence("__k", "__s")))
+    valid = cases.where((F.col("__tail_n") > 1) & (F.col("__tail_s") > 0) & (F.col("__tail_k") > 0) & (F.col("__tail_k") <= F.col("__tail_s")))
+    terms = valid.withColumn("i", F.explode(F.sequence("__tail_k", "__tail_s")))
     f = lambda c, a: facts.select(F.col("x").alias(c), F.col("lf").alias(a))
-    terms = terms.join(f("__s", "ls"), "__s").join(f("i", "li"), "i").withColumn("r", F.col("__s") - F.col("i")).join(f("r", "lr"), "r")
-    p = F.lit(1.0) / F.col("__n")
+    terms = terms.join(f("__tail_s", "ls"), "__tail_s").join(f("i", "li"), "i").withColumn("r", F.col("__tail_s") - F.col("i")).join(f("r", "lr"), "r")
+    p = F.lit(1.0) / F.col("__tail_n")
     term = F.exp(F.col("ls") - F.col("li") - F.col("lr") + F.col("i") * F.ln(p) + F.col("r") * F.ln(1.0 - p))
-    tails = terms.groupBy("__k", "__s", "__n").agg(F.least(F.lit(1.0), F.sum(term)).alias("__p"))
-    on = [F.col(k).cast("long") == F.col("__k"), F.col(s).cast("long") == F.col("__s"), F.col(n).cast("long") == F.col("__n")]
+    tails = terms.groupBy("__tail_k", "__tail_s", "__tail_n").agg(F.least(F.lit(1.0), F.sum(term)).alias("__tail_p"))
+    on = [F.col(k).cast("long") == F.col("__tail_k"), F.col(s).cast("long") == F.col("__tail_s"), F.col(n).cast("long") == F.col("__tail_n")]
     out = df.join(tails, on[0] & on[1] & on[2], "left")
-    value = F.when((F.col(n) <= 1) | (F.col(s) <= 0), F.lit(None).cast("double")).when(F.col(k) <= 0, 1.0).when(F.col(k) > F.col(s), 0.0).otherwise(F.col("__p"))
-    return out.withColumn(name, value).drop("__k", "__s", "__n", "__p")
+    value = F.when((F.col(n) <= 1) | (F.col(s) <= 0), F.lit(None).cast("double")).when(F.col(k) <= 0, 1.0).when(F.col(k) > F.col(s), 0.0).otherwise(F.col("__tail_p"))
+    return out.withColumn(name, value).drop("__tail_k", "__tail_s", "__tail_n", "__tail_p")
 
 
 def with_enrichment(df: DataFrame, n: str = "n_determinants") -> DataFrame:
