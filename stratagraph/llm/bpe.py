@@ -25,7 +25,7 @@ from .common import per_slice
 #: Chunks are of 2^AVERAGE_BITS bytes on average, and of at least and at most so many.
 AVERAGE_BITS, LEAST, MOST = 10, 256, 8192
 #: What a task keeps: characters of chunks, and words. Beyond that it starts anew.
-CHUNK_CHARS, WORDS, WORD_CHARS = 24_000_000, 400_000, 48
+CHUNK_CHARS, WORDS, WORD_CHARS = 12_000_000, 200_000, 48
 BLANKS = re.compile("[ \n]")
 _WINDOW = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)

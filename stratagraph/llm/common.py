@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import visible_to_workers
 
 #: Bytes of text that one vectorised step handles at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,17 +69,39 @@ def text_or_empty(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the batches with about limit characters of text each; a longer text stands alone."""
+    """Parts of the batches with about limit bytes of text each; a longer text stands alone. Texts become Python's a part at a time."""
     for batch in batches:
-        texts = text_or_empty(batch.column(column))
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(sizes):
+            if size and size + n > limit:
+                part = batch.slice(start, i - start)
+                yield part, text_or_empty(part.column(column))
                 start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n
+        if start < len(sizes):
+            part = batch.slice(start)
+            yield part, text_or_empty(part.column(column))
+
+
+def trim() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """fn for mapInArrow, with trim() after each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], column: str = "text", limit: int = SLICE_BYTES):
@@ -87,4 +113,4 @@ def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None],
             if out is not None and out.num_rows:
                 yield out
 
-    return run
+    return tidy(run)

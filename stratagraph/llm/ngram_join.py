@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, per_slice, settle
+from .common import drop_settled, per_slice, settle, tidy
 from .components import components
 from .textcore import mix, sets
 
@@ -201,9 +201,9 @@ def candidate_edges(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
 
     c = lambda n: "part int, " + ", ".join(f"c{i} binary" for i in range(n))
     keyed = docs.select(text_col).mapInArrow(per_slice(emit, text_col), c(4))
-    counted = keyed.repartition(parts, "part").mapInArrow(count, c(5))
-    kept = counted.repartition(parts, "part").mapInArrow(keep, c(2))
-    return kept.repartition(parts, "part").mapInArrow(pair, "a long, b long")
+    counted = keyed.repartition(parts, "part").mapInArrow(tidy(count), c(5))
+    kept = counted.repartition(parts, "part").mapInArrow(tidy(keep), c(2))
+    return kept.repartition(parts, "part").mapInArrow(tidy(pair), "a long, b long")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -344,7 +344,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["cluster", "handle", "elements"])
 
-    members = texts.join(wanted, "least").select("text", "handle", "cluster").mapInArrow(elements, _SET_SCHEMA)
+    members = texts.join(wanted, "least").select("text", "handle", "cluster").mapInArrow(tidy(elements), _SET_SCHEMA)
     links = verified_links(settle(members, "members"))
     found = components(settle(links, "links"), "linked")
     known = ids.join(found, ids["handle"] == found["node"], "left").select("handle", "least", F.coalesce("root", "handle").alias("root"))

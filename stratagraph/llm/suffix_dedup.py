@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_slice, settle
+from .common import per_slice, settle, tidy, trim
 from .textcore import mix
 
 LENGTH = 400
 GRAM = 64
 #: Bytes of contexts in a shard, on average; what an anchor has beyond that is spread over several.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 #: Longer texts are gone through in pieces.
 PIECE = 4_000_000
 _POSITION_BITS = 26
@@ -103,14 +103,15 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     new = np.append(True, sorted_head[1:] != sorted_head[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
-    rank = np.zeros(n + depth + 1, np.int64)  # 0 after the end
+    rank = np.zeros(n + depth + 1, np.int32)  # 0 after the end
     rank[sa] = np.repeat(first, size) + 1
     slots = np.flatnonzero(np.repeat(size > 1, size))
+    del head, sorted_head, new
     h = 8
     while h < depth and len(slots):
         step = min(h, depth - h)
         at = sa[slots]
-        key = rank[at] * np.int64(n + 1) + rank[at + step]
+        key = rank[at].astype(np.int64) * (n + 1) + rank[at + step]
         order = np.argsort(key)
         at, key = at[order], key[order]
         sa[slots] = at
@@ -254,6 +255,7 @@ def shard_spans(contexts_: DataFrame, length: int, merge_parts: int) -> DataFram
                 for k, v in (("anchor", None), ("digest", None), ("spans", []), ("part", p), ("strings", mine.tobytes())):
                     out[k].append(v)
         t = _spans_table(out["anchor"], out["digest"], out["spans"])
+        trim()
         return t.append_column("part", pa.array(out["part"], pa.int64())).append_column("strings", pa.array(out["strings"], pa.binary()))
 
     def merge(table: pa.Table) -> pa.Table:
@@ -313,7 +315,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
 
-    bodies = docs.join(wanted, "id").select("text", "handle", "w").mapInArrow(cut_out, "shard long, spread int, anchor long, digest long, starts int, n long, body binary")
+    bodies = docs.join(wanted, "id").select("text", "handle", "w").mapInArrow(tidy(cut_out), "shard long, spread int, anchor long, digest long, starts int, n long, body binary")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_spans = settle(shard_spans(bodies, length, parts), "spans")
     # anchors with one context: it repeats throughout if it occurs twice

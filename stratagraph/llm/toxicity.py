@@ -35,7 +35,7 @@ CONTEXT = 128
 WORD = re.compile(r"[^\W\d_]+")
 #: Stands before single words in both dictionaries, so that even the shortest window is worth compressing.
 FILLER = bytes(range(64))
-_CACHE_WORDS, _LONGEST_WORD = 1_500_000, 64
+_CACHE_WORDS, _LONGEST_WORD = 200_000, 24
 
 
 @dataclass
