@@ -24,7 +24,8 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     """Rows of at least nine fields that aren't comments: seqid, type, start, end, strand, attributes (a map), line."""
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
     f = lines.select(F.split("value", "\t").alias("f"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")).where(F.size("f") >= 9)
-    return f.select(F.col("f")[0].alias("replicon"), F.col("f")[2].alias("type"), F.col("f")[3].cast("long").alias("start"), F.col("f")[4].cast("long").alias("end"), F.col("f")[6].alias("strand"), attributes(F.col("f")[8]).alias("attributes"), "line", "path")
+    cell = lambda i: F.try_element_at("f", F.lit(i + 1))
+    return f.select(cell(0).alias("replicon"), cell(2).alias("type"), cell(3).cast("long").alias("start"), cell(4).cast("long").alias("end"), cell(6).alias("strand"), attributes(cell(8)).alias("attributes"), "line", "path")
 
 
 def _get(key: str) -> Column:
