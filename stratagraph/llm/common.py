@@ -20,8 +20,20 @@ from ..session import visible_to_workers
 SLICE_BYTES = 1_500_000
 
 
+#: Rows that go to Python at once: whole texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sends at most BATCH_ROWS rows at once to Python, unless the session has its own setting."""
+    if int(spark.conf.get(_ROWS)) == 10_000:  # Spark's default
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return visible_to_workers(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return small_batches(visible_to_workers(spark)).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -104,13 +116,15 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return run
 
 
-def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], column: str = "text", limit: int = SLICE_BYTES):
-    """A function for mapInArrow that applies fn to each slice."""
+def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], column: str = "text", limit: int = SLICE_BYTES, after: Callable[[], None] | None = None):
+    """A function for mapInArrow that applies fn to each slice; after, if there is one, ends each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, column, limit):
             out = fn(batch, texts)
             if out is not None and out.num_rows:
                 yield out
+        if after is not None:
+            after()
 
     return tidy(run)

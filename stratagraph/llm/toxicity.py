@@ -185,6 +185,12 @@ def _compressors(model: Model) -> Compressors:
     return _LOADED[key][1]
 
 
+def forget() -> None:
+    """Drops what words were found to save; the next stage's tasks run in the same workers."""
+    for _, c in _LOADED.values():
+        c.saved.clear()
+
+
 def scores(model: Model | None, texts: list[str]) -> np.ndarray:
     if model is None or not texts:
         return np.zeros(len(texts))
@@ -202,7 +208,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(per_slice(run, text_col), f"`{id_col}` {kind}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(per_slice(run, text_col, after=forget), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -211,7 +217,7 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return batch.filter(pa.array(scores(model, texts) < 0.5))
 
-    return docs.mapInArrow(per_slice(run, text_col), docs.schema)
+    return docs.mapInArrow(per_slice(run, text_col, after=forget), docs.schema)
 
 
 def detect(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
