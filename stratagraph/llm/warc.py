@@ -223,7 +223,7 @@ WITH p AS (
   SELECT digest, min(page_id) AS first FROM d WHERE n >= {LEAST_REVISIT} GROUP BY digest HAVING count(*) > 1
 )
 SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
-       CASE WHEN f.first IS NOT NULL AND d.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.first IS NOT NULL AND d.page_id <> f.first THEN f.first END AS refers_to
+       CASE WHEN f.first IS NOT NULL AND d.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first IS NOT NULL AND d.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= {LEAST_REVISIT}
 """
