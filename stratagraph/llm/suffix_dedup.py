@@ -125,7 +125,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix in sa shares with the one before it, up to most.
+    """Bytes that each suffix in sa shares with the one before it.
+
+    Comparing stops at most bytes: where it does, values after it are too small by as much as they are further on.
 
     Kasai's rule: if the suffix before i is j and the one before i + 1 is j + 1, then what these share is one byte less. Where
     that doesn't hold, and at breaks, bytes are compared, eight at a time.
@@ -138,25 +140,31 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most:
     go_on = np.zeros(len(place), bool)
     go_on[1:] = (place[1:] == place[:-1] + 1) & (j[1:] == j[:-1] + 1) & (j[:-1] >= 0)
     go_on[np.isin(place, breaks)] = False
-    heads = np.flatnonzero(~go_on)
     padded = np.append(data, np.zeros(8, np.uint8))
     words = np.ndarray((n + 1,), dtype="<u8", buffer=padded.tobytes(), strides=(1,))
-    shared = np.zeros(len(heads), np.int64)
-    a, b = place[heads], j[heads]
-    live = np.flatnonzero(b >= 0)
-    while len(live):
-        x, y = a[live] + shared[live], b[live] + shared[live]
-        room = np.minimum(np.minimum(n - x, n - y), most - shared[live])
-        live, x, y, room = live[room > 0], x[room > 0], y[room > 0], room[room > 0]
-        if not len(live):
-            break
-        differ = words[x] ^ words[y]
-        lowest = differ & (~differ + np.uint64(1))
-        same = np.where(differ == 0, 8, (np.log2(np.maximum(lowest, 1).astype(np.float64)) // 8).astype(np.int64))
-        shared[live] += np.minimum(same, room)
-        live = live[(same == 8) & (room > 8)]
+
+    def compared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(b >= 0)
+        while len(live):
+            x, y = a[live] + shared[live], b[live] + shared[live]
+            room = np.minimum(np.minimum(n - x, n - y), most - shared[live])
+            some = room > 0
+            live, x, y, room = live[some], x[some], y[some], room[some]
+            differ = words[x] ^ words[y]
+            lowest = differ & (~differ + np.uint64(1))
+            same = np.where(differ == 0, 8, (np.log2(np.maximum(lowest, 1).astype(np.float64)) // 8).astype(np.int64))
+            shared[live] += np.minimum(same, room)
+            live = live[(same == 8) & (room > 8)]
+        return shared
+
+    heads = np.flatnonzero(~go_on)
+    shared = compared(place[heads], j[heads])
     head_of = np.cumsum(~go_on) - 1
-    plcp = np.maximum(shared[head_of] - (place - place[heads][head_of]), 0)
+    plcp = shared[head_of] - (place - place[heads][head_of])
+    # behind a place that shares nothing the rule says nothing
+    open_ = np.flatnonzero(plcp < 0)
+    plcp[open_] = compared(place[open_], j[open_])
     out = np.zeros(n, np.int64)
     out[place] = plcp
     return out[sa]
