@@ -24,9 +24,12 @@ def standardised(df: DataFrame, entity: str, sample: str, value: str, least_samp
     """
     samples = df.groupBy(sample).agg(F.avg(value).alias("__mean"))
     listed = samples.agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col("__mean").alias("m")))).alias("__all"))  # samples, not entities
-    own = df.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(F.col(sample), F.col(value).cast("double")))).alias("__v"))
+    own = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(value).cast("double").alias("v")))).alias("__v"))
     both = own.crossJoin(F.broadcast(listed)).where(F.size("__all") >= least_samples)
-    x = F.transform("__all", lambda s: F.coalesce(F.try_element_at("__v", s["s"]), s["m"]))
+    # entities that have all samples need no lookup
+    complete = (F.size("__v") == F.size("__all")) & F.forall("__v", lambda p: p["v"].isNotNull())
+    known = F.map_from_entries(F.transform("__v", lambda p: F.struct(p["s"], p["v"])))
+    x = F.when(complete, F.transform("__v", lambda p: p["v"])).otherwise(F.transform("__all", lambda s: F.coalesce(F.try_element_at(known, s["s"]), s["m"])))
     zero = F.lit(0.0)
     both = both.withColumn("__x", x).withColumn("__c", F.aggregate("__x", zero, lambda a, b: a + b) / F.size("__x"))
     both = both.withColumn("__d", F.transform("__x", lambda v: v - F.col("__c"))).withColumn("__n", F.sqrt(F.aggregate("__d", zero, lambda a, b: a + b * b)))
@@ -51,29 +54,29 @@ def _hits(rows: np.ndarray, a: np.ndarray, columns: np.ndarray, b: np.ndarray, t
         yield rows[i : i + 512][x], columns[y], r[x, y]
 
 
-def _partners(z: DataFrame, entity: str, threshold: float, k: int) -> DataFrame:
+def _partners(z: DataFrame, entity: str, samples: int, threshold: float, k: int) -> DataFrame:
     """(entity, other, r): each entity's partners."""
     spark, kind = z.sparkSession, z.schema[entity].dataType.simpleString()
-    size = z.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("z")).alias("m")).first()
-    n, m = size["n"], size["m"] or 0
     schema = f"`{entity}` {kind}, other {kind}, r double"
-    if n * m * 8 <= BROADCAST_BYTES:
-        every = sorted(z.collect(), key=lambda r: r[0])
-        ids, matrix = np.array([r[0] for r in every]), np.array([r[1] for r in every]).reshape(n, m)
+    most = BROADCAST_BYTES // max(1, 8 * samples)
+    every = sorted(z.limit(most + 1).collect(), key=lambda r: r[0]) if most else None
+    if every is not None and len(every) <= most:
+        ids, matrix = np.array([r[0] for r in every]), np.array([r[1] for r in every]).reshape(len(every), samples if every else 0)
         shared = spark.sparkContext.broadcast((ids, matrix))
+        arrow = pa.string() if kind == "string" else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns, b = shared.value
             for batch in batches:
-                if not batch.num_rows or not len(columns):
-                    continue
-                rows = np.array(batch.column(0).to_pylist())
-                a = np.array(batch.column(1).to_pylist())
-                for x, y, r in _hits(rows, a, columns, b, threshold, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), batch.schema.field(0).type), pa.array(y.tolist(), batch.schema.field(0).type), pa.array(r)], names=[entity, "other", "r"])
-
-        parts = max(1, min(int(n // 256) + 1, spark.sparkContext.defaultParallelism))
-        return z.repartition(parts).mapInArrow(run, schema)
+                for part in batch.column(0).to_pylist():
+                    own = slice(part * 256, part * 256 + 256)
+                    for x, y, r in _hits(columns[own], b[own], columns, b, threshold, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), arrow).cast(kind_of[kind]), pa.array(y.tolist(), arrow).cast(kind_of[kind]), pa.array(r)], names=[entity, "other", "r"])
+
+        kind_of = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32()}
+        parts = -(-len(every) // 256)
+        return spark.range(0, parts, 1, max(1, min(parts, spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
+    n = z.count()
     # block by block: a row of blocks meets a column of blocks in one task each
     blocks = int(n // BLOCK) + 1
     numbered = z.withColumn("__b", F.pmod(F.xxhash64(entity), F.lit(blocks)))
@@ -104,7 +107,7 @@ def correlation_edges(df: DataFrame, entity: str, sample: str, value: str, thres
     With top_k, a pair has to be among the top_k - 1 strongest of one of the two (mode either) or of both (mutual): an entity's own place counts as one.
     """
     z = standardised(df, entity, sample, value, least_samples)
-    p = _partners(z, entity, threshold, max(1, top_k - 1) if top_k else 0)
+    p = _partners(z, entity, df.select(sample).distinct().count(), threshold, max(1, top_k - 1) if top_k else 0)
     pairs = p.select(F.least(entity, "other").alias("a"), F.greatest(entity, "other").alias("b"), "r").groupBy("a", "b").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("__sides"))
     if top_k and mode == "mutual":
         pairs = pairs.where(F.col("__sides") == 2)
