@@ -43,3 +43,10 @@ def spread_over_groups(df: DataFrame, item: str, group: str) -> DataFrame:
     """(item, n_groups, kind): in one group only is specific, in several shared."""
     own = df.groupBy(item).agg(F.countDistinct(group).alias("n_groups"))
     return own.withColumn("kind", F.when(F.col("n_groups") >= 2, "shared").otherwise("specific"))
+
+
+def mapped_share(submitted: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
+    """submitted, mapped and their ratio; 0 where nothing was submitted."""
+    ids = submitted.select(key).where(F.col(key).isNotNull()).distinct()
+    hit = ids.join(mapped.select(key).distinct().withColumn("__hit", F.lit(1)), key, "left")
+    return hit.agg(F.count(F.lit(1)).alias("submitted"), F.count("__hit").alias("mapped")).withColumn("coverage", F.col("mapped") / F.greatest(F.col("submitted"), F.lit(1)))

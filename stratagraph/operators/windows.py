@@ -24,6 +24,11 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
+def first_occurrences(df: DataFrame, key: str, position: str) -> DataFrame:
+    """(key, position): distinct keys by where they occur first; null and empty ones don't count."""
+    return df.where(F.coalesce(F.trim(key), F.lit("")) != "").groupBy(F.trim(key).alias(key)).agg(F.min(position).alias(position))
+
+
 def best_match(df: DataFrame, key: str, candidate: str, merits: list[str]) -> DataFrame:
     """(key, candidate): that with the largest merits in order, the largest id last."""
     return df.groupBy(key).agg(F.max_by(candidate, F.struct(*merits, candidate)).alias(candidate))
@@ -71,9 +76,10 @@ def extremes(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
 
 
 def node_index(nodes: DataFrame, kind: str, key: str) -> DataFrame:
-    """nodes with idx: 0, 1, ... within each type, by id."""
-    w = W.partitionBy(kind).orderBy(key)
-    return nodes.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    """nodes with idx: 0, 1, ... within each type, by id. The whole table is ranked by ranges, and each type's first rank taken off."""
+    ranked = numbered(nodes, [F.col(kind), F.col(key)], "__rank")
+    first = ranked.groupBy(kind).agg(F.min("__rank").alias("__first"))  # a row per type
+    return ranked.join(F.broadcast(first), kind).withColumn("idx", F.col("__rank") - F.col("__first")).select(*nodes.columns, "idx")
 
 
 def filled_forward(df: DataFrame, group: list[str], order: list[str], column: str, name: str) -> DataFrame:

@@ -485,3 +485,54 @@ def adjacent_turns(t: Tables) -> DataFrame:
 def block_parse(t: Tables) -> DataFrame:
     lines = t("documents").where("n_chars < 2000").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     return lines.groupBy("doc_id", F.split_part("line", F.lit(" "), F.lit(1)).alias("first_word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "M2 X15",
+    """
+WITH cat AS (SELECT o_custkey AS k, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS cog, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1),
+ppi AS (SELECT s_nationkey AS a, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1)
+SELECT c_custkey, coalesce(cog, '') AS cog, coalesce(cat.n, 0) AS n_kegg_pathways, coalesce(ppi.n, 0) AS n_ppi_neighbors, c_custkey % 2 = 0 AS in_genome, c_custkey % 3 = 0 AS in_aligned
+FROM customer LEFT JOIN cat ON cat.k = c_custkey LEFT JOIN ppi ON ppi.a = c_nationkey""",
+)
+def marker_report(t: Tables) -> DataFrame:
+    s = F.lit("x").alias("strain")
+    m = t("customer").select(s, F.col("c_custkey").alias("locus_tag"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("protein_id"))
+    cat = t("orders").select(s, F.col("o_custkey").alias("gene_id"), F.col("o_orderstatus").alias("category"))
+    path = t("orders").select(s, F.col("o_custkey").alias("gene_id"), F.col("o_orderpriority").alias("pathway"))
+    ppi = t("supplier").select(s, F.concat(F.lit("n"), F.col("s_nationkey")).alias("a"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("b"))
+    genes = t("customer").where("c_custkey % 2 = 0").select(s, F.col("c_custkey").alias("gene_id"))
+    aligned = t("customer").where("c_custkey % 3 = 0").select(s, F.col("c_custkey").alias("gene_id"))
+    out = reports.marker_report(m, cat, path, ppi, genes, aligned)
+    return out.select(F.col("locus_tag").alias("c_custkey"), "cog", "n_kegg_pathways", "n_ppi_neighbors", "in_genome", "in_aligned")
+
+
+@query("A14", _LAYERS + " SELECT c_mktsegment, round(avg(1 + CAST(rna AS INT) + CAST(prot AS INT)), 6) AS mean_coverage, count(*) AS n FROM c GROUP BY 1")
+def mean_coverage(t: Tables) -> DataFrame:
+    return layer_coverage(t).join(t("customer").select("c_custkey", "c_mktsegment"), "c_custkey").groupBy("c_mktsegment").agg(F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.count(F.lit(1)).alias("n"))
+
+
+@query("X5", "SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
+def ordered_unique(t: Tables) -> DataFrame:
+    return windows.first_occurrences(t("part").select(F.concat(F.lit(" "), F.col("p_brand")).alias("p_brand"), "p_partkey"), "p_brand", "p_partkey")
+
+
+@query("X20 A18", "SELECT count(*) AS submitted, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS mapped, round(count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) / count(*), 6) AS coverage FROM customer")
+def mapped_share(t: Tables) -> DataFrame:
+    from ..operators.sets import mapped_share as share
+
+    return share(t("customer").select("c_custkey"), t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").withColumn("coverage", F.round("coverage", 6))
+
+
+@query("A4", "SELECT l_suppkey, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) FILTER (WHERE l_linenumber = 1) IS NOT NULL AS has_first, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1")
+def first_replicates(t: Tables) -> DataFrame:
+    rows = t("lineitem").select("l_suppkey", F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).alias("q"), F.col("l_orderkey").alias("first_order"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    return windows.first_non_null(rows, ["l_suppkey"], ["q", "first_order"], "k").select("l_suppkey", F.col("q").isNotNull().alias("has_first"), "first_order")
+
+
+@query("B5 X21", "SELECT r_name AS strain, count(DISTINCT c_custkey) > 0 AS has_rna, count(DISTINCT s_suppkey) > 0 AS has_protein FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9990 LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY 1")
+def layer_availability(t: Tables) -> DataFrame:
+    place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("strain"))
+    rna = t("customer").where("c_acctbal > 9990").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+    protein = t("supplier").where("s_acctbal > 9000").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+    return evidence.availability(t("region").select(F.col("r_name").alias("strain")), {"rna": rna, "protein": protein})

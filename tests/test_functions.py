@@ -33,7 +33,7 @@ def test_lists_and_letters(spark):
 
 
 def test_matching_or_all(spark):
-    df = spark.createDataFrame([("E. coli B36",), ("Homo",), (None,)], "h string")
+    df = spark.createDataFrame([("E. coli K12",), ("Homo",), (None,)], "h string")
     assert ids.matching_or_all(df, "h", r"e\. coli").count() == 1
     assert ids.matching_or_all(df, "h", "nothing").count() == 3
 

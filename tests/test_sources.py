@@ -56,8 +56,8 @@ def test_proteins(spark, tmp_path):
 
 
 def test_sample_sheet(spark, tmp_path):
-    (tmp_path / "s.txt").write_text("Source Name\tTerm Source REF\tFactor Value[Growth media]\tTerm Source REF\tFactor Value[Strain or isolate]\n102.1.1/50913\tx\tRPMI\ty\tB36\n102.1.1/50914\tx\tPooled sera\ty\tB36\n")
-    assert [tuple(r) for r in tables.sample_sheet(spark, str(tmp_path / "s.txt")).orderBy("sample_id").collect()] == [("50913", "RPMI", "B36"), ("50914", "Pooled sera", "B36")]
+    (tmp_path / "s.txt").write_text("Source Name\tTerm Source REF\tFactor Value[Growth media]\tTerm Source REF\tFactor Value[Strain or isolate]\n102.1.1/50913\tx\tRPMI\ty\tK12\n102.1.1/50914\tx\tPooled sera\ty\tK12\n")
+    assert [tuple(r) for r in tables.sample_sheet(spark, str(tmp_path / "s.txt")).orderBy("sample_id").collect()] == [("50913", "RPMI", "K12"), ("50914", "Pooled sera", "K12")]
 
 
 def test_metabolites(spark, tmp_path):
