@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import proximity_weight
-from .ordering import numbered, settle
+from ..session import settle
+from .ordering import numbered
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_accession, category_letters, listed
 from ..operators import align, candidates, community, correlation, evidence, graph, hyper, paths, quant, sets, windows
-from ..operators.ordering import settle
+from ..session import settle
 from ..sources import annotations, gff, tables
 from ..sources.config import Strain
 
