@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from .common import per_slice
 
 #: Chunks are of 2^AVERAGE_BITS bytes on average, and of at least and at most so many.
-AVERAGE_BITS, LEAST, MOST = 10, 256, 8192
-#: What a task keeps: characters of chunks, and words. Beyond that it starts anew.
-CHUNK_CHARS, WORDS, WORD_CHARS = 12_000_000, 200_000, 48
+AVERAGE_BITS, LEAST, MOST = 11, 256, 16384
+#: What a task keeps: characters of chunks, beyond which it starts anew, and words, twice as many at most.
+CHUNK_CHARS, WORDS, WORD_CHARS = 12_000_000, 200_000, 32
 BLANKS = re.compile("[ \n]")
 _WINDOW = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -80,6 +80,8 @@ class ChunkEncoder:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
+        self.blank = False
         self.chunks: dict[str, tuple] = {}
         self.joins: dict[str, tuple] = {}
         self.kept = self.reused = self.repaired = self.widened = 0
@@ -95,18 +97,24 @@ class ChunkEncoder:
     def plain(self, text: str) -> tuple[int, str, str]:
         """By words: no token crosses a blank or a line end, and normalisation doesn't either."""
         words = [w for w in text.replace("\n", " ").split(" ") if w]
-        have = self.words
+        if not words:
+            return 0, "", ""
+        have, old = self.words, self.old
         missing = [w for w in dict.fromkeys(words) if w not in have]
-        own: dict[str, tuple[int, str, str]] = {}
         if missing:
-            if len(have) > WORDS:
-                have.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self._batch(missing), strict=True):
-                (have if len(w) <= WORD_CHARS else own)[w] = e
-        found = [have.get(w) or own[w] for w in words]
-        found = [e for e in found if e[0]]
-        return sum(e[0] for e in found), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+            have.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in have]
+        own: dict[str, tuple[int, str, str]] = {}
+        for w, e in zip(missing, self._batch(missing) if missing else (), strict=True):
+            (have if len(w) <= WORD_CHARS else own)[w] = e
+            self.blank |= not e[0]
+        found = [have[w] if w in have else own[w] for w in words] if own else [have[w] for w in words]
+        if self.blank:  # some words have no token
+            found = [e for e in found if e[0]]
+        if len(have) > WORDS:  # words that stay in use are taken over from the old ones
+            self.words, self.old = {}, have
+        n, ids, tokens = zip(*found, strict=True) if found else ((), (), ())
+        return sum(n), " ".join(ids), " ".join(tokens)
 
     def chunk(self, text: str) -> tuple | None:
         """(head, what the inside gives, tail, first word inside, last word inside, the inside); None without a blank."""
