@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import visible_to_workers
+from ..session import scratch, scratch_root, settle, visible_to_workers
+
+__all__ = ["drop_settled", "id_hash", "per_slice", "read", "scratch", "settle", "slices", "text_or_empty", "tidy", "trim"]
 
 #: Bytes of text that one vectorised step handles at once.
 SLICE_BYTES = 1_500_000
@@ -36,29 +36,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return small_batches(visible_to_workers(spark)).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stratagraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again; later jobs neither repeat the work nor depend on executors' disks."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_settled(df: DataFrame) -> None:
     """Deletes what settle() wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -87,16 +87,16 @@ def keys_of(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def _by_part(part: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+def _by_part(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
     order = np.argsort(part, kind="stable")
-    at = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if at[p] < at[p + 1]:
-            yield p, [c[order[at[p] : at[p + 1]]].tobytes() for c in columns]
+    first, n = _runs(part[order])
+    for a, k in zip(first.tolist(), n.tolist(), strict=True):
+        own = order[a : a + k]
+        yield int(part[own[0]]), [c[own].tobytes() for c in columns]
 
 
-def _packed(part: np.ndarray, parts: int, columns: list[np.ndarray]) -> pa.RecordBatch | None:
-    rows = [(p, *data) for p, data in _by_part(part, parts, columns)]
+def _packed(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
+    rows = [(p, *data) for p, data in _by_part(part, columns)]
     if not rows:
         return None
     kinds = [pa.int32()] + [pa.binary()] * len(columns)
@@ -162,7 +162,7 @@ def candidate_edges(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         if not keys:
             return None
         key = np.concatenate(keys)
-        return _packed(_part_of(key, parts), parts, [key, np.concatenate(handles), np.concatenate(where), np.concatenate(leave)])
+        return _packed(_part_of(key, parts), [key, np.concatenate(handles), np.concatenate(where), np.concatenate(leave)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, handle, where, leave = _unpacked(batches, ["u8", "i8", "u1", "u2"])
@@ -173,7 +173,7 @@ def candidate_edges(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         first, size = _runs(key)
         size = np.repeat(size, size)
         several = size > 1
-        out = _packed(_part_of(handle[several], parts), parts, [key[several], handle[several], where[several], leave[several], size[several].astype(np.uint32)])
+        out = _packed(_part_of(handle[several], parts), [key[several], handle[several], where[several], leave[several], size[several].astype(np.uint32)])
         if out is not None:
             yield out
 
@@ -184,7 +184,7 @@ def candidate_edges(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         first, n = _runs(handle, where)
         rank = np.arange(len(key)) - np.repeat(first, n)
         cheap = rank < np.repeat(n, n) - leave.astype(np.int64)
-        out = _packed(_part_of(key[cheap], parts), parts, [key[cheap], handle[cheap]])
+        out = _packed(_part_of(key[cheap], parts), [key[cheap], handle[cheap]])
         if out is not None:
             yield out
 
