@@ -14,13 +14,16 @@ from .ordering import numbered
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by the given order, which has to be total. Aggregates before the shuffle, unlike a window."""
     rest = [c for c in df.columns if c not in keys]
-    plain = [c for c in order]
-    ranked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*plain)).alias("__row"))
+    if not rest:
+        return df.distinct()
+    ranked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
     return ranked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     ranked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
     return ranked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 

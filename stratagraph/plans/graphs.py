@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import layer_status
-from ..operators import candidates, community, correlation, evidence, graph, hyper, paths, quant, reports, stats, windows
+from ..functions.numeric import agreement, layer_status
+from ..operators import candidates, community, correlation, evidence, graph, hyper, paths, quant, reports, sets, stats, windows
+from ..sources.gff import attributes
 from .registry import Tables, query
 
 
@@ -275,8 +276,6 @@ def support_matrix(t: Tables) -> DataFrame:
 
 @query("V4", "SELECT CASE WHEN a IS NULL OR b IS NULL THEN 'unavailable' WHEN (a > 0) = (b > 0) THEN 'concordant' ELSE 'discordant' END AS concordance, count(*) AS n FROM (SELECT l_partkey, avg(l_quantity) FILTER (WHERE l_returnflag = 'R') - avg(l_quantity) FILTER (WHERE l_returnflag = 'A') - 0.123456789 AS a, avg(l_discount) FILTER (WHERE l_returnflag = 'R') - avg(l_discount) FILTER (WHERE l_returnflag = 'A') - 0.000123456789 AS b FROM lineitem GROUP BY 1) GROUP BY 1")
 def concordance_counts(t: Tables) -> DataFrame:
-    from ..functions.numeric import agreement
-
     li = t("lineitem")
     a = quant.condition_means(li, ["l_partkey"], "l_returnflag", "l_quantity", "A", "R", "a")
     b = quant.condition_means(li, ["l_partkey"], "l_returnflag", "l_discount", "A", "R", "b")
@@ -463,8 +462,6 @@ def json_fields(t: Tables) -> DataFrame:
 
 @query("S1 S2", "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages")
 def attr_parse(t: Tables) -> DataFrame:
-    from ..sources.gff import attributes
-
     q = F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
     a = t("pages").select("page_id", attributes(q, "&").alias("a"))
     return a.select("page_id", F.try_element_at("a", F.lit("page")).alias("page"), F.try_element_at("a", F.lit("ref")).alias("ref"))
@@ -519,9 +516,7 @@ def ordered_unique(t: Tables) -> DataFrame:
 
 @query("X20 A18", "SELECT count(*) AS submitted, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS mapped, round(count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) / count(*), 6) AS coverage FROM customer")
 def mapped_share(t: Tables) -> DataFrame:
-    from ..operators.sets import mapped_share as share
-
-    return share(t("customer").select("c_custkey"), t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").withColumn("coverage", F.round("coverage", 6))
+    return sets.mapped_share(t("customer").select("c_custkey"), t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").withColumn("coverage", F.round("coverage", 6))
 
 
 @query("A4", "SELECT l_suppkey, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) FILTER (WHERE l_linenumber = 1) IS NOT NULL AS has_first, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1")
