@@ -35,7 +35,7 @@ CONTEXT = 128
 WORD = re.compile(r"[^\W\d_]+")
 #: Stands before single words in both dictionaries, so that even the shortest window is worth compressing.
 FILLER = bytes(range(64))
-_CACHE_WORDS, _LONGEST_WORD = 200_000, 24
+_CACHE_WORDS, _LONGEST_WORD = 400_000, 32
 
 
 @dataclass
@@ -92,8 +92,13 @@ class Compressors:
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
-        saved, find = self.saved, self._word
-        d = np.array([saved[w] if w in saved else find(w) for w in WORD.findall(low)] or [0], dtype=np.int32)
+        saved = self.saved
+        found = WORD.findall(low)
+        new = {w: self._word(w) for w in set(found) if w not in saved}
+        if new:
+            d = np.array([saved[w] if w in saved else new[w] for w in found], dtype=np.int32)
+        else:
+            d = np.array([saved[w] for w in found] or [0], dtype=np.int32)
         a, b = self.context
         c = np.array([len(a(x)) - len(b(x)) for x in context_windows(low)] or [0], dtype=np.int32)
         share = lambda x, k: math.sqrt(np.count_nonzero(x >= k) / len(x))
