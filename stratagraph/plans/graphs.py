@@ -480,7 +480,17 @@ def adjacent_turns(t: Tables) -> DataFrame:
 
 @query("S14 X11", "SELECT doc_id, split_part(line, ' ', 1) AS first_word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE n_chars < 2000) WHERE line <> '' GROUP BY 1, 2")
 def block_parse(t: Tables) -> DataFrame:
-    lines = t("documents").where("n_chars < 2000").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return _first_words(t("documents").where("n_chars < 2000"))
+
+
+@query("S14 X11")
+def block_parse_whole(t: Tables) -> DataFrame:
+    """block_parse() over documents of any length; no SQL, as that of block_parse has its bound."""
+    return _first_words(t("documents"))
+
+
+def _first_words(documents: DataFrame) -> DataFrame:
+    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     return lines.groupBy("doc_id", F.split_part("line", F.lit(" "), F.lit(1)).alias("first_word")).agg(F.count(F.lit(1)).alias("n"))
 
 
