@@ -203,6 +203,28 @@ def path_context(t: Tables) -> DataFrame:
     return paths.context(found, layers, seeds, by=[], most=20).select("seed", "node", F.array_join("node_sequence", ";").alias("node_sequence"))
 
 
+def _supply(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The graph of all suppliers and their orders, and all suppliers as seeds."""
+    e = t("lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("O"), F.col("l_orderkey")).alias("dst"), F.lit("supplies").alias("relation"))
+    seeds = t("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("seed")).withColumn("node", F.col("seed"))
+    return paths.entity_graph(e, by=[]), seeds
+
+
+@query("B1 B2 W7")
+def bounded_bfs_whole(t: Tables) -> DataFrame:
+    """bounded_bfs() over all rows, from all suppliers, to the reference's depth; no SQL, as that of bounded_bfs has its bounds."""
+    return paths.bounded_distances(*_supply(t), 4, by=[])
+
+
+@query("B2 W7")
+def path_context_whole(t: Tables) -> DataFrame:
+    """path_context() over all rows, from all suppliers, to the reference's depth and number of rows."""
+    graph, seeds = _supply(t)
+    found = paths.bounded_paths(graph, seeds, 4, by=[])
+    layers = seeds.select("node", F.lit("genome").alias("layer"))
+    return paths.context(found, layers, seeds, by=[]).select("seed", "node", F.array_join("node_sequence", ";").alias("node_sequence"))
+
+
 _LAYERS = """
 WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), u AS (SELECT DISTINCT user_id AS k FROM events), c AS (SELECT c_custkey, c_mktsegment, c_custkey IN (SELECT k FROM o) AS rna, c_custkey IN (SELECT k FROM u) AS prot FROM customer)"""
 
@@ -317,6 +339,14 @@ def specific_hubs(t: Tables) -> DataFrame:
     return reports.specific_hubs(m, s, "hub", "node", "seed", "measured")
 
 
+@query("V7")
+def specific_hubs_whole(t: Tables) -> DataFrame:
+    """specific_hubs() of all suppliers."""
+    m = t("lineitem").select(F.col("l_orderkey").alias("hub"), F.col("l_suppkey").alias("node")).distinct().withColumn("measured", F.col("node") % 2 == 0)
+    s = t("supplier").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").alias("seed"))
+    return reports.specific_hubs(m, s, "hub", "node", "seed", "measured")
+
+
 @query("V8", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A' AND l_linenumber = 7)")
 def uncovered(t: Tables) -> DataFrame:
     li = t("lineitem")
@@ -433,10 +463,10 @@ def bootstrap_ci(t: Tables) -> DataFrame:
 
 
 def _copurchase(t: Tables) -> DataFrame:
-    """Suppliers that share orders: pairs from the sorted suppliers of an order, at most so many as an order has lines."""
-    s = t("lineitem").where("l_quantity > 30").select("l_orderkey", "l_suppkey").distinct()
-    nxt = s.withColumn("b", F.lead("l_suppkey").over(W.partitionBy("l_orderkey").orderBy("l_suppkey"))).where("b is not null")
-    return nxt.groupBy(F.col("l_suppkey").alias("a"), "b").agg(F.count(F.lit(1)).alias("w")).withColumn("g", F.lit("x"))
+    """Suppliers that share orders: every pair of an order's suppliers, and in how many orders."""
+    s = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("a")).distinct()
+    pairs = s.join(s.withColumnRenamed("a", "b"), "l_orderkey").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).withColumn("g", F.lit("x"))
 
 
 @query("G12 H7 G11")
@@ -446,7 +476,7 @@ def communities(t: Tables) -> DataFrame:
 
 @query("G12")
 def label_propagation(t: Tables) -> DataFrame:
-    return community.label_propagation(_copurchase(t).where("w > 1"), "a", "b", "w", 5)
+    return community.label_propagation(_copurchase(t), "a", "b", "w", 5)
 
 
 @query("G12", "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS a, o_custkey + 1000000 AS b FROM orders WHERE o_totalprice > 450000), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1")
@@ -455,6 +485,12 @@ def connected_components(t: Tables) -> DataFrame:
     return community.components(e, "o_orderkey", "c")
 
 
+@query("G12")
+def connected_components_whole(t: Tables) -> DataFrame:
+    """connected_components() of all orders."""
+    return community.components(t("orders").select("o_orderkey", (F.col("o_custkey") + 1000000).alias("c")), "o_orderkey", "c")
+
+
 @query("P16 S11 S15", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))

@@ -1,7 +1,12 @@
 """Queries over whole tables and whole texts, against brute force on fixtures."""
 
+import random
 from collections import Counter
+from itertools import combinations
 
+import pytest
+
+from stratagraph.operators import community
 from stratagraph.plans import QUERIES
 
 
@@ -14,3 +19,84 @@ def test_lines_of_long_texts(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts.items()], "doc_id long, text string, n_chars int")
     want = Counter((i, line.split(" ")[0]) for i, t in texts.items() for line in (t or "").split("\n") if line)
     assert sorted(run("block_parse_whole", documents=docs)) == sorted((i, w, n) for (i, w), n in want.items())
+
+
+@pytest.fixture(scope="module")
+def lines():
+    """(order, supplier, quantity): groups of suppliers, a chain of orders between them, repeated lines and small quantities."""
+    rng = random.Random(5)
+    out = [(o, rng.randint(1 + 10 * (o % 3), 10 + 10 * (o % 3)), rng.randint(1, 50)) for o in range(60) for _ in range(rng.randint(1, 4))]
+    out += [(100 + i, i + k, 1) for i in range(1, 30, 10) for k in (0, 9, 10)] + [(100 + i, i, 50) for i in (40, 41, 42)] + [(140, 40, 1), (140, 41, 1), (150, 41, 1), (150, 42, 1)]
+    return out + [(200, s, 2) for s in range(1, 65)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, lines):
+    return {"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity int"), "supplier": spark.createDataFrame([(s,) for s in range(1, 70)], "s_suppkey long")}
+
+
+def shortest(lines, depth):
+    """(seed, node) -> the least of the shortest sequences, by going through all of them."""
+    near: dict = {}
+    for o, s, _ in lines:
+        near.setdefault(f"S{s}", set()).add(f"O{o}")
+        near.setdefault(f"O{o}", set()).add(f"S{s}")
+    best = {}
+    for seed in (f"S{s}" for s in range(1, 70)):
+        level = {seed: [seed]}
+        seen = dict(level)
+        for _ in range(depth):
+            step: dict = {}
+            for node, path in level.items():
+                for b in near.get(node, ()):
+                    if b not in seen:
+                        step[b] = min(step.get(b, [*path, b]), [*path, b])
+            level = step
+            seen |= step
+        best |= {(seed, n): p for n, p in seen.items()}
+    return best
+
+
+@pytest.mark.parametrize("hub", [True, False])
+def test_paths_from_all_seeds(spark, tables, lines, hub):
+    lines = lines if hub else [x for x in lines if x[0] != 200]
+    some = tables | {"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity int")}
+    best = shortest(lines, 4)
+    assert sorted(run("bounded_bfs_whole", **some)) == sorted((s, n, len(p) - 1) for (s, n), p in best.items())
+    want = sorted((s, n, ";".join(p)) for (s, n), p in best.items() if n[0] == "S" and n != s)
+    assert sorted(run("path_context_whole", **some)) == want and len({s for s, _, _ in want}) > 30
+
+
+def test_paths_have_400_rows_a_seed(spark):
+    some = {"lineitem": spark.createDataFrame([(1, s) for s in range(1, 451)] + [(2, 450), (2, 451)], "l_orderkey long, l_suppkey long"), "supplier": spark.createDataFrame([(s,) for s in range(1, 452)], "s_suppkey long")}
+    n = Counter(s for s, _, _ in run("path_context_whole", **some))
+    assert set(n.values()) == {400} and len(n) == 451
+
+
+def test_hubs_of_all_seeds(tables, lines):
+    members: dict = {}
+    for o, s, _ in lines:
+        members.setdefault(o, set()).add(s)
+    want = []
+    for s in range(1, 70):
+        for _, o in sorted((len(m), o) for o, m in members.items() if s in m and len(m) <= 60)[:12]:
+            want += [(s, o, n) for n in sorted(members[o] - {s}, key=lambda n: (n % 2, n))[:5]]
+    assert sorted(run("specific_hubs_whole", **tables)) == sorted(want)
+
+
+def test_components_of_all_orders(spark):
+    orders = spark.createDataFrame([(o, o % 7, 1000.0 * o) for o in range(1, 50)], "o_orderkey long, o_custkey long, o_totalprice double")
+    assert sorted(run("connected_components_whole", orders=orders)) == sorted([(o, o % 7 or 7) for o in range(1, 50)] + [(1000000 + c, c or 7) for c in range(7)])
+
+
+def test_communities_of_all_pairs(tables, lines):
+    members: dict = {}
+    for o, s, _ in lines:
+        if o != 200:
+            members.setdefault(o, set()).add(s)
+    few = tables | {"lineitem": tables["lineitem"].where("l_orderkey <> 200")}
+    w = Counter(p for m in members.values() for p in combinations(sorted(m), 2))
+    found = community.modularity_communities(sorted((str(a), str(b), float(n)) for (a, b), n in w.items()))
+    size = Counter(found.values())
+    assert sorted(run("communities", **few)) == sorted(("x", n, c) for n, c in found.items() if size[c] >= 3)
+    assert {n for n, _ in run("label_propagation", **few)} == {n for p in w for n in p}
