@@ -1,10 +1,12 @@
 """Queries over whole tables and whole texts, against brute force on fixtures."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratagraph.operators import community
 from stratagraph.plans import QUERIES
@@ -89,6 +91,51 @@ def test_components_of_all_orders(spark):
     assert sorted(run("connected_components_whole", orders=orders)) == sorted([(o, o % 7 or 7) for o in range(1, 50)] + [(1000000 + c, c or 7) for c in range(7)])
 
 
+def greedy(edges: list[tuple[str, str, float]]) -> dict[str, int]:
+    """Communities by greedy moves and merging into super-nodes, in sorted order, so that the result is always the same."""
+    graph: dict = defaultdict(lambda: defaultdict(float))
+    for u, v, w in edges:
+        if u != v:
+            graph[u][v] += w
+            graph[v][u] += w
+    member = {n: [n] for n in graph}
+    two_m = sum(sum(x.values()) for x in graph.values())
+    while two_m > 0:
+        degree = {n: sum(x.values()) for n, x in graph.items()}
+        community = {n: n for n in graph}
+        total = dict(degree)
+        moved = True
+        while moved:
+            moved = False
+            for n in sorted(graph):
+                links: dict = defaultdict(float)
+                for v, w in graph[n].items():
+                    if v != n:
+                        links[community[v]] += w
+                old = community[n]
+                total[old] -= degree[n]
+                gain = lambda c, links=links, n=n: links.get(c, 0.0) - total.get(c, 0.0) * degree[n] / two_m
+                best = old
+                for c in sorted(links):
+                    if gain(c) > gain(best) + 1e-12:
+                        best = c
+                total[best] = total.get(best, 0.0) + degree[n]
+                community[n] = best
+                moved |= best != old
+        merged: dict = defaultdict(list)
+        for n, c in community.items():
+            merged[c] += member[n]
+        if len(merged) == len(graph):
+            break
+        new: dict = defaultdict(lambda: defaultdict(float))
+        for n, x in graph.items():
+            for v, w in x.items():
+                new[community[n]][community[v]] += w
+        graph, member = new, dict(merged)
+    order = sorted(member.values(), key=lambda m: (-len(m), min(m)))
+    return {n: i for i, m in enumerate(order) for n in m}
+
+
 def test_communities_of_all_pairs(tables, lines):
     members: dict = {}
     for o, s, _ in lines:
@@ -96,7 +143,27 @@ def test_communities_of_all_pairs(tables, lines):
             members.setdefault(o, set()).add(s)
     few = tables | {"lineitem": tables["lineitem"].where("l_orderkey <> 200")}
     w = Counter(p for m in members.values() for p in combinations(sorted(m), 2))
-    found = community.modularity_communities(sorted((str(a), str(b), float(n)) for (a, b), n in w.items()))
+    found = greedy(sorted((str(a), str(b), float(n)) for (a, b), n in w.items()))
     size = Counter(found.values())
     assert sorted(run("communities", **few)) == sorted(("x", n, c) for n, c in found.items() if size[c] >= 3)
     assert {n for n, _ in run("label_propagation", **few)} == {n for p in w for n in p}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_communities_by_brute_force(seed):
+    rng = random.Random(seed)
+    n = rng.choice([4, 20, 60, 200])
+    edges = sorted((a, b, rng.choice([0.1, 0.3, 1.0, rng.random()])) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(n * rng.choice([1, 2, 5]))))
+    node, found = community.modularity_communities(*(np.array(x) for x in zip(*edges, strict=True)))
+    assert dict(zip(node.tolist(), found.tolist(), strict=True)) == greedy(edges)
+
+
+def test_communities_of_a_large_graph(spark):
+    """A ring of 1200 groups of 30 nodes, each of 435 edges."""
+    pairs = spark.range(1200 * 900).select((F.col("id") / 900).cast("int").alias("k"), (F.col("id") % 900 / 30).cast("int").alias("i"), (F.col("id") % 30).cast("int").alias("j"))
+    e = pairs.where("i < j").selectExpr("'x' g", "k * 30 + i a", "k * 30 + j b", "1.0 w").unionByName(spark.range(1200).selectExpr("'x' g", "cast(id * 30 as int) a", "cast((id + 1) % 1200 * 30 as int) b", "0.01 w"))
+    rows = community.communities(e, "g", "a", "b", "w").collect()
+    together = defaultdict(set)
+    for r in rows:
+        together[int(r.node) // 30].add(r.community)
+    assert e.count() == 523_200 and len(rows) == 36_000 and all(len(c) == 1 for c in together.values())
