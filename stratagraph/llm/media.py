@@ -6,7 +6,7 @@ brightness or contrast and noise leave enough of them. Each candidate votes for
 that agree is a copy.
 
 Images are binary PGM or PPM; others, null and damaged ones have no descriptors and match nothing, and so do images too small for a patch. Equal
-images are one in the index: a match names the smallest id and how many there are. Rows without an id aren't indexed. An empty table gives no rows.
+images are one in the index: a match names the smallest id and how many there are, and search_all() says which they are. Rows without an id aren't indexed. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import settle, tidy
 from .ngram_join import _packed, _part_of
 
 SCALES = (1.0, 0.75)
@@ -121,6 +121,8 @@ def features(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 _ENTRY = np.dtype([("id", "i8"), ("x", "u2"), ("y", "u2"), ("scale", "u1"), ("angle", "u1"), ("corner", "u2"), ("query", "u1"), ("bits", "u8", (SKETCH,))])
 #: Candidates that a task votes on at once.
 _AT_ONCE = 200_000
+#: Tasks that the ids of one image are dealt to.
+SALTS = 64
 
 
 def _entries(media: DataFrame, query: bool, parts: int) -> DataFrame:
@@ -189,14 +191,47 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(q["id"]), pa.array(m["id"]), pa.array(code), pa.array(q["corner"].astype(np.int32))], names=["query_id", "match_id", "cell", "corner"])
 
 
+def _indexed(media: DataFrame) -> DataFrame:
+    return media.where(F.col("id").isNotNull() & F.col("image").isNotNull()).select(F.col("id").cast("long").alias("id"), "image")
+
+
+def _digests(some: DataFrame) -> DataFrame:
+    return some.select("id", F.unhex(F.sha2("image", 256)).alias("digest"))
+
+
+def _several(digests: DataFrame) -> DataFrame:
+    """(digest, least, n_copies) of images that several rows have."""
+    return digests.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
+
+
 def search(media: DataFrame, queries: DataFrame) -> DataFrame:
-    """media(id, image), queries(id, image) -> (query_id, match_id, n_copies, votes): images that a query is a copy of."""
-    parts = 4 * int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = media.where(F.col("id").isNotNull() & F.col("image").isNotNull()).select(F.col("id").cast("long").alias("id"), "image")
+    """media(id, image), queries(id, image) -> (query_id, match_id, n_copies, votes): images that a query is a copy of. Of equal images the smallest id stands for all."""
+    some = _indexed(media)
+    return _matches(some, _several(_digests(some)), queries)
+
+
+def search_all(media: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, match_id, n_copies, votes, member_id): the rows of search(), and who stands behind them.
+
+    Rows of search() have no member_id. Each match_id with n_copies > 1 has a row for each of its rows of media, with its id as member_id and neither
+    query_id nor votes, so that the result grows with matches and rows and not with their product. A query matches every member_id of its match_id.
+    Rows of one image are dealt to SALTS tasks.
+    """
+    some = _indexed(media)
+    digests = settle(_digests(some), "digests")
+    several = settle(_several(digests), "several")
+    found = settle(_matches(some, several, queries), "matches")
+    matched = found.where("n_copies > 1").select("match_id").distinct()
+    chosen = several.join(matched, F.col("least") == F.col("match_id")).select("digest", "match_id", "n_copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = digests.select(F.col("id").alias("member_id"), "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = rows.join(chosen, ["digest", "salt"]).select(F.lit(None).cast("long").alias("query_id"), "match_id", "n_copies", F.lit(None).cast("long").alias("votes"), "member_id")
+    return found.withColumn("member_id", F.lit(None).cast("long")).unionByName(members)
+
+
+def _matches(some: DataFrame, several: DataFrame, queries: DataFrame) -> DataFrame:
+    parts = 4 * int(some.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # equal images once: by digest, without sending the images along
-    digest = some.select("id", F.sha2("image", 256).alias("digest")).groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"))
-    several = digest.where("n_copies > 1").select("digest", F.col("id").alias("least"), "n_copies")
-    unique = some.withColumn("digest", F.sha2("image", 256)).join(several, "digest", "left").where("least is null or id = least")
+    unique = some.withColumn("digest", F.unhex(F.sha2("image", 256))).join(several, "digest", "left").where("least is null or id = least")
     unique = unique.select("id", "image")
     both = _entries(unique, False, parts).unionByName(_entries(queries.select(F.col("id").cast("long").alias("id"), "image"), True, parts))
     votes = both.repartition(parts, "part").mapInArrow(tidy(_votes), "query_id long, match_id long, cell long, corner int")
@@ -238,4 +273,4 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 def find_edited(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Edited images of all vectors whose id is divisible by 20, looked for among the images of all vectors."""
     asked = vectors.where(F.col(id_col) % 20 == 0)
-    return search(rendered(vectors, id_col, vector_col), rendered(asked, id_col, vector_col, edited=True))
+    return search_all(rendered(vectors, id_col, vector_col), rendered(asked, id_col, vector_col, edited=True))

@@ -190,6 +190,22 @@ def test_images_that_are_none(spark):
     assert media.decode(b"P6 1 1 255\n\x03\x06\x09").tolist() == [[6.0]]
 
 
+def test_equal_images_are_all_in_the_result(spark):
+    rng = np.random.default_rng(4)
+    one, *others = [[float(x) for x in rng.normal(size=64)] for _ in range(30)]
+    rows = [(i, one) for i in (3, 20, 40, 41)] + [(50, [2 * x for x in one])] + [(100 + i, v) for i, v in enumerate(others)] + [(200, others[0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = media.find_edited(v).collect()
+    behind = {}
+    for r in found:
+        if r.member_id is not None:
+            assert r.query_id is None and r.votes is None
+            behind.setdefault(r.match_id, []).append(r.member_id)
+    assert {k: sorted(x) for k, x in behind.items()} == {3: [3, 20, 40, 41, 50], 100: [100, 200]}
+    matches = {(r.query_id, m) for r in found if r.query_id is not None for m in behind.get(r.match_id, [r.match_id])}
+    assert {(q, m) for q in (20, 40) for m in (3, 20, 40, 41, 50)} | {(200, 100), (200, 200), (100, 200), (120, 120)} <= matches
+
+
 def test_pipeline_takes_its_stages_in_order(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
