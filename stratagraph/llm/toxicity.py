@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one that adds the
-wording that sets toxic text apart (the words of toxic training texts whose document
-frequency there exceeds the ordinary one by TOXIC_RATIO). Windows of a text, single words
+Two zstandard dictionaries: one trained on ordinary text, and one that adds the
+wording that sets toxic text apart. The latter isn't trained: it is the TOXIC_WORDS words of
+at least LEAST_DOCS toxic training texts that weigh most of those whose document frequency
+there exceeds the ordinary one by TOXIC_RATIO. README has held-out figures for either way. Windows of a text, single words
 and stretches of CONTEXT bytes, are compressed with either; how many bytes the toxic
 dictionary saves, over all windows of the text, is calibrated to a probability by a
 logistic fit, and the threshold by the best F1 on the training rows.
