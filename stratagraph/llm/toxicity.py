@@ -8,7 +8,8 @@ and stretches of CONTEXT bytes, are compressed with either; how many bytes the t
 dictionary saves, over all windows of the text, is calibrated to a probability by a
 logistic fit, and the threshold by the best F1 on the training rows.
 
-The fit takes about SAMPLE rows of each class, chosen by a hash of their id; every text is scored whole.
+The fit takes about SAMPLE rows of each class, chosen by a hash of their id, and trains the
+ordinary dictionary on about WINDOWS windows, chosen by a hash, of all ordinary ones; every text is scored whole.
 
 Edge cases: null, empty and wordless texts score as a text of which no window saves a byte.
 Rows whose label or id is null are not learned from; of several labels of an id the largest holds. Without rows of
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ from .common import id_hash, per_slice
 SAMPLE = 4000
 TOXIC_RATIO, LEAST_DOCS, TOXIC_WORDS, ORDINARY_WORDS, ORDINARY_BYTES = 7.0, 3, 200, 3000, 32_768
 CONTEXT = 128
+#: Expected number of windows of ordinary texts that their dictionary is trained on, at most.
+WINDOWS = 40_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Stands before single words in both dictionaries, so that even the shortest window is worth compressing.
 FILLER = bytes(range(64))
@@ -64,6 +68,13 @@ def context_windows(text: str, size: int = CONTEXT) -> list[bytes]:
     return out
 
 
+def windows_of(texts: list[str], budget: int | None = None) -> list[bytes]:
+    """About budget (WINDOWS) windows, as a hash of their number falls, of all texts alike; all of them where there are no more. In the order of the hash, as training was seen to take nothing from the last rows."""
+    share = min(1.0, (WINDOWS if budget is None else budget) / max(1, sum(len(context_windows(t.lower())) for t in texts)))
+    every = ((zlib.crc32(b"%d" % i), w) for i, w in enumerate(w for t in texts for w in context_windows(t.lower())))
+    return [w for _, w in sorted(x for x in every if x[0] < share * 2**32)]
+
+
 class Compressors:
     def __init__(self, ordinary_words: bytes, ordinary: bytes, toxic: bytes):
         import zstandard
@@ -131,7 +142,7 @@ def fit(texts: list[str], toxic: list[int], ordinary_weight: float = 1.0) -> Mod
     toxic_bytes = (" " + " ".join(w for _, w in picked) + " ").encode()
     common = sorted(((n, w) for w, n in in_good.items() if odds.get(w, 0) < 2), reverse=True)[:ORDINARY_WORDS]
     ordinary_words = (" " + " ".join(w for _, w in reversed(common)) + " ").encode()
-    samples = [w for t in good[:1500] for w in context_windows(t.lower())][:40_000]
+    samples = windows_of(good)
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples

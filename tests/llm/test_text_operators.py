@@ -184,3 +184,13 @@ def test_item_blocks_agree(spark, monkeypatch, texts):
     whole = sorted(map(tuple, decontam.find(docs, items).collect()))
     monkeypatch.setattr(decontam, "ITEM_WORDS", 100)
     assert sorted(map(tuple, decontam.find(docs, items).collect())) == whole and whole
+
+
+def test_ordinary_windows_come_from_all_sampled_texts():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    good = [" ".join(rng.choices(words, k=20)) for _ in range(1500)] + [f"{w} zircon quartz lattice of basalt and feldspar with olivine {w}" for w in rng.sample(words, 300)]
+    bad = [f"{rng.choice(words)} vile scum" for _ in range(50)]
+    assert b"quartz" in toxicity.fit(good + bad, [0] * len(good) + [1] * len(bad)).ordinary
+    some = toxicity.windows_of(["x" * 200_000] + ["short text"] * 1500, 1000)
+    assert 800 < len(some) < 1200 and some.count(b"short text") > 300
