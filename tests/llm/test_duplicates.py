@@ -206,6 +206,13 @@ def test_equal_images_are_all_in_the_result(spark):
     assert {(q, m) for q in (20, 40) for m in (3, 20, 40, 41, 50)} | {(200, 100), (200, 200), (100, 200), (120, 120)} <= matches
 
 
+def test_representatives_of_texts_with_one_id(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(near)), (2, " ".join([*near, "more"])), (2, "a clean text that is like no other"), (2, "another clean text of that same id"), (3, ""), (3, None), (None, None), (None, None), (None, " "), (None, "no id but words"), (None, "no id but words")]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], *rows[2:10]], key=repr)
+
+
 def test_pipeline_takes_its_stages_in_order(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
