@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, tidy
-from .ngram_join import _packed, _part_of
+from .ngram_join import _part_of, _runs
 
 SCALES = (1.0, 0.75)
 CORNERS = 14
@@ -125,6 +125,15 @@ _AT_ONCE = 200_000
 SALTS = 64
 
 
+def _packed(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
+    if not len(part):
+        return None
+    order = np.argsort(part, kind="stable")
+    first, n = _runs(part[order])
+    own = [order[a : a + k] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), *(pa.array([c[o].tobytes() for o in own], pa.binary()) for c in columns)], names=["part", *(f"c{i}" for i in range(len(columns)))])
+
+
 def _entries(media: DataFrame, query: bool, parts: int) -> DataFrame:
     """media(id, image) -> a part's chunk keys and entries, in binary."""
 

@@ -1,13 +1,16 @@
 """Exact Jaccard join of word shingles by universe partition and pigeonhole.
 
-The shingles of a document are hashed into m segments. Documents of Jaccard similarity 0.8 or more, of sizes r and s,
-differ in at most H = (r + s) / 9 shingles, so that with m = H + 1 + e segments at least e + 1 are alike. Each size band and each
-border between bands has its own m. Which e segments a document leaves out is a matter of cost: those that most documents share
-(empty ones first). Of the segments in which two documents are alike, the cheapest is among the e dearest of neither, so nothing is lost, and what
-a frequent passage has in common doesn't make candidates. Sets of so few shingles that H is 1 are indexed whole and by their one-deletion neighbourhood.
+Documents of Jaccard similarity 0.8 or more, of sizes r and s, differ in at most H = (r + s) / 9 shingles. The shingles are hashed into m = H / 2 + 1 + e
+segments, so that at least e + 1 segments differ in one shingle at most. Such a segment is found by subsets of it: by either of its halves, by two of its
+thirds, or by itself and its one-deletion neighbourhood. Which of these a size band uses, and its e, follows from a model of what keys and false candidates cost.
+Each document then leaves out its dearest keys, those that most documents share, as long as they are of e segments at most. The order is the same
+for all, so the cheapest key that a similar pair shares is left out by neither: all others would be gone before it, and they are of e + 1 segments.
 
-Documents with equal sets are one from the start. Groups of candidates are verified exactly, in blocks of bounded bytes; a group that exceeds
-a block is compared with a few of its documents first, and then only those outside its largest component with all others, block by block.
+Documents with equal sets are one from the start. The documents of a key are compared with one of them, which joins most copies; those that are not joined
+yet with others, and at last all of a key that are still in different components. Before sets are fetched, sizes and parity sketches, whose Hamming distance
+is never above that of the sets, rule pairs out. What is left is verified on the sets themselves.
+
+Sets are known by 128 bits of their shingles' hashes, shingles by 64: unlike pairs are misjudged only if shingles of these two documents collide.
 
 Edge cases: null, empty and wordless texts have no shingle and stand alone; fewer words than a shingle has make one. Repeated rows are equal sets. Equal ids
 of different texts are different documents with one id. A null id never becomes a component's id unless no other is there.
@@ -15,12 +18,11 @@ of different texts are different documents with one id. A null id never becomes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,20 @@ from .textcore import mix, sets
 TINY = 9
 #: How much larger each size band's end is than its begin.
 BAND = 1.8
-#: Bytes of shingle sets in a block.
+#: Of the cost model: the share of shingles that documents with common passages have alike, and a false candidate's cost in keys, by set size and at least.
+ALIKE, CANDIDATE, LEAST_CANDIDATE = 0.4, 0.02, 4.0
+#: Bytes of shingle sets that a task verifies at once.
 BLOCK_BYTES = 6_000_000
-#: Documents that a group of several blocks is compared with first.
-CENTRES = 64
+#: Bytes of keys that a task groups at once, on average.
+PART_BYTES = 16_000_000
+#: Times that documents are compared with one of their key before all that are left are.
+STARS = 3
+#: Words of a parity sketch.
+SKETCH = 4
 _ONE = np.uint64(0x9E3779B97F4A7C15)
+_TWO = np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64(0xFFFFFFFF)
+HALVES, THIRDS, DELETIONS = 2, 3, 0
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,72 +55,108 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 9 * common >= 4 * (a + b)
 
 
+def allocation(low: int, high: int, h: int) -> tuple[int, int]:
+    """(e, form of the subsets) of the least cost for sets from low to high - 1 shingles that differ in h at most."""
+    n = (low + high) / 2
+    candidate = LEAST_CANDIDATE + CANDIDATE * n
+    best = []
+    for e in (1 + h // 8, 1 + h // 6, 2 + h // 6):
+        m = h // 2 + 1 + e
+        each = n / m
+        for form, keys, held in ((HALVES, 2.0, each / 2), (THIRDS, 3.0, each * 2 / 3), (DELETIONS, each + 1, max(0.0, each - 1))):
+            best.append((m * keys * (1 + candidate * ALIKE**held), e, form))
+    return min(best)[1:]
+
+
 @lru_cache
-def bands(largest: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(first size, size after the last, H, e) of each band and border that sets of up to so many shingles fall into."""
+def bands(largest: int) -> tuple[tuple[int, int, int, int, int], ...]:
+    """(first size, size after the last, H, e, form) of each band and border that sets of up to so many shingles fall into."""
     out, low = [], TINY - 1
     while low <= largest:
         high = max(low + 2, int(low * BAND))
         for a, b, h in ((low, high, 2 * (high - 1) // 9), (-(-high * 4 // 5), int((high - 1) * 1.25) + 1, ((high - 1) + int((high - 1) * 1.25)) // 9)):
-            out.append((a, b, h, -(-h // 3) + 2))
+            out.append((a, b, h, *allocation(a, b, h)))
         low = high
     return tuple(out)
 
 
-def set_hash(s: np.ndarray) -> int:
+def set_hash(s: np.ndarray) -> bytes:
     """What documents with equal sets are known by."""
-    x = mix(np.array([mix(s ^ _ONE).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64))[0]
-    return int(x.view(np.int64))
+    n = np.uint64(len(s))
+    return mix(np.array([mix(s ^ _ONE).sum(dtype=np.uint64) + n, mix(s + _TWO).sum(dtype=np.uint64) ^ mix(np.array([n]))[0]], dtype=np.uint64)).tobytes()
+
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """64 * SKETCH counters of the shingles, each modulo 2."""
+    odd = np.bincount(((s >> np.uint64(7)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<u8")
 
-def keys_of(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(number of the band, segments to leave out, keys) for each band that the set is in; keys of empty segments are there only if more are empty than are left out."""
+
+def keys_of(s: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(number of the band, segments that may be left out, keys, their segments) for each band that the set is in.
+
+    Keys of empty subsets are the dearest: they are left out here as far as they may be.
+    """
     n, out = len(s), []
     if 1 < n <= TINY:
         whole = mix(s).sum(dtype=np.uint64)
-        out.append((0, 0, mix(np.append(whole, whole - mix(s)) + _ONE)))
+        out.append((0, 0, mix(np.append(whole, whole - mix(s)) + _ONE), np.zeros(n + 1, np.uint32)))
     if n < TINY - 1:
         return out
     content = mix(s ^ _ONE)
-    for k, (a, b, h, e) in enumerate(bands(1 << (n.bit_length() + 1)), 1):
+    for k, (a, b, h, e, form) in enumerate(bands(1 << (n.bit_length() + 1)), 1):
         if not a <= n < b:
             if a > n and k % 2:
                 break
             continue
-        m = h + 1 + e
+        m = h // 2 + 1 + e
         seed = np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
-        segment = ((mix(s + seed) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        total, size = np.zeros(m, np.uint64), np.bincount(segment.astype(np.int64), minlength=m)
-        np.add.at(total, segment.astype(np.int64), content)
-        keys = mix(total ^ mix(np.arange(m, dtype=np.uint64) + seed))
-        empty = np.sort(keys[size == 0])[: max(0, int((size == 0).sum()) - e)]
-        out.append((k, max(0, e - int((size == 0).sum())), np.concatenate([keys[size > 0], empty])))
+        x = mix(s + seed)
+        segment = (((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+        if form == DELETIONS:
+            total, size = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
+            np.add.at(total, segment, content)
+            sums, of, held = np.append(total, total[segment] - content), np.append(np.arange(m), segment), np.append(size, size[segment] - 1)
+            keys = mix(sums ^ mix(of.astype(np.uint64) + seed))
+        else:
+            cell = segment * form + (((x & _LOW) * np.uint64(form)) >> np.uint64(32)).astype(np.int64)
+            sums, held = np.zeros(m * form, np.uint64), np.bincount(cell, minlength=m * form)
+            np.add.at(sums, cell, content)
+            of = np.repeat(np.arange(m), form)
+            if form == THIRDS:  # two of three: all but one
+                sums, held = np.repeat(sums.reshape(m, 3).sum(1, dtype=np.uint64), 3) - sums, np.repeat(held.reshape(m, 3).sum(1), 3) - held
+            keys = mix(sums ^ mix(np.arange(m * form, dtype=np.uint64) + seed))
+        none = np.flatnonzero(held == 0)
+        keep, leave = np.ones(len(keys), bool), e
+        if len(none):
+            none = none[np.argsort(keys[none])]
+            seen: set[int] = set()
+            drop: list[int] = []
+            for i, g in zip(none.tolist(), of[none].tolist(), strict=True):
+                if g not in seen and len(seen) == e:
+                    break
+                seen.add(g)
+                drop.append(i)
+            keep[drop] = False
+            leave = e - len(seen)
+        out.append((k, leave, keys[keep], of[keep].astype(np.uint32)))
     return out
 
 
-def _by_part(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
-    order = np.argsort(part, kind="stable")
-    first, n = _runs(part[order])
-    for a, k in zip(first.tolist(), n.tolist(), strict=True):
-        own = order[a : a + k]
-        yield int(part[own[0]]), [c[own].tobytes() for c in columns]
-
-
-def _packed(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
-    rows = [(p, *data) for p, data in _by_part(part, columns)]
-    if not rows:
-        return None
-    kinds = [pa.int32()] + [pa.binary()] * len(columns)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", *(f"c{i}" for i in range(len(columns)))])
+_KEYED = np.dtype([("key", "u8"), ("segment", "u4"), ("ref", "u4")])
+_SHARED = np.dtype([("key", "u8"), ("segment", "u4"), ("size", "u4"), ("ref", "u4")])
+_KEPT = np.dtype([("key", "u8"), ("ref", "u4")])
+_BANDED = np.dtype([("set", "u8", (2,)), ("band", "u1"), ("leave", "u4")])
+_SET = np.dtype([("set", "u8", (2,)), ("n", "u4"), ("sketch", "u8", (SKETCH,)), ("root", "u8", (2,))])
+_ROOT = np.dtype([("set", "u8", (2,)), ("root", "u8", (2,))])
+_PAIR = np.dtype([("a", "u8", (2,)), ("b", "u8", (2,)), ("n", "u4")])
+_PART = np.uint64(0xD6E8FEB86659FD93)
+#: Rows that go from part to part: entries that refer to rows of their own table.
+_ROWS = "part int, kind int, entries binary, rows binary"
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> list[np.ndarray]:
-    """All rows of a partition as columns; a partition's size is the input's over the number of partitions."""
-    got: list[list[np.ndarray]] = [[] for _ in kinds]
-    for batch in batches:
-        for k, kind in enumerate(kinds):
-            got[k] += [np.frombuffer(x, dtype=kind) for x in batch.column(f"c{k}").to_pylist()]
-    return [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(got, kinds, strict=True)]
+def _part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(x.view(np.uint64) + _PART) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
 def _runs(*sorted_columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,233 +172,412 @@ def _runs(*sorted_columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, n))
 
 
-_PART = np.uint64(0xD6E8FEB86659FD93)
+def _batch(part: list[int], kind: int, entries: list[bytes | None], rows: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array(entries, pa.binary()), pa.array(rows, pa.binary())], names=["part", "kind", "entries", "rows"])
 
 
-def _part_of(x: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(x.view(np.uint64) + _PART) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+def _dealt(part: np.ndarray, kind: int, rows: np.ndarray, entries: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """Rows by their part; or entries by theirs, with what they refer to of rows."""
+    if not len(part):
+        return None
+    order = np.argsort(part, kind="stable")
+    first, n = _runs(part[order])
+    numbers, held, tables = [], [], []
+    for a, k in zip(first.tolist(), n.tolist(), strict=True):
+        own = order[a : a + k]
+        numbers.append(int(part[own[0]]))
+        if entries is None:
+            held.append(None)
+            tables.append(rows[own].tobytes())
+            continue
+        e = entries[own]
+        used, e["ref"] = np.unique(e["ref"], return_inverse=True)
+        held.append(e.tobytes())
+        tables.append(rows[used].tobytes())
+    return _batch(numbers, kind, held, tables)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], kinds: dict[int, tuple[np.dtype | None, np.dtype]]) -> Iterator[dict[int, tuple[np.ndarray | None, np.ndarray]]]:
+    """One part after the other, of batches sorted by part: for each kind its entries and rows, equal rows once."""
+    held: dict[int, tuple[list, list]] = {}
+    at = None
+
+    def joined() -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+        out = {}
+        for kind, (entry, row) in kinds.items():
+            some, tables = held.get(kind, ([], []))
+            rows = np.frombuffer(b"".join(tables), row)
+            order = np.lexsort((rows["band"], rows["set"][:, 1], rows["set"][:, 0])) if "band" in row.names else np.lexsort((rows["set"][:, 1], rows["set"][:, 0])) if "set" in row.names else None
+            if order is None:
+                out[kind] = (None, rows)
+                continue
+            first, n = _runs(*(rows[c][order] if c == "band" else rows[c][order, k] for c, k in (("band", 0), ("set", 0), ("set", 1)) if c in row.names))
+            number = np.empty(len(rows), np.int64)
+            number[order] = np.repeat(np.arange(len(first)), n)
+            entries = None
+            if entry is not None:
+                entries = np.frombuffer(b"".join(some), entry).copy()
+                base = np.cumsum([0] + [len(t) // row.itemsize for t in tables])[:-1]
+                entries["ref"] = number[entries["ref"] + np.repeat(base, [len(x) // entry.itemsize for x in some])] if len(entries) else 0
+            out[kind] = (entries, rows[order[first]])
+        return out
+
+    for batch in batches:
+        for part, kind, entries, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "entries", "rows")), strict=True):
+            if at is not None and part != at:
+                yield joined()
+                held = {}
+            at = part
+            some, tables = held.setdefault(kind, ([], []))
+            some.append(entries or b"")
+            tables.append(rows)
+    if at is not None:
+        yield joined()
 
 
-def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, handle (null without shingles)."""
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows of a part together; Spark's partitions hold several parts, one after the other."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "part").sortWithinPartitions("part")
+
+
+def _each_part(rows: DataFrame, kinds: dict[int, tuple[np.dtype | None, np.dtype]], fn: Callable[[dict], Iterator[pa.RecordBatch | None]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_part(batches, kinds):
+            for out in fn(part):
+                if out is not None:
+                    yield out
+
+    return rows.mapInArrow(tidy(run), _ROWS)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """docs(id, row, text) -> id, row, n_shingles, handle and sketch (null without shingles)."""
 
     def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         got = sets(texts)
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([len(s) for s in got], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in got], pa.int64())], names=[id_col, "n_shingles", "handle"])
+        cols = [pa.array([len(s) for s in got], pa.int64()), *(pa.array([f(s) if len(s) else None for s in got], pa.binary()) for f in (set_hash, lambda s: parity_sketch(s).tobytes()))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *cols], names=["id", "row", "n_shingles", "handle", "sketch"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(per_slice(run), f"id {kind}, row long, n_shingles long, handle binary, sketch binary")
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(per_slice(run, text_col), f"`{id_col}` {kind}, n_shingles long, handle long")
 
+def _copied(about: DataFrame) -> dict[bytes, int]:
+    """The row that stands for each set with so many copies that a task shouldn't get them all; there are 10000 such sets at most."""
+    n = about.count()
+    several = about.where("handle is not null").groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
+    return {r[0]: r[1] for r in several.where(F.col("n") > max(1000, n // 10_000)).select("handle", "row").collect()}
 
-def candidate_edges(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """(a, b): handles of sets that share a key which both keep; the key's first document with each other one."""
+
+def kept_keys(docs: DataFrame, about: DataFrame, parts: int) -> DataFrame:
+    """By the set's part: the keys that other sets have too and that this one doesn't leave out, with the sets."""
+    copied = _copied(about)
 
     def emit(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch | None:
-        keys, handles, where, leave = [], [], [], []
-        seen = set()
-        for s in sets(texts):
-            h = set_hash(s) if len(s) else 0
-            if len(s) < 2 or h in seen:
+        entries, rows = [], []
+        seen: set[bytes] = set()
+        for s, row in zip(sets(texts), batch.column("row").to_pylist(), strict=True):
+            if len(s) < 2 or (h := set_hash(s)) in seen or copied.get(h, row) != row:
                 continue
             seen.add(h)
-            for band, e, k in keys_of(s):
-                keys.append(k)
-                handles.append(np.full(len(k), h, np.int64))
-                where.append(np.full(len(k), band, np.uint8))
-                leave.append(np.full(len(k), min(e, 65535), np.uint16))
-        if not keys:
+            for band, leave, keys, segments in keys_of(s):
+                e = np.empty(len(keys), _KEYED)
+                e["key"], e["segment"], e["ref"] = keys, segments, len(rows)
+                entries.append(e)
+                rows.append((tuple(np.frombuffer(h, "u8")), band, leave))
+        if not rows:
             return None
-        key = np.concatenate(keys)
-        return _packed(_part_of(key, parts), [key, np.concatenate(handles), np.concatenate(where), np.concatenate(leave)])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, handle, where, leave = _unpacked(batches, ["u8", "i8", "u1", "u2"])
-        order = np.lexsort((handle, key))
-        key, handle, where, leave = key[order], handle[order], where[order], leave[order]
-        first, _ = _runs(key, handle)
-        key, handle, where, leave = key[first], handle[first], where[first], leave[first]
-        first, size = _runs(key)
-        size = np.repeat(size, size)
-        several = size > 1
-        out = _packed(_part_of(handle[several], parts), [key[several], handle[several], where[several], leave[several], size[several].astype(np.uint32)])
-        if out is not None:
-            yield out
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, handle, where, leave, size = _unpacked(batches, ["u8", "i8", "u1", "u2", "u4"])
-        order = np.lexsort((key, size, where, handle))
-        key, handle, where, leave = key[order], handle[order], where[order], leave[order]
-        first, n = _runs(handle, where)
-        rank = np.arange(len(key)) - np.repeat(first, n)
-        cheap = rank < np.repeat(n, n) - leave.astype(np.int64)
-        out = _packed(_part_of(key[cheap], parts), [key[cheap], handle[cheap]])
-        if out is not None:
-            yield out
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, handle = _unpacked(batches, ["u8", "i8"])
-        order = np.lexsort((handle, key))
-        key, handle = key[order], handle[order]
-        first, n = _runs(key)
-        a = np.repeat(handle[first], n)
-        other = a != handle
-        edges = np.unique(np.stack([a[other], handle[other]], axis=1), axis=0)
-        for i in range(0, len(edges), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[i : i + 50_000, 0]), pa.array(edges[i : i + 50_000, 1])], names=["a", "b"])
-
-    c = lambda n: "part int, " + ", ".join(f"c{i} binary" for i in range(n))
-    keyed = docs.select(text_col).mapInArrow(per_slice(emit, text_col), c(4))
-    counted = keyed.repartition(parts, "part").mapInArrow(tidy(count), c(5))
-    kept = counted.repartition(parts, "part").mapInArrow(tidy(keep), c(2))
-    return kept.repartition(parts, "part").mapInArrow(tidy(pair), "a long, b long")
-
-
-def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """How many elements each set on the left has in common with each on the right (or with each on the left)."""
-    every = left + (right or [])
-    rows = np.repeat(np.arange(len(every)), [len(s) for s in every])
-    tokens = np.concatenate(every) if every else np.zeros(0, np.uint64)
-    order = np.argsort(tokens, kind="stable")
-    tokens, rows = tokens[order], rows[order]
-    first, n = _runs(tokens)
-    column = np.repeat(np.cumsum(n > 1) - 1, n)
-    shared = np.repeat(n > 1, n)
-    rows, column = rows[shared], column[shared]
-    out = np.zeros((len(left), len(right) if right is not None else len(left)), np.float32)
-    width = max(64, min(4096, 32_000_000 // (4 * max(1, len(every)))))
-    bounds = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
-    for k in range(len(bounds) - 1):
-        a, b = bounds[k], bounds[k + 1]
-        if a == b:
-            continue
-        x = np.zeros((len(every), width), np.float32)
-        x[rows[a:b], column[a:b] - k * width] = 1
-        out += x[: len(left)] @ (x[len(left) :] if right is not None else x).T
-    return np.rint(out).astype(np.int64)
-
-
-def forest(link: np.ndarray) -> np.ndarray:
-    """The smallest index that each row of a symmetric matrix of links can reach."""
-    n = len(link)
-    label = np.arange(n)
-    done = np.zeros(n, bool)
-    for i in range(n):
-        if done[i]:
-            continue
-        member = np.zeros(n, bool)
-        member[i] = True
-        front = np.array([i])
-        while len(front):
-            near = link[front].any(0) & ~member
-            member |= near
-            front = np.flatnonzero(near)
-        label[member] = i
-        done |= member
-    return label
-
-
-_SET_SCHEMA = "cluster long, handle long, elements binary"
-
-
-def _sets_of(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    return table.column("handle").to_numpy(), [np.frombuffer(x, "u8") for x in table.column("elements").to_pylist()]
-
-
-def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _inside(table: pa.Table) -> pa.Table:
-    """Links among the sets of a block, as a tree for each component."""
-    handle, s = _sets_of(table)
-    n = np.array([len(x) for x in s])
-    link = linked(intersections(s), n[:, None], n[None, :])
-    label = forest(link)
-    return _edges([(int(handle[j]), int(handle[i])) for i, j in enumerate(label) if i != j])
-
-
-def _between(both: pa.Table) -> pa.Table:
-    """Links between the sets of side 0 and those of side 1: a forest of them, or all if they are few."""
-    left, right = (both.filter(pc.equal(both.column("side"), k)) for k in (0, 1))
-    if not left.num_rows or not right.num_rows:
-        return _edges([])
-    (ha, a), (hb, b) = _sets_of(left), _sets_of(right)
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    i, j = np.nonzero(linked(intersections(a, b), na[:, None], nb[None, :]))
-    pairs = {(int(ha[x]), int(hb[y])) for x, y in zip(i, j, strict=True)} if len(i) < 4 * (len(a) + len(b)) else None
-    if pairs is None:
-        seen_a, seen_b, pairs = np.zeros(len(a), bool), np.zeros(len(b), bool), set()
-        m = np.zeros((len(a) + len(b),) * 2, bool)
-        m[i, len(a) + j] = m[len(a) + j, i] = True
-        label, every = forest(m), np.concatenate([ha, hb])
-        pairs = {(int(every[x]), int(every[y])) for y, x in enumerate(label) if x != y}
-    return _edges(sorted(p for p in pairs if p[0] != p[1]))
-
-
-def verified_links(members: DataFrame) -> DataFrame:
-    """(a, b) of handles: a forest of the links within each cluster of members(cluster, handle, elements)."""
-    size = members.groupBy("cluster").agg(F.sum(F.octet_length("elements") + F.lit(64)).alias("bytes"))
-    sized = members.join(size, "cluster")
-    small = sized.where(F.col("bytes") <= BLOCK_BYTES).select("cluster", "handle", "elements")
-    links = small.groupBy("cluster").applyInArrow(_inside, "a long, b long")
-    large = settle(sized.where(F.col("bytes") > BLOCK_BYTES), "large-clusters")
-    if large.limit(1).count() == 0:
-        drop_settled(large)
-        return links
-    sides = lambda x, y: x.withColumn("side", F.lit(0)).unionByName(y.withColumn("side", F.lit(1)))
-    # blocks of a large cluster: by hash, so many that one has BLOCK_BYTES / 2 on average
-    each = F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>")
-    blocks = F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES / 2)).cast("int")
-    in_blocks = large.select("cluster", "handle", "elements", blocks.alias("blocks"), F.pmod(F.xxhash64("handle"), blocks).alias("block"))
-    own = in_blocks.groupBy("cluster", "block").applyInArrow(_inside, "a long, b long")
-    # the sets of the smallest hashes are compared with all blocks; a heap of CENTRES for each cluster is all that is kept of it
-    centre = large.groupBy("cluster").agg(F.max(F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES / 2))).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
-    chosen = large.join(centre, "cluster").where(F.pmod(F.xxhash64("handle", F.lit(7)), F.col("n")) < CENTRES).select("cluster", "handle", "elements", F.explode(each).alias("block"))
-    spread = sides(chosen, in_blocks.drop("blocks")).groupBy("cluster", "block").applyInArrow(_between, "a long, b long")
-    first = settle(own.unionByName(spread), "large-links")
-    roots = components(first, "large-components")
-    labelled = in_blocks.join(roots, in_blocks["handle"] == roots["node"], "left").select("cluster", "block", "blocks", "handle", "elements", F.coalesce("root", "handle").alias("root"))
-    count = labelled.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    marked = settle(labelled.join(main, "cluster"), "large-labelled")
-    # every pair that could still join two components has a set outside the largest one
-    rest = marked.where("root <> main").select("cluster", "handle", "elements", F.col("block").alias("from"), F.explode(each).alias("block"))
-    all_ = marked.select("cluster", "handle", "elements", "block", "blocks").withColumn("from", F.explode(each))
-    waiting = marked.where("root <> main").groupBy("cluster", F.col("block").alias("from")).agg(F.count(F.lit(1)).alias("w")).select("cluster", "from")
-    all_ = all_.join(waiting, ["cluster", "from"], "left_semi").select("cluster", "handle", "elements", "from", "block")
-    last = sides(rest, all_).groupBy("cluster", "from", "block").applyInArrow(_between, "a long, b long")
-    return links.unionByName(first).unionByName(last)
+        e = np.concatenate(entries)
+        return _dealt(_part_of(e["key"], parts), 0, np.array(rows, _BANDED), e)
+
+    def count(part: dict) -> Iterator[pa.RecordBatch | None]:
+        e, rows = part[0]
+        e = e[np.lexsort((e["ref"], e["key"]))]
+        e = e[_runs(e["key"], e["ref"])[0]]  # copies of a set in other slices
+        _, n = _runs(e["key"])
+        size = np.repeat(n, n)
+        e, size = e[size > 1], size[size > 1]
+        out = np.empty(len(e), _SHARED)
+        for c in ("key", "segment", "ref"):
+            out[c] = e[c]
+        out["size"] = size
+        yield _dealt(_part_of(rows["set"][e["ref"], 0], parts), 0, rows, out)
+
+    def keep(part: dict) -> Iterator[pa.RecordBatch | None]:
+        (e, rows), (_, about_) = part[0], part[1]
+        e = e[np.lexsort((e["key"], -e["size"].astype(np.int64), e["ref"]))]
+        _, first = np.unique((e["ref"].astype(np.uint64) << np.uint64(32)) | e["segment"], return_index=True)
+        new = np.zeros(len(e), np.int64)
+        new[first] = 1
+        begin, n = _runs(e["ref"])
+        total = np.cumsum(new)
+        touched = total - np.repeat(total[begin] - new[begin], n)
+        e = e[touched > rows["leave"][e["ref"]]]
+        out = np.empty(len(e), _KEPT)
+        out["key"], out["ref"] = e["key"], _place(about_["set"], rows["set"])[e["ref"]]
+        yield _dealt(_part_of(about_["set"][out["ref"], 0], parts), 0, about_, out)
+
+    keyed = docs.select("row", "text").mapInArrow(per_slice(emit), _ROWS)
+    shared = _each_part(_gathered(keyed), {0: (_KEYED, _BANDED)}, count)
+    return _each_part(_gathered(shared.unionByName(_sets_of(about, parts))), {0: (_SHARED, _BANDED), 1: (None, _SET)}, keep)
+
+
+def _words(column: pa.Array, n: int = 2) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "u8").reshape(-1, n)
+
+
+def _place(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where in a sorted table without repeats each wanted set is."""
+    order = np.lexsort((wanted[:, 1], wanted[:, 0]))
+    both = np.concatenate([table, wanted])
+    source = np.append(np.zeros(len(table), np.int64), np.ones(len(wanted), np.int64))
+    by = np.lexsort((source, both[:, 1], both[:, 0]))
+    at = np.cumsum(source[by] == 0) - 1
+    out = np.empty(len(wanted), np.int64)
+    out[order] = at[source[by] == 1]
+    return out
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id that links reach, its own included)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    about = settle(described(docs, id_col, text_col), "shingle-sets")
-    ids = about.where("handle is not null").groupBy("handle").agg(F.min(id_col).alias("least"))
-    edges = settle(candidate_edges(docs, text_col, parts).distinct(), "candidates")
-    clusters = components(edges, "clusters").withColumnRenamed("root", "cluster")
-    wanted = ids.where(F.col("least").isNotNull()).join(clusters, ids["handle"] == clusters["node"]).select("least", "handle", "cluster")
-    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+def _sets_of(about: DataFrame, parts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, _SET)
+            rows["set"], rows["n"], rows["sketch"] = _words(batch.column("handle")), batch.column("n_shingles").to_numpy(), _words(batch.column("sketch"), SKETCH)
+            rows["root"] = rows["set"]
+            out = _dealt(_part_of(rows["set"][:, 0], parts), 1, rows)
+            if out is not None:
+                yield out
+
+    return about.where("n_shingles > 1").select("handle", "n_shingles", "sketch").distinct().mapInArrow(tidy(run), _ROWS)
+
+
+def _roots_of(labels: DataFrame, parts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, _ROOT)
+            rows["set"], rows["root"] = _words(batch.column("node")), _words(batch.column("root"))
+            out = _dealt(_part_of(rows["set"][:, 0], parts), 2, rows)
+            if out is not None:
+                yield out
+
+    return labels.mapInArrow(tidy(run), _ROWS)
+
+
+def may_link(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False where sizes or sketches of two sets say that they differ in more than a ninth of both."""
+    n, m = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
+    ok = 9 * np.abs(n - m) <= n + m
+    at = np.flatnonzero(ok)
+    differ = np.bitwise_count(rows["sketch"][a[at]] ^ rows["sketch"][b[at]]).sum(1, dtype=np.int64)
+    ok[at] = 9 * differ <= n[at] + m[at]
+    return ok
+
+
+def _numbers(roots: np.ndarray) -> np.ndarray:
+    """A number for each different root."""
+    order = np.lexsort((roots[:, 1], roots[:, 0]))
+    first, n = _runs(roots[order, 0], roots[order, 1])
+    out = np.empty(len(roots), np.int64)
+    out[order] = np.repeat(np.arange(len(first)), n)
+    return out
+
+
+_AT_ONCE = 500_000
+#: Sets of a key that are all compared with each other at once.
+SMALL = 4
+
+
+def _compared(e: np.ndarray, rows: np.ndarray, turn: int | None, small: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Of a part's keys: entries that need another turn, and pairs of sets in different components to verify.
+
+    With a turn, each set outside the component that most sets of the key are in is paired with one of that component; which one depends on the turn.
+    Without, and for keys of a small number of sets, with every set of another component.
+    """
+    root = _numbers(rows["root"])
+    order = mix(rows["set"][:, 0] + np.uint64(0 if turn is None else turn + 1))
+    # by key, then component; of a component, by the turn's order
+    e = e[np.lexsort((order[e["ref"]], root[e["ref"]], e["key"]))]
+    ref = e["ref"].astype(np.int64)
+    first, n = _runs(e["key"], root[ref])
+    key_first, components_ = _runs(e["key"][first])
+    begin = np.append(first[key_first], len(e))
+    # of each key, the run of the largest component
+    group = np.repeat(np.arange(len(key_first)), components_)
+    main = np.lexsort((order[ref[first]], -n, group))[key_first]
+    of = np.repeat(group, n)
+    mixed = components_[of] > 1
+    outside = mixed & (np.repeat(np.arange(len(first)), n) != main[of])
+    whole = np.full(len(e), True) if turn is None else np.diff(begin)[of] <= small
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x = np.flatnonzero(outside & ~whole)
+        yield ref[first[main]][of[x]], ref[x]
+        x = np.flatnonzero(outside & whole)
+        total = np.append(0, np.cumsum(begin[of[x] + 1] - begin[of[x]]))
+        for a in range(0, int(total[-1]), _AT_ONCE):
+            at = np.arange(a, min(a + _AT_ONCE, int(total[-1])))
+            i = np.searchsorted(total, at, side="right") - 1
+            p = x[i]
+            q = begin[of[p]] + at - total[i]
+            once = (root[ref[p]] != root[ref[q]]) & (~outside[q] | (p < q))
+            yield ref[q[once]], ref[p[once]]
+
+    return e[mixed & ~whole], pairs()
+
+
+def _pairs(rows: np.ndarray, some: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch | None]:
+    for a, b in some:
+        ok = may_link(rows, a, b)
+        both = np.unique(np.stack([a[ok], b[ok]], axis=1), axis=0)
+        out = np.empty(len(both), _PAIR)
+        if len(both):
+            out["a"], out["b"], out["n"] = rows["set"][both[:, 0]], rows["set"][both[:, 1]], rows["n"][both[:, 1]]
+            yield _dealt(_part_of(out["b"][:, 0], parts), 3, out)
+
+
+def compare(kept: DataFrame, labels: DataFrame | None, turn: int | None, parts: int) -> DataFrame:
+    """kept (keys by the set's part) -> the same of keys that are still mixed, and pairs to verify, by the part of b."""
+
+    small, labelled = SMALL, labels is not None
+
+    def by_key(part: dict) -> Iterator[pa.RecordBatch | None]:
+        e, rows = part[0]
+        if labelled and len(part[2][1]):
+            known = part[2][1]
+            rows = rows.copy()
+            place = _place(known["set"], rows["set"])
+            same = (place >= 0) & (known["set"][place] == rows["set"]).all(1)
+            rows["root"][same] = known["root"][place[same]]
+        yield _dealt(_part_of(e["key"], parts), 0, rows, e)
+
+    def groups(part: dict) -> Iterator[pa.RecordBatch | None]:
+        e, rows = part[0]
+        mixed, some = _compared(e, rows, turn, small)
+        if turn is not None:
+            yield _dealt(_part_of(rows["set"][mixed["ref"], 0], parts), 0, rows, mixed)
+        yield from _pairs(rows, some, parts)
+
+    kinds = {0: (_KEPT, _SET)} | ({2: (None, _ROOT)} if labels is not None else {})
+    source = kept.where("kind = 0")
+    if labels is not None:
+        source = _gathered(source.unionByName(_roots_of(labels, parts)))
+    return settle(_each_part(_gathered(_each_part(source if labels is not None else source.sortWithinPartitions("part"), kinds, by_key)), {0: (_KEPT, _SET)}, groups), "compared")
+
+
+def pairs_of(compared: DataFrame) -> DataFrame:
+    """(a, b, n): the pairs to verify, once each, with the size of b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_part(batches, {3: (None, _PAIR)}):
+            rows = part[3][1]
+            order = np.lexsort((rows["a"][:, 1], rows["a"][:, 0], rows["b"][:, 1], rows["b"][:, 0]))
+            rows = rows[order[_runs(*(rows[c][order, k] for c in "ba" for k in (0, 1)))[0]]]
+            for i in range(0, len(rows), 50_000):
+                some = rows[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes() for x in some[c]], pa.binary()) for c in "ab"), pa.array(some["n"].astype(np.int32))], names=["a", "b", "n"])
+
+    return _gathered(compared.where("kind = 3")).mapInArrow(tidy(run), "a binary, b binary, n int")
+
+
+def _links_in(table: pa.Table) -> pa.Table:
+    """Of rows (a, b, elements of b; or those of a where b is null): the pairs that are linked."""
+    a, b, elements = (table.column(c).to_pylist() for c in ("a", "b", "elements"))
+    middle = {x: np.frombuffer(s, "u8") for x, y, s in zip(a, b, elements, strict=True) if y is None}
+    out: list[tuple[bytes, bytes]] = []
+    for x, y, s in zip(a, b, elements, strict=True):
+        if y is not None:
+            m, other = middle[x], np.frombuffer(s, "u8")
+            at = np.minimum(np.searchsorted(m, other), len(m) - 1)
+            if linked(np.count_nonzero(m[at] == other), len(m), len(other)):
+                out.append((x, y))
+    x, y = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
+
+
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The linked ones of pairs(a, b, n); members(handle, elements). Pairs of one a are dealt to tasks by the bytes of their sets."""
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    buckets = int(8 * total // BLOCK_BYTES) + 1
+    per = pairs.groupBy("a").agg((F.sum("n") * F.lit(8.0) / F.lit(BLOCK_BYTES)).cast("int").alias("more")).where("more > 0")
+    dealt = pairs.join(per, "a", "left").withColumn("star", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("more", F.lit(0)) + 1)))
+    heads = dealt.select("star", "a").distinct().join(members, F.col("a") == F.col("handle")).select("star", "a", F.lit(None).cast("binary").alias("b"), "elements")
+    others = dealt.select("star", "a", "b").join(members, F.col("b") == F.col("handle")).select("star", "a", "b", "elements")
+    both = heads.unionByName(others).withColumn("bucket", F.pmod("star", F.lit(buckets)))
+    return both.groupBy("bucket").applyInArrow(_links_in, "a binary, b binary")
+
+
+def _elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(handle, elements) of wanted(handle, row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            handle, cluster = batch.column("handle").to_pylist(), batch.column("cluster").to_pylist()
             got = sets([t or "" for t in batch.column("text").to_pylist()])
-            rows = [(c, h, s.tobytes()) for c, h, s in zip(cluster, handle, got, strict=True) if len(s) and set_hash(s) == h]
+            rows = [(h, s.tobytes()) for h, s in zip(batch.column("handle").to_pylist(), got, strict=True) if len(s) and set_hash(s) == h]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["cluster", "handle", "elements"])
-
-    members = texts.join(wanted, "least").select("text", "handle", "cluster").mapInArrow(tidy(elements), _SET_SCHEMA)
-    links = verified_links(settle(members, "members"))
-    found = components(settle(links, "links"), "linked")
-    known = ids.join(found, ids["handle"] == found["node"], "left").select("handle", "least", F.coalesce("root", "handle").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = settle(known.join(least, "root").select("handle", "component_id"), "component-ids")
-    linked_rows = about.where("handle is not null").join(of, "handle").select(id_col, "n_shingles", "component_id")
-    alone = about.where("handle is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows, strict=True)], names=["handle", "elements"])
+
+    got = docs.select("row", "text").join(wanted, "row").select("handle", "text").mapInArrow(tidy(run), "handle binary, elements binary")
+    return got.dropDuplicates(["handle"])
+
+
+def links(docs: DataFrame, about: DataFrame) -> DataFrame | None:
+    """(a, b) of handles: links that join all documents that links join."""
+    shingles = about.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(shingles * _KEYED.itemsize // PART_BYTES) + 1)
+    kept = settle(kept_keys(docs, about, parts), "kept-keys")
+    first = about.where("handle is not null").groupBy("handle").agg(F.min("row").alias("row"))
+    members, labels, found = None, None, None
+    for turn in [*range(STARS), None]:
+        compared = compare(kept, labels, turn, parts)
+        drop_settled(kept)
+        pairs = settle(pairs_of(compared), "pairs")
+        if members is None:
+            # all pairs to come are of these sets
+            wanted = _handles(compared)
+            members = settle(_elements(docs, first.join(wanted, "handle")), "members")
+        if pairs.limit(1).count():
+            more = settle(verified(pairs, members), "links")
+            found = more if found is None else found.unionByName(more)
+            labels = components(found, "linked")
+        drop_settled(pairs)
+        kept = compared
+        if not compared.where("kind = 0").limit(1).count():
+            break
+    drop_settled(kept)
+    drop_settled(members)
+    return labels
+
+
+def _handles(compared: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros((0, 2), "u8")]
+            for kind, rows in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if kind == 3:
+                    x = np.frombuffer(rows, _PAIR)
+                    out += [x["a"], x["b"]]
+                else:
+                    out.append(np.frombuffer(rows, _SET)["set"])
+            x = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["handle"])
+
+    return compared.mapInArrow(tidy(run), "handle binary").distinct()
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id that links reach, its own included)."""
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    about = settle(described(plain), "shingle-sets")
+    labels = links(plain, about)
+    named = about.select(F.col("id").alias(id_col), "n_shingles", "handle")
+    ids = named.where("handle is not null").groupBy("handle").agg(F.min(id_col).alias("least"))
+    if labels is not None:
+        known = ids.join(labels, ids["handle"] == labels["node"], "left").select("handle", "least", F.coalesce("root", "handle").alias("root"))
+        ids = known.join(known.groupBy("root").agg(F.min("least").alias("of_all")), "root").select("handle", F.col("of_all").alias("least"))
+    of = settle(ids.select("handle", F.col("least").alias("component_id")), "component-ids")
+    linked_rows = named.where("handle is not null").join(of, "handle").select(id_col, "n_shingles", "component_id")
+    alone = named.where("handle is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
     return linked_rows.unionByName(alone)
 
 

@@ -87,10 +87,12 @@ def families(seed, n=14, most=40):
     return [(i * 3 % 1009, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 6_000_000), (2, 6_000_000), (3, 3_000)])
-def test_join_equals_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "stars", "small"), [(1, 6_000_000, 3, 4), (2, 6_000_000, 0, 4), (3, 3_000, 1, 0)])
+def test_join_equals_brute_force(spark, monkeypatch, seed, block, stars, small):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
-    monkeypatch.setattr(ngram_join, "CENTRES", 3)
+    monkeypatch.setattr(ngram_join, "PART_BYTES", 10 * block)
+    monkeypatch.setattr(ngram_join, "STARS", stars)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     rows = families(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert tup(ngram_join.join(docs), "doc_id", "n_shingles", "component_id") == brute_join(rows)
@@ -104,9 +106,22 @@ def test_join_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
 
+def left_out(keys, segments, leave, cost):
+    """The dearest keys, of so many segments at most."""
+    out, seen = set(), set()
+    for key, segment in sorted(zip(keys.tolist(), segments.tolist(), strict=True), key=lambda x: (-cost[x[0]], x[0])):
+        seen.add(segment)
+        if len(seen) > leave:
+            break
+        out.add(key)
+    return out
+
+
 def test_segments_keep_every_link():
     rng = np.random.default_rng(0)
-    for n in [1, 2, 4, 5, 7, 8, 9, 10, 13, 17, 25, 26, 40, 41, 80, 150, 400]:
+    forms, linked = {f for *_, f in ngram_join.bands(1 << 17)}, 0
+    assert len(forms) > 1
+    for n in [1, 2, 4, 5, 7, 8, 9, 10, 13, 17, 25, 26, 40, 41, 80, 150, 400, 900, 2500]:
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             room = len(a) // 9 + 1
@@ -114,9 +129,19 @@ def test_segments_keep_every_link():
             common = len(np.intersect1d(a, b))
             if len(a) < 2 or len(b) < 2 or len(a) == len(b) == common or not ngram_join.linked(np.array(common), np.array(len(a)), np.array(len(b))):
                 continue
-            ours, theirs = ({k: (e, set(keys.tolist())) for k, e, keys in ngram_join.keys_of(x)} for x in (a, b))
-            shared = {k: len(ours[k][1] & theirs[k][1]) for k in ours if k in theirs}
-            assert any(v > max(ours[k][0], theirs[k][0]) or (k == 0 and v) for k, v in shared.items())
+            rows = np.zeros(2, ngram_join._SET)
+            rows["n"], rows["sketch"] = [len(a), len(b)], [ngram_join.parity_sketch(a), ngram_join.parity_sketch(b)]
+            assert ngram_join.may_link(rows, np.array([0]), np.array([1])).all()
+            ours, theirs = ({k: x for k, *x in ngram_join.keys_of(x)} for x in (a, b))
+            cost = dict.fromkeys((int(k) for x in (ours, theirs) for _, keys, _ in x.values() for k in keys), 1)
+            for k in cost:
+                cost[k] = int(rng.integers(2, 9))
+            kept = []
+            for side in (ours, theirs):
+                kept.append({(band, k) for band, (leave, keys, segments) in side.items() for k in set(keys.tolist()) - left_out(keys, segments, leave, cost)})
+            assert kept[0] & kept[1]
+            linked += 1
+    assert linked > 150
 
 
 def test_components(spark):
