@@ -263,16 +263,15 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(per_slice(run), f"id {kind}, row long, n_shingles long, handle binary, sketch binary")
 
 
-def _copied(about: DataFrame) -> dict[bytes, int]:
-    """The row that stands for each set with so many copies that a task shouldn't get them all; there are 10000 such sets at most."""
-    n = about.count()
+def _copied(about: DataFrame, n: int) -> dict[bytes, int]:
+    """The row, of n, that stands for each set with so many copies that a task shouldn't get them all; there are 10000 such sets at most."""
     several = about.where("handle is not null").groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
     return {r[0]: r[1] for r in several.where(F.col("n") > max(1000, n // 10_000)).select("handle", "row").collect()}
 
 
-def kept_keys(docs: DataFrame, about: DataFrame, parts: int) -> DataFrame:
+def kept_keys(docs: DataFrame, about: DataFrame, n: int, parts: int) -> DataFrame:
     """By the set's part: the keys that other sets have too and that this one doesn't leave out, with the sets."""
-    copied = _copied(about)
+    copied = _copied(about, n)
 
     def emit(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch | None:
         entries, rows = [], []
@@ -522,28 +521,32 @@ def _elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, about: DataFrame) -> DataFrame | None:
-    """(a, b) of handles: links that join all documents that links join."""
-    shingles = about.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(shingles * _KEYED.itemsize // PART_BYTES) + 1)
-    kept = settle(kept_keys(docs, about, parts), "kept-keys")
+    """(node, root) of handles: the components of all documents that links join."""
+    rows, shingles = about.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((shingles or 0) * _KEYED.itemsize // PART_BYTES) + 1)
+    kept = settle(kept_keys(docs, about, rows, parts), "kept-keys")
     first = about.where("handle is not null").groupBy("handle").agg(F.min("row").alias("row"))
     members, labels, found = None, None, None
-    for turn in [*range(STARS), None]:
+    turn: int | None = 0 if STARS else None
+    while True:
         compared = compare(kept, labels, turn, parts)
         drop_settled(kept)
+        kept = compared
         pairs = settle(pairs_of(compared), "pairs")
-        if members is None:
-            # all pairs to come are of these sets
-            wanted = _handles(compared)
-            members = settle(_elements(docs, first.join(wanted, "handle")), "members")
-        if pairs.limit(1).count():
+        if members is None:  # all pairs to come are of these sets
+            members = settle(_elements(docs, first.join(_handles(compared), "handle")), "members")
+        asked, got = pairs.count(), 0
+        if asked:
             more = settle(verified(pairs, members), "links")
+            got = more.count()
+        if got:
             found = more if found is None else found.unionByName(more)
             labels = components(found, "linked")
         drop_settled(pairs)
-        kept = compared
-        if not compared.where("kind = 0").limit(1).count():
+        if turn is None or not compared.where("kind = 0").limit(1).count():
             break
+        # further stars are worth it as long as they join most of what they ask for
+        turn = turn + 1 if turn + 1 < STARS and 2 * got > asked else None
     drop_settled(kept)
     drop_settled(members)
     return labels
