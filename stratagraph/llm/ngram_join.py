@@ -39,7 +39,7 @@ ALIKE, CANDIDATE, LEAST_CANDIDATE = 0.4, 0.02, 4.0
 #: Bytes of shingle sets that a task verifies at once.
 BLOCK_BYTES = 6_000_000
 #: Bytes of keys that a task groups at once, on average.
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 #: Times that documents are compared with one of their key before all that are left are.
 STARS = 3
 #: Words of a parity sketch.
@@ -523,7 +523,8 @@ def _elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def links(docs: DataFrame, about: DataFrame) -> DataFrame | None:
     """(node, root) of handles: the components of all documents that links join."""
     rows, shingles = about.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((shingles or 0) * _KEYED.itemsize // PART_BYTES) + 1)
+    # by the bytes alone: with the number of tasks, what each sends to each part would fall apart
+    parts = int((shingles or 0) * _KEYED.itemsize // PART_BYTES) + 1
     kept = settle(kept_keys(docs, about, rows, parts), "kept-keys")
     first = about.where("handle is not null").groupBy("handle").agg(F.min("row").alias("row"))
     members, labels, found = None, None, None
