@@ -2,10 +2,10 @@
 
 Every start of a LENGTH-byte string belongs to the anchor of that string: the place in it where a hash of GRAM bytes is least. Equal strings have equal
 anchors, so only strings of one anchor's hash need comparing. Starts of one anchor that follow each other make a context, the bytes
-that their strings cover. Equal contexts are counted by the cluster and hold repeats throughout. Where an anchor's hash has several different contexts,
+that their strings cover. Equal contexts, by 128 bits of their hash, are counted by the cluster and hold repeats throughout. Where an anchor's hash has several different contexts,
 these go to shards of bounded bytes. A shard sorts the suffixes of its contexts to LENGTH bytes by Larsson-Sadakane refinement and takes common prefixes by
 Kasai's rule that the next position's is at most one shorter; neighbours with LENGTH bytes in common are repeats. An anchor whose contexts exceed a shard
-is spread over several; their sorted strings are merged by binary search among those of the other shards.
+is spread over several; their sorted strings are merged by binary search among those of the other shards, by 128 bits of theirs.
 
 Edge cases: null texts are empty; texts under LENGTH bytes lose nothing. Repeated rows are copies of each other. Strings never reach over a document's end; overlapping occurrences
 count; all is judged on the input.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_slice, settle, tidy, trim
@@ -27,10 +27,16 @@ from .textcore import mix
 
 LENGTH = 400
 GRAM = 64
-#: Bytes of contexts in a shard, on average; what an anchor has beyond that is spread over several.
+#: Bytes of contexts that an anchor has in a shard at most, on average; what it has beyond that is spread over several.
 SHARD_BYTES = 1_000_000
+#: Bytes of contexts of small anchors in a shard, on average.
+SMALL_BYTES = 300_000
+#: Bytes of text that contexts are looked for in at once; a longer text is gone through in pieces.
+SLICE = 500_000
+#: Partitions that the rows of one text are dealt to, if it has many.
+SALTS = 64
 #: Longer texts are gone through in pieces.
-PIECE = 4_000_000
+PIECE = 1_000_000
 _POSITION_BITS = 26
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
 
@@ -78,12 +84,12 @@ def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
         starts = np.diff(np.append(new, len(p)))
         first = start[new]
         view = memoryview(data)
-        digest = np.array([xxhash.xxh3_64_intdigest(view[a : a + c + length - 1]) for a, c in zip(first.tolist(), starts.tolist(), strict=True)], dtype=np.uint64)
+        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a : a + c + length - 1]) for a, c in zip(first.tolist(), starts.tolist(), strict=True)), "V16")
         piece = piece[new]
         text, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
         out.append((text[piece], first - base[piece] + offset[piece], starts, h[p[new]], digest))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64), np.zeros(0, "V16"))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -195,39 +201,55 @@ def runs_of(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
 def window_hashes(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A 64-bit hash of the length bytes at each place."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    n = len(data)
-    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base)))
-    back = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, inverse)))
-    total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64))
-    return mix((total[at + length] - total[at]) * back[at])
+    """A hash of the length bytes at each place, of 16 bytes that sort as text."""
+    out = np.empty((len(at), 2), ">u8")
+    for k, number in enumerate(_BASES):
+        base, n = np.uint64(number), len(data)
+        inverse = np.uint64(pow(number, -1, 1 << 64))
+        power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base)))
+        back = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, inverse)))
+        total = np.append(np.uint64(0), np.cumsum((mix(data.astype(np.uint64) + base)) * power[:n], dtype=np.uint64))
+        out[:, k] = mix((total[at + length] - total[at]) * back[at])
+    return out.view("S16").ravel()
 
 
-_OCCURRENCE = "id long, handle long, first long, starts int, anchor long, digest long"
-_SPANS = "anchor long, digest long, spans array<struct<a:int,b:int>>"
+_OCCURRENCE = "handle binary, n int, first long, starts int, anchor long, digest binary"
+_SPANS = "anchor long, digest binary, spans array<struct<a:int,b:int>>"
 
 
-def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs(id, handle, text) -> a row per context of each row."""
+def occurrences(docs: DataFrame, copied: dict[bytes, int], length: int = LENGTH) -> DataFrame:
+    """docs(row, handle, text) -> a row per context of each text; of those in copied only that row, which counts for several."""
 
     def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch | None:
-        doc, first, starts, anchor, digest = contexts([t.encode("utf-8", "surrogatepass") for t in texts], length)
+        handles, rows = batch.column("handle").to_pylist(), batch.column("row").to_pylist()
+        data = [t.encode("utf-8", "surrogatepass") if copied.get(h, r) == r else b"" for t, h, r in zip(texts, handles, rows, strict=True)]
+        doc, first, starts, anchor, digest = contexts(data, length)
         if not len(doc):
             return None
-        take = pa.array(doc)
-        cols = [batch.column("id").take(take), batch.column("handle").take(take), pa.array(first, pa.int64()), pa.array(starts.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))]
-        return pa.RecordBatch.from_arrays(cols, names=["id", "handle", "first", "starts", "anchor", "digest"])
+        n = np.array([2 if h in copied else 1 for h in handles], np.int32)[doc]
+        cols = [batch.column("handle").take(pa.array(doc)), pa.array(n), pa.array(first, pa.int64()), pa.array(starts.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.tolist(), pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["handle", "n", "first", "starts", "anchor", "digest"])
 
-    return docs.mapInArrow(per_slice(run), _OCCURRENCE)
+    return docs.mapInArrow(per_slice(run, limit=SLICE), _OCCURRENCE)
 
 
-def _spans_table(anchor: list[int], digest: list[int], spans: list[list[tuple[int, int]]]) -> pa.Table:
+def _spans_table(anchor: list[int], digest: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.Table:
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     rows = [[{"a": a, "b": b} for a, b in s] for s in spans]
-    return pa.table({"anchor": pa.array(anchor, pa.int64()), "digest": pa.array(digest, pa.int64()), "spans": pa.array(rows, kind)})
+    return pa.table({"anchor": pa.array(anchor, pa.int64()), "digest": pa.array(digest, pa.binary()), "spans": pa.array(rows, kind)})
+
+
+#: A string of a spread anchor: its hash, and where it starts in its context.
+_STRING = np.dtype([("hash", "S16"), ("anchor", "i8"), ("digest", "V16"), ("start", "i4"), ("known", "i4")])
+
+
+def _split(sorted_: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return sorted_[first].tolist(), np.split(rows, first[1:])
 
 
 def shard_spans(contexts_: DataFrame, length: int, merge_parts: int) -> DataFrame:
@@ -252,14 +274,14 @@ def shard_spans(contexts_: DataFrame, length: int, merge_parts: int) -> DataFram
             # one string of each class; where the class was found to repeat, only others need it
             take = look & np.append(True, label[1:] != label[:-1])
             place, known, which = at[take], hit[take], which[take]
-            data = np.frombuffer(b"".join(parts), np.uint8)
-            h = window_hashes(data, place, length)
-            part = (h >> np.uint64(40)).astype(np.int64) % merge_parts
-            rows = np.zeros(len(h), dtype=[("h", "u8"), ("anchor", "i8"), ("digest", "i8"), ("start", "i4"), ("known", "i4")])
-            rows["h"], rows["anchor"], rows["digest"] = h, np.array(anchor, np.int64)[which], np.array(digest, np.int64)[which]
+            h = window_hashes(np.frombuffer(b"".join(parts), np.uint8), place, length)
+            part = (h.view(">u8")[::2] >> np.uint64(40)).astype(np.int64) % merge_parts
+            rows = np.zeros(len(h), _STRING)
+            rows["hash"], rows["anchor"] = h, np.array(anchor, np.int64)[which]
+            rows["digest"] = np.frombuffer(b"".join(digest), "V16")[which]
             rows["start"], rows["known"] = place - base[which], known
-            for p in np.unique(part).tolist():
-                mine = np.sort(rows[part == p], order="h")
+            order = np.lexsort((h, part))
+            for p, mine in zip(*_split(part[order], rows[order]), strict=True):
                 for k, v in (("anchor", None), ("digest", None), ("spans", []), ("part", p), ("strings", mine.tobytes())):
                     out[k].append(v)
         t = _spans_table(out["anchor"], out["digest"], out["spans"])
@@ -268,17 +290,19 @@ def shard_spans(contexts_: DataFrame, length: int, merge_parts: int) -> DataFram
 
     def merge(table: pa.Table) -> pa.Table:
         """Strings of a shard that are found in another shard's sorted strings."""
-        kind = np.dtype([("h", "u8"), ("anchor", "i8"), ("digest", "i8"), ("start", "i4"), ("known", "i4")])
-        lots = [np.frombuffer(x, kind) for x in table.column("strings").to_pylist()]
-        every = np.sort(np.concatenate([x["h"] for x in lots]))
+        lots = [np.frombuffer(x, _STRING) for x in table.column("strings").to_pylist()]
+        every = np.sort(np.concatenate([x["hash"] for x in lots]))
         found = []
         for x in lots:
-            n = np.searchsorted(every, x["h"], side="right") - np.searchsorted(every, x["h"], side="left")
+            n = np.searchsorted(every, x["hash"], side="right") - np.searchsorted(every, x["hash"], side="left")
             found.append(x[(n > 1) & (x["known"] == 0)])
-        rows = np.sort(np.concatenate(found), order=["anchor", "digest", "start"])
+        rows = np.concatenate(found)
         if not len(rows):
             return _spans_table([], [], [])
-        new = np.append(True, (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["digest"][1:] != rows["digest"][:-1]) | (rows["start"][1:] != rows["start"][:-1] + 1))
+        digest = np.ascontiguousarray(rows["digest"]).view("S16")
+        rows = rows[np.lexsort((rows["start"], digest, rows["anchor"]))]
+        digest = np.ascontiguousarray(rows["digest"]).view(">u8").reshape(-1, 2)
+        new = np.append(True, (rows["anchor"][1:] != rows["anchor"][:-1]) | (digest[1:] != digest[:-1]).any(1) | (rows["start"][1:] != rows["start"][:-1] + 1))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(rows)) - 1
         spans = [[(int(a), int(b) + 1)] for a, b in zip(rows["start"][first], rows["start"][last], strict=True)]
@@ -290,49 +314,63 @@ def shard_spans(contexts_: DataFrame, length: int, merge_parts: int) -> DataFram
     return inside.unionByName(across)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs(id, handle, text) -> handle, spans: the ranges of starts of repeated strings, sorted, of each text that has any."""
+def copied_texts(docs: DataFrame) -> dict[bytes, int]:
+    """The row that stands for each text with so many rows that no task should get them all; there are 10000 such texts at most."""
+    n = docs.select("handle").groupBy("handle").agg(F.count(F.lit(1)).alias("n")).where("n > 1000")
+    least = max(1000, docs.select("handle").count() // 10_000) if n.limit(1).count() else 0
+    several = docs.groupBy("handle").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")).where(F.col("n") > least)
+    return {r[0]: r[1] for r in several.select("handle", "row").collect()} if least else {}
+
+
+def repeated_spans(docs: DataFrame, copied: dict[bytes, int], length: int = LENGTH) -> DataFrame:
+    """docs(row, handle, text) -> handle, spans: the ranges of starts of repeated strings of each text that has any, sorted; those of which the bytes touch are one."""
     spark = docs.sparkSession
-    found = settle(occurrences(docs, length), "contexts")
-    unique = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first", "handle")).alias("at"), F.min("starts").alias("starts"))
+    found = settle(occurrences(docs, copied, length), "contexts")
+    unique = found.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("handle", "first")).alias("at"), F.min("starts").alias("starts"))
     unique = settle(unique, "unique-contexts")
     anchors = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("starts") + F.lit(length - 1)).alias("bytes")).where("k > 1")
     total = anchors.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, int(total // SHARD_BYTES) + 1)
+    shards = max(1, int(total // SMALL_BYTES) + 1)
     mixed = unique.join(anchors, "anchor")
     spread = F.ceil(F.col("bytes") / F.lit(SHARD_BYTES)).cast("int")
     # small anchors share the shards; a large one has its contexts spread over shards of its own
-    shard = F.when(spread > 1, F.xxhash64("anchor", F.pmod("digest", spread))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    wanted = mixed.select(F.col("at.id").alias("id"), F.struct(F.col("at.handle").alias("handle"), F.col("at.first").alias("first"), "starts", "n", "anchor", "digest", shard.alias("shard"), spread.alias("spread")).alias("w"))
-    wanted = wanted.groupBy("id").agg(F.collect_list("w").alias("w"))
+    shard = F.when(spread > 1, F.xxhash64("anchor", F.pmod(F.xxhash64("digest"), spread))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    wanted = mixed.select(F.col("at.handle").alias("handle"), F.struct(F.col("at.first").alias("first"), "starts", "n", "anchor", "digest", shard.alias("shard"), spread.alias("spread")).alias("w"))
+    wanted = wanted.groupBy("handle").agg(F.collect_list("w").alias("w"))
+    kinds = [("shard", pa.int64()), ("spread", pa.int32()), ("anchor", pa.int64()), ("digest", pa.binary()), ("starts", pa.int32()), ("n", pa.int64()), ("body", pa.binary())]
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("shard", pa.int64()), ("spread", pa.int32()), ("anchor", pa.int64()), ("digest", pa.int64()), ("starts", pa.int32()), ("n", pa.int64()), ("body", pa.binary())]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
         for batch in batches:
             rows, size = [], 0
-            for text, handle, w in zip(*(batch.column(c) for c in ("text", "handle", "w")), strict=True):
-                data, handle = (text.as_py() or "").encode("utf-8", "surrogatepass"), handle.as_py()
+            for text, w in zip(batch.column("text"), batch.column("w"), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
                 for x in w.as_py():
-                    if x["handle"] == handle:
-                        body = data[x["first"] : x["first"] + x["starts"] + length - 1]
-                        rows.append((x["shard"], x["spread"], x["anchor"], x["digest"], x["starts"], x["n"], body))
-                        size += len(body)
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
-                    rows, size = [], 0
+                    body = data[x["first"] : x["first"] + x["starts"] + length - 1]
+                    rows.append((x["shard"], x["spread"], x["anchor"], x["digest"], x["starts"], x["n"], body))
+                    size += len(body)
+                    if size > 2_000_000:
+                        yield made(rows)
+                        rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
+                yield made(rows)
 
-    bodies = docs.join(wanted, "id").select("text", "handle", "w").mapInArrow(tidy(cut_out), "shard long, spread int, anchor long, digest long, starts int, n long, body binary")
+    # of equal texts one row: the least
+    rows = docs.groupBy("handle").agg(F.min("row").alias("row")).join(wanted, "handle").select("row", "w")
+    bodies = docs.select("row", "text").join(rows, "row").select("text", "w").mapInArrow(tidy(cut_out), "shard long, spread int, anchor long, digest binary, starts int, n long, body binary")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_spans = settle(shard_spans(bodies, length, parts), "spans")
     # anchors with one context: it repeats throughout if it occurs twice
     whole = unique.join(anchors.select("anchor"), "anchor", "left_anti").where("n > 1")
     whole = whole.select("anchor", "digest", F.array(F.struct(F.lit(0).alias("a"), F.col("starts").alias("b"))).alias("spans"))
-    spans = sorted_spans.unionByName(whole)
-    at = found.select("handle", "first", "anchor", "digest").join(spans, ["anchor", "digest"])
-    each = at.select("handle", F.explode("spans").alias("s"), "first").select("handle", F.struct((F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b")).alias("s"))
-    return each.groupBy("handle").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    at = found.select("handle", "first", "anchor", "digest").join(sorted_spans.unionByName(whole), ["anchor", "digest"])
+    each = at.select("handle", "first", F.explode("spans").alias("s")).select("handle", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))
+    # ranges of which the bytes touch become one before they are collected
+    before = Window.partitionBy("handle").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.when(F.col("a") <= F.max("b").over(before) + F.lit(length - 1), 0).otherwise(1)
+    island = F.sum("apart").over(Window.partitionBy("handle").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0))
+    islands = each.withColumn("apart", apart).withColumn("island", island).groupBy("handle", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return islands.groupBy("handle").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def removed_ranges(spans: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -348,11 +386,18 @@ def removed_ranges(spans: list[tuple[int, int]], length: int = LENGTH) -> list[t
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with their columns and: n_bytes, n_removed, n_spans, kept (the bytes that are left)."""
-    handle = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), handle).alias("id"), handle.alias("handle"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(plain, length)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), handle.alias("handle"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(spans, "handle", "left").select("row", "text", "spans")
+    """docs as row (a struct of all columns but the text), and: missing (the text is null), n_bytes, n_removed, n_spans, kept (the bytes that are left)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    handle = F.unhex(F.md5(text.cast("binary")))
+    plain = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), handle.alias("handle"), text.alias("text"))
+    copied = copied_texts(plain)
+    spans = settle(repeated_spans(plain, copied, length), "text-spans")
+    # rows of a text that many have are dealt to several tasks
+    several = F.col("handle").isin([bytearray(h) for h in copied]) if copied else F.lit(False)
+    salted = spans.withColumn("salt", F.explode(F.when(several, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others, F.lit(None).cast("void").cast("int").alias("__none")).alias("row"), F.col(text_col).alias("text"), handle.alias("handle"))
+    rows = rows.withColumn("salt", F.when(several, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)).join(salted, ["handle", "salt"], "left").select("row", "text", "spans")
 
     def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         kept, numbers = [], []
@@ -366,24 +411,24 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             kept.append(b"".join([*pieces, data[at:]]))
             numbers.append((len(data), len(data) - len(kept[-1]), len(ranges)))
         cols = [pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("row"), *cols, pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text").is_null(), *cols, pa.array(kept, pa.binary())], names=["row", "missing", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(per_slice(run), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(per_slice(run), f"row {kind}, missing boolean, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def strip_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with what is left of each text (a character cut through becomes U+FFFD), and its length in size_col if there is one; null texts stay null."""
     done = strip(docs, id_col, text_col)
-    left = F.when(F.col(f"row.{text_col}").isNotNull(), F.make_valid_utf8(F.col("kept").cast("string")))
-    cols = [left.alias(c) if c == text_col else F.char_length(left).cast(docs.schema[c].dataType).alias(c) if c == size_col else F.col(f"row.{c}").alias(c) for c in docs.columns]
+    left = F.when(~F.col("missing"), F.make_valid_utf8(F.col("kept").cast("string")))
+    cols = [left.alias(c) if c == text_col else F.char_length(left).cast(docs.schema[c].dataType).alias(c) if c == size_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return done.select(*cols)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = strip(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
-    return done.select(f"row.{id_col}", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(F.col("row").getField(id_col).alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

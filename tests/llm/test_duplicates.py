@@ -181,20 +181,33 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, shard):
 
 def test_suffix_dedup_of_odd_rows(odd, none):
     rows = odd.collect()
-    want = sorted(suffix_dedup.brute_force([(r.text or "")[:3000].encode() for r in rows]))
-    short = odd.withColumn("text", F.substring("text", 1, 3000))
-    assert sorted(tuple(r)[1:] for r in suffix_dedup.report(short).collect()) == want
+    want = sorted(suffix_dedup.brute_force([(r.text or "").encode() for r in rows]))
+    assert sorted(tuple(r)[1:] for r in suffix_dedup.report(odd).collect()) == want
     assert suffix_dedup.report(none).count() == 0
     left = suffix_dedup.strip_text(odd)
     assert left.columns == odd.columns and left.where("text is null").count() == 1
+    assert left.where("text is not null").agg(F.sum(F.length("lang"))).first()[0] == odd.where("text is not null").agg(F.sum(F.length("lang"))).first()[0]
+
+
+def test_suffix_dedup_of_texts_that_many_rows_have(spark, monkeypatch):
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = make(2000), make(900)
+    rows = [a] * 30 + [b] + [make(300) + a[500:1100] + make(200), make(1500), b[:450]]
+    docs = spark.createDataFrame([(f"id{i % 9}", t) for i, t in enumerate(rows)], "doc_id string, text string").repartition(4)
+    plain = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("handle"), "text")
+    assert suffix_dedup.copied_texts(plain) == {}
+    one = {hashlib.md5(a.encode()).digest(): min(r.row for r in plain.collect() if r.text == a)}
+    monkeypatch.setattr(suffix_dedup, "copied_texts", lambda _: one)
+    assert sorted(tuple(r)[1:] for r in suffix_dedup.report(docs).collect()) == sorted(suffix_dedup.brute_force([t.encode() for t in rows]))
 
 
 def test_pieces_of_long_texts(monkeypatch):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdef ") for _ in range(9000)).encode()
-    whole = {(k, int(f) + i) for _, f, n, k, _ in zip(*suffix_dedup.contexts([text]), strict=True) for i in range(n)}
+    whole = {(int(k), int(f) + i) for _, f, n, k, _ in zip(*suffix_dedup.contexts([text]), strict=True) for i in range(n)}
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
-    assert {(k, int(f) + i) for _, f, n, k, _ in zip(*suffix_dedup.contexts([text]), strict=True) for i in range(n)} == whole
+    assert {(int(k), int(f) + i) for _, f, n, k, _ in zip(*suffix_dedup.contexts([text]), strict=True) for i in range(n)} == whole
 
 
 def test_edited_images_are_found(spark):
