@@ -1,15 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, and one that adds the
-wording that sets toxic text apart. The latter isn't trained: it is the TOXIC_WORDS words of
-at least LEAST_DOCS toxic training texts that weigh most of those whose document frequency
-there exceeds the ordinary one by TOXIC_RATIO. README has held-out figures for either way. Windows of a text, single words
-and stretches of CONTEXT bytes, are compressed with either; how many bytes the toxic
-dictionary saves, over all windows of the text, is calibrated to a probability by a
-logistic fit, and the threshold by the best F1 on the training rows.
+zstandard trains separate dictionaries on ordinary and on toxic text, by its COVER method. What they are trained on are windows of the texts: first stretches
+of CONTEXT bytes of ordinary text; then, of either class, the words that the dictionary so far doesn't compress, each text's once, with blanks between
+them so that what repeats is a word and not its neighbours. Ordinary text comes first, so that the toxic dictionary gets what is left. Windows of a
+text to score, single words and stretches of CONTEXT bytes, are compressed with the ordinary dictionaries and with these and the toxic one; how many bytes
+the latter saves, over all windows of the text, is calibrated to a probability by a logistic fit, and the threshold by the best F1 on the training rows.
 
-The fit takes about SAMPLE rows of each class, chosen by a hash of their id, and trains the
-ordinary dictionary on about WINDOWS windows, chosen by a hash, of all ordinary ones; every text is scored whole.
+The fit takes about SAMPLE rows of each class, SAMPLE_BYTES of text at most on average, chosen by a hash of their id, and trains each dictionary on about
+WINDOWS windows, chosen by a hash, of all of these that are of its class; every text is scored whole.
 
 Edge cases: null, empty and wordless texts score as a text of which no window saves a byte.
 Rows whose label or id is null are not learned from; of several labels of an id the largest holds. Without rows of
@@ -21,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,12 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import id_hash, per_slice
 
-#: Expected number of training rows of each class: the bound of the sample.
-SAMPLE = 4000
-TOXIC_RATIO, LEAST_DOCS, TOXIC_WORDS, ORDINARY_WORDS, ORDINARY_BYTES = 7.0, 3, 200, 3000, 32_768
+#: Expected number of training rows of each class, and of bytes of all: the bounds of the sample.
+SAMPLE, SAMPLE_BYTES = 4000, 100_000_000
+#: Bytes of the dictionaries: of stretches of ordinary text, of its further words, of toxic words.
+ORDINARY_BYTES, WORD_BYTES, TOXIC_BYTES = 32_768, 65_536, 8192
+#: COVER's segments, and the strings that it counts.
+SEGMENT, STRING = 24, 8
 CONTEXT = 128
-#: Expected number of windows of ordinary texts that their dictionary is trained on, at most.
+#: Expected number of windows that a dictionary is trained on, at most.
 WINDOWS = 40_000
+#: Between words in training, at least as long as what STRING exceeds a short word by.
+APART = "    "
 WORD = re.compile(r"[^\W\d_]+")
 #: Stands before single words in both dictionaries, so that even the shortest window is worth compressing.
 FILLER = bytes(range(64))
@@ -68,26 +70,68 @@ def context_windows(text: str, size: int = CONTEXT) -> list[bytes]:
     return out
 
 
-def windows_of(texts: list[str], budget: int | None = None) -> list[bytes]:
-    """About budget (WINDOWS) windows, as a hash of their number falls, of all texts alike; all of them where there are no more. In the order of the hash, as training was seen to take nothing from the last rows."""
-    share = min(1.0, (WINDOWS if budget is None else budget) / max(1, sum(len(context_windows(t.lower())) for t in texts)))
-    every = ((zlib.crc32(b"%d" % i), w) for i, w in enumerate(w for t in texts for w in context_windows(t.lower())))
+def chosen(windows: list[bytes], budget: int | None = None) -> list[bytes]:
+    """About budget (WINDOWS) of the windows, as a hash of their number falls; all of them where there are no more. In the order of the hash, as training was seen to take nothing from the last rows."""
+    share = min(1.0, (WINDOWS if budget is None else budget) / max(1, len(windows)))
+    every = ((zlib.crc32(b"%d" % i), w) for i, w in enumerate(windows))
     return [w for _, w in sorted(x for x in every if x[0] < share * 2**32)]
 
 
+def windows_of(texts: list[str], budget: int | None = None) -> list[bytes]:
+    """chosen() of all texts' stretches."""
+    return chosen([w for t in texts for w in context_windows(t.lower())], budget)
+
+
+def trained(size: int, windows: list[bytes], segment: int, string: int) -> bytes:
+    """A dictionary of zstandard's; of so few windows that it can't be trained, their last bytes."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, windows, k=segment, d=string).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(windows)[-size:] or b" "
+
+
+def unlike(texts: list[str], dictionary: bytes) -> list[bytes]:
+    """Of each text, once each, the words that the dictionary doesn't compress; in windows of 2 * CONTEXT bytes."""
+    compress, out = Compressors.fine(dictionary + FILLER), []
+    base = len(compress(FILLER))
+    known: dict[str, bool] = {}
+    for t in texts:
+        words = dict.fromkeys(WORD.findall(t.lower()))
+        for w in words:
+            if w not in known:
+                data = f" {w} ".encode("utf-8", "surrogatepass")
+                known[w] = len(w) > 3 and len(compress(FILLER + data)) - base >= len(data) - 2
+        left = [w for w in words if known[w]]
+        if left:
+            data = (APART + APART.join(left) + APART).encode("utf-8", "surrogatepass")
+            out += [data[i : i + 2 * CONTEXT] for i in range(0, len(data), 2 * CONTEXT)]
+    return out
+
+
+def squeezed(dictionary: bytes) -> bytes:
+    return re.sub(rb" +", b" ", dictionary)
+
+
 class Compressors:
     def __init__(self, ordinary_words: bytes, ordinary: bytes, toxic: bytes):
-        import zstandard
-
-        self.z = zstandard
-        fine = dict(window_log=17, chain_log=17, hash_log=17, search_log=6, min_match=3, target_length=64, strategy=7)
-        coarse = dict(window_log=17, chain_log=17, hash_log=17, search_log=5, min_match=4, target_length=32, strategy=5)
-        self.word = [self._make(ordinary_words + FILLER, fine), self._make(ordinary_words + toxic + FILLER, fine)]
-        self.context = [self._make(ordinary, coarse), self._make(ordinary + toxic, coarse)]
+        self.word = [self.fine(ordinary_words + FILLER), self.fine(ordinary_words + toxic + FILLER)]
+        self.context = [self.coarse(ordinary), self.coarse(ordinary + toxic)]
         self.saved: dict[str, int] = {}
 
-    def _make(self, content: bytes, how: dict):
-        z = self.z
+    @classmethod
+    def fine(cls, content: bytes):
+        return cls._make(content, dict(window_log=17, chain_log=17, hash_log=17, search_log=6, min_match=3, target_length=64, strategy=7))
+
+    @classmethod
+    def coarse(cls, content: bytes):
+        return cls._make(content, dict(window_log=17, chain_log=17, hash_log=17, search_log=5, min_match=4, target_length=32, strategy=5))
+
+    @staticmethod
+    def _make(content: bytes, how: dict):
+        import zstandard as z
+
         params = z.ZstdCompressionParameters(**how, write_content_size=False, write_checksum=False, write_dict_id=False)
         d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=params)
@@ -118,35 +162,18 @@ class Compressors:
         return [share(d, 2), share(d, 3), share(d, 4), share(d, 5), share(d, 6), float(d.mean()), count(d, 5), float(c.mean()), float(c.sum()) / math.sqrt(len(c)), share(c, 3), share(c, 5), share(c, 8), count(c, 5), math.log1p(len(d))]
 
 
-def _documents_with(texts: list[str]) -> Counter:
-    out: Counter = Counter()
-    for t in texts:
-        out.update(set(WORD.findall(t.lower())))
-    return out
-
-
 def fit(texts: list[str], toxic: list[int], ordinary_weight: float = 1.0) -> Model | None:
     """The dictionaries, the weights of the windows' savings and the threshold, from labelled texts.
 
     ordinary_weight: ordinary rows that each sampled one stands for, against a toxic one; the threshold depends on it.
     """
-    import zstandard
-
     bad = [t for t, y in zip(texts, toxic, strict=True) if y]
     good = [t for t, y in zip(texts, toxic, strict=True) if not y]
     if not bad or not good:
         return None
-    in_bad, in_good = _documents_with(bad), _documents_with(good)
-    odds = {w: ((n + 0.1) / (len(bad) + 0.2)) / ((in_good[w] + 0.1) / (len(good) + 0.2)) for w, n in in_bad.items() if n >= LEAST_DOCS}
-    picked = sorted((math.log(o) * in_bad[w], w) for w, o in odds.items() if o >= TOXIC_RATIO)[-TOXIC_WORDS:]
-    toxic_bytes = (" " + " ".join(w for _, w in picked) + " ").encode()
-    common = sorted(((n, w) for w, n in in_good.items() if odds.get(w, 0) < 2), reverse=True)[:ORDINARY_WORDS]
-    ordinary_words = (" " + " ".join(w for _, w in reversed(common)) + " ").encode()
-    samples = windows_of(good)
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples
-        ordinary = b"".join(samples)[-ORDINARY_BYTES:] or b" "
+    ordinary = trained(ORDINARY_BYTES, windows_of(good), 2 * SEGMENT, STRING)
+    ordinary_words = ordinary + squeezed(trained(WORD_BYTES, chosen(unlike(good, ordinary)), SEGMENT, STRING))
+    toxic_bytes = squeezed(trained(TOXIC_BYTES, chosen(unlike(bad, ordinary_words)), SEGMENT, STRING))
     c = Compressors(ordinary_words, ordinary, toxic_bytes)
     x = np.array([c.features(t) for t in texts])
     y = np.array(toxic, dtype=float)
@@ -170,23 +197,26 @@ def fit(texts: list[str], toxic: list[int], ordinary_weight: float = 1.0) -> Mod
 
 
 def sample_ids(labels: DataFrame, id_col: str, label_col: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
-    """About sample ids of each class, with y, as hashes of the ids fall; and the rows of each class."""
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    """About sample ids of each class, with y and part (a number below 1000000, as a hash of the id falls); and the rows of each class."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for y, k in n.items():
         share = F.when(F.col("y") == y, min(1.0, sample / k)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000), n
+    part = F.pmod(F.xxhash64(id_col), F.lit(1_000_000))
+    return rows.withColumn("part", (part / share).cast("long")).where(part < share * 1_000_000), n
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """fit() on a bounded sample of the labelled rows; the caller has taken out the rows to hold out."""
     picked, n = sample_ids(labels, id_col, label_col, sample)
-    picked = F.broadcast(picked.limit(4 * sample))
-    rows = docs.select(id_col, text_col).join(picked, id_col).where(F.col(text_col).isNotNull()).select(id_col, text_col, "y").collect()
-    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
-    toxic = [int(r[2] > 0) for r in rows]
-    ordinary, bad = (sum(k for y, k in n.items() if (y > 0) == is_bad) for is_bad in (False, True))
+    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).where(F.col(text_col).isNotNull())
+    size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    if size > SAMPLE_BYTES:  # fewer, of both classes alike
+        rows = rows.where(F.col("part") < 1_000_000 * SAMPLE_BYTES / size)
+    rows = sorted({r[0]: r for r in rows.select(id_col, text_col, "y").collect()}.values(), key=lambda r: r[0])
+    toxic = [r[2] for r in rows]
+    ordinary, bad = n.get(0, 0), n.get(1, 0)
     weight = (ordinary / max(1, len(toxic) - sum(toxic))) / (bad / max(1, sum(toxic))) if bad else 1.0
     return fit([r[1] for r in rows], toxic, weight)
 

@@ -186,11 +186,38 @@ def test_item_blocks_agree(spark, monkeypatch, texts):
     assert sorted(map(tuple, decontam.find(docs, items).collect())) == whole and whole
 
 
-def test_ordinary_windows_come_from_all_sampled_texts():
-    rng = random.Random(8)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
-    good = [" ".join(rng.choices(words, k=20)) for _ in range(1500)] + [f"{w} zircon quartz lattice of basalt and feldspar with olivine {w}" for w in rng.sample(words, 300)]
-    bad = [f"{rng.choice(words)} vile scum" for _ in range(50)]
-    assert b"quartz" in toxicity.fit(good + bad, [0] * len(good) + [1] * len(bad)).ordinary
+def test_windows_come_from_all_sampled_texts():
     some = toxicity.windows_of(["x" * 200_000] + ["short text"] * 1500, 1000)
     assert 800 < len(some) < 1200 and some.count(b"short text") > 300
+
+
+def test_dictionaries_are_trained_on_their_class():
+    rows = marked(900, 5)
+    model = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    assert all(w in model.toxic for w in (b"grobnik", b"vexhole", b"plimsod"))
+    assert not any(w in model.ordinary + model.ordinary_words for w in (b"grobnik", b"vexhole", b"plimsod"))
+
+
+def test_scores_equal_plain_compression():
+    """Every window compressed on its own, with nothing kept from text to text."""
+    import zstandard as z
+
+    rows = marked(300, 6)
+    model = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
+
+    def size(content, data, **how):
+        params = z.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=17, write_content_size=False, write_checksum=False, write_dict_id=False, **how)
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(data))
+
+    def plain(text):
+        fill, low = toxicity.FILLER, text.lower()
+        d = [size(model.ordinary_words + fill, fill + f" {w} ".encode(), **fine) - size(model.ordinary_words + model.toxic + fill, fill + f" {w} ".encode(), **fine) for w in toxicity.WORD.findall(low)] or [0]
+        c = [size(model.ordinary, x, **coarse) - size(model.ordinary + model.toxic, x, **coarse) for x in toxicity.context_windows(low)] or [0]
+        share = lambda x, k: (sum(v >= k for v in x) / len(x)) ** 0.5
+        count = lambda x, k: np.log1p(sum(v >= k for v in x))
+        x = [*(share(d, k) for k in (2, 3, 4, 5, 6)), np.mean(d), count(d, 5), np.mean(c), sum(c) / len(c) ** 0.5, *(share(c, k) for k in (3, 5, 8)), count(c, 5), np.log1p(len(d))]
+        return 1 / (1 + np.exp(-((np.array(x) - model.mean) / model.scale @ model.weights + model.bias)))
+
+    fine, coarse = dict(search_log=6, min_match=3, target_length=64, strategy=7), dict(search_log=5, min_match=4, target_length=32, strategy=5)
+    texts = [t for _, t, _ in rows[:12]] + ["", "1 2", rows[0][1] * 3]
+    assert np.allclose(toxicity.scores(model, texts), [plain(t) for t in texts], atol=1e-9)
