@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import settle, tidy
 from .ngram_join import _part_of, _runs
 
-SCALES = (1.0, 0.75)
-CORNERS = 14
+SCALES = (1.4, 1.0, 0.7, 0.5)
+#: Pixels of a scaled image that have one corner on average: larger images have more of them.
+CORNER_AREA = 400
 RADIUS = 17
 TABLES, CHUNK_BITS = 8, 32
 BITS = TABLES * CHUNK_BITS
@@ -92,7 +93,7 @@ def features(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         inner = np.zeros(r.shape[1:], bool)
         inner[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1] = True
         r = np.where((r >= best) & inner & (r > 0), r, 0).reshape(len(r), -1)
-        k = min(CORNERS, r.shape[1])
+        k = min(max(1, x.shape[1] * x.shape[2] // CORNER_AREA), r.shape[1])
         top = np.argpartition(-r, k - 1, axis=1)[:, :k]
         strength = np.take_along_axis(r, top, 1)
         i, j = np.nonzero(strength > 0.01 * np.maximum(r.max(1, keepdims=True), 1e-6))
@@ -118,9 +119,10 @@ def features(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return np.concatenate(which), np.concatenate(chunks), np.concatenate(places), np.concatenate(sketches)
 
 
-_ENTRY = np.dtype([("id", "i8"), ("x", "u2"), ("y", "u2"), ("scale", "u1"), ("angle", "u1"), ("corner", "u2"), ("query", "u1"), ("bits", "u8", (SKETCH,))])
-#: Candidates that a task votes on at once.
-_AT_ONCE = 200_000
+_ENTRY = np.dtype([("id", "i8"), ("x", "f4"), ("y", "f4"), ("scale", "u1"), ("angle", "u1"), ("corner", "u4"), ("query", "u1"), ("bits", "u8", (SKETCH,))])
+_VOTE = np.dtype([("query", "i8"), ("match", "i8"), ("cell", "i8"), ("corner", "i4")])
+#: Candidates that a task votes on at once, and pixels that it describes at once.
+_AT_ONCE, _PIXELS = 200_000, 1_000_000
 #: Tasks that the ids of one image are dealt to.
 SALTS = 64
 
@@ -137,35 +139,41 @@ def _packed(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | Non
 def _entries(media: DataFrame, query: bool, parts: int) -> DataFrame:
     """media(id, image) -> a part's chunk keys and entries, in binary."""
 
+    def described(some: list[tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
+        which, chunks, place, bits = features(np.stack([x for _, x in some]))
+        if not len(which):
+            return None
+        rows = np.zeros(len(which), _ENTRY)
+        rows["id"] = np.array([i for i, _ in some], np.int64)[which]
+        rows["x"], rows["y"], rows["scale"] = place[:, 0], place[:, 1], place[:, 2]
+        rows["angle"] = np.floor(place[:, 3] / (2 * np.pi) * 256) % 256
+        rows["corner"], rows["query"], rows["bits"] = np.arange(len(rows)), query, bits
+        key = (chunks + (np.arange(TABLES, dtype=np.int64) << CHUNK_BITS)).ravel()
+        return _packed(_part_of(key, parts), [key, np.repeat(rows, TABLES)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                ids = part.column("id").to_pylist()
-                by_size: dict[tuple, list] = {}
-                for i, data in zip(ids, part.column("image").to_pylist(), strict=True):
-                    x = decode(data)
-                    if x is not None and i is not None:
-                        by_size.setdefault(x.shape, []).append((i, x))
-                for some in by_size.values():
-                    which, chunks, place, bits = features(np.stack([x for _, x in some]))
-                    if not len(which):
-                        continue
-                    rows = np.zeros(len(which), _ENTRY)
-                    rows["id"] = np.array([i for i, _ in some], np.int64)[which]
-                    rows["x"], rows["y"], rows["scale"] = np.minimum(place[:, 0] * 2, 65535), np.minimum(place[:, 1] * 2, 65535), place[:, 2]
-                    rows["angle"] = np.floor(place[:, 3] / (2 * np.pi) * 256) % 256
-                    rows["corner"], rows["query"], rows["bits"] = np.arange(len(rows)), query, bits
-                    key = (chunks + (np.arange(TABLES, dtype=np.int64) << CHUNK_BITS)).ravel()
-                    out = _packed(_part_of(key, parts), [key, np.repeat(rows, TABLES)])
+            by_size: dict[tuple, list] = {}
+            for i, data in zip(batch.column("id").to_pylist(), batch.column("image"), strict=True):
+                x = decode(data.as_py()) if i is not None else None
+                if x is None:
+                    continue
+                some = by_size.setdefault(x.shape, [])
+                some.append((i, x))
+                if len(some) * x.size >= _PIXELS:
+                    out = described(by_size.pop(x.shape))
                     if out is not None:
                         yield out
+            for some in by_size.values():
+                out = described(some)
+                if out is not None:
+                    yield out
 
     return media.select("id", "image").mapInArrow(tidy(run), "part int, c0 binary, c1 binary")
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries' corners and the images' that share a chunk: what each such pair votes for, in two offset grids of shifts."""
+def _votes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Queries' corners and the images' that share a chunk: what each such pair votes for, in two offset grids of shifts; by the query's part."""
     keys, rows = [], []
     for batch in batches:
         keys += [np.frombuffer(x, "i8") for x in batch.column("c0").to_pylist()]
@@ -192,12 +200,41 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.array(SCALES)
         scale = size[m["scale"]] / size[q["scale"]]
         cos, sin = np.cos(2 * np.pi * turn) * scale, np.sin(2 * np.pi * turn) * scale
-        qx, qy, mx, my = (c.astype(float) / 2 for c in (q["x"], q["y"], m["x"], m["y"]))
+        qx, qy, mx, my = (c.astype(float) for c in (q["x"], q["y"], m["x"], m["y"]))
         dx, dy = qx - (cos * mx - sin * my), qy - (sin * mx + cos * my)
         for shift in (0.0, 0.5):
             cell = [np.floor(dx / SHIFT_STEP + shift), np.floor(dy / SHIFT_STEP + shift), np.floor(turn * TURNS + shift) % TURNS, np.rint(np.log2(scale) * 4)]
-            code = ((cell[0].astype(np.int64) + 4096) << 40) | ((cell[1].astype(np.int64) + 4096) << 24) | (cell[2].astype(np.int64) << 12) | ((cell[3].astype(np.int64) + 512) << 1) | (shift > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(q["id"]), pa.array(m["id"]), pa.array(code), pa.array(q["corner"].astype(np.int32))], names=["query_id", "match_id", "cell", "corner"])
+            rows = np.empty(len(q), _VOTE)
+            rows["query"], rows["match"], rows["corner"] = q["id"], m["id"], q["corner"]
+            rows["cell"] = ((cell[0].astype(np.int64) + (1 << 19)) << 40) | ((cell[1].astype(np.int64) + (1 << 19)) << 20) | (cell[2].astype(np.int64) << 12) | ((cell[3].astype(np.int64) + 512) << 1) | (shift > 0)
+            rows = rows[np.lexsort((rows["corner"], rows["cell"], rows["match"], rows["query"]))]
+            rows = rows[_runs(rows["query"], rows["match"], rows["cell"], rows["corner"])[0]]
+            yield _packed(_part_of(rows["query"], parts), [rows])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, match_id, votes): of the votes of a part, the corners that agree, where they are enough."""
+    held, at = [], None
+    for batch in batches:
+        for part, votes in zip(batch.column("part").to_pylist(), batch.column("c0").to_pylist(), strict=True):
+            if held and part != at:
+                yield _agreed(np.frombuffer(b"".join(held), _VOTE))
+                held = []
+            at = part
+            held.append(votes)
+    if held:
+        yield _agreed(np.frombuffer(b"".join(held), _VOTE))
+
+
+def _agreed(rows: np.ndarray) -> pa.RecordBatch:
+    rows = rows[np.lexsort((rows["corner"], rows["cell"], rows["match"], rows["query"]))]
+    rows = rows[_runs(rows["query"], rows["match"], rows["cell"], rows["corner"])[0]]
+    first, n = _runs(rows["query"], rows["match"], rows["cell"])
+    first, n = first[n >= LEAST_VOTES], n[n >= LEAST_VOTES]
+    rows = rows[first]
+    begin, _ = _runs(rows["query"], rows["match"])
+    votes = np.maximum.reduceat(n, begin) if len(begin) else n
+    return pa.RecordBatch.from_arrays([pa.array(rows["query"][begin]), pa.array(rows["match"][begin]), pa.array(votes.astype(np.int64))], names=["query_id", "match_id", "votes"])
 
 
 def _indexed(media: DataFrame) -> DataFrame:
@@ -243,9 +280,8 @@ def _matches(some: DataFrame, several: DataFrame, queries: DataFrame) -> DataFra
     unique = some.withColumn("digest", F.unhex(F.sha2("image", 256))).join(several, "digest", "left").where("least is null or id = least")
     unique = unique.select("id", "image")
     both = _entries(unique, False, parts).unionByName(_entries(queries.select(F.col("id").cast("long").alias("id"), "image"), True, parts))
-    votes = both.repartition(parts, "part").mapInArrow(tidy(_votes), "query_id long, match_id long, cell long, corner int")
-    agreed = votes.groupBy("query_id", "match_id", "cell", "corner").agg(F.lit(1).alias("one")).groupBy("query_id", "match_id", "cell").agg(F.count(F.lit(1)).alias("votes"))
-    found = agreed.where(F.col("votes") >= LEAST_VOTES).groupBy("query_id", "match_id").agg(F.max("votes").alias("votes"))
+    votes = both.repartition(parts, "part").mapInArrow(tidy(lambda batches: _votes(batches, parts)), "part int, c0 binary")
+    found = votes.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(_tally), "query_id long, match_id long, votes long")
     return found.join(several.select(F.col("least").alias("match_id"), "n_copies"), "match_id", "left").select("query_id", "match_id", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "votes")
 
 
