@@ -14,6 +14,7 @@ with equal shares: the alphabetically first. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,8 @@ BUCKETS = 1 << 16
 #: Added to each trigram's count.
 SMOOTHING = 0.05
 UNDETERMINED = "und"
-_ROUNDS, _MOST_LANGUAGES = 12, 8
+#: EM ends when no share of a text changes by more than TOLERANCE, or with MOST_ROUNDS.
+TOLERANCE, MOST_ROUNDS = 1e-3, 500
 _SPACE = 32
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -86,7 +88,7 @@ def _em(like: np.ndarray, start: np.ndarray, doc: np.ndarray, shares: np.ndarray
         total = p.sum(1)
         p /= total[:, None]
         new = np.add.reduceat(p, start, axis=0) / n
-        done = np.abs(new - shares).max() < 1e-3
+        done = np.abs(new - shares).max() < TOLERANCE
         shares = new
         if done:
             break
@@ -110,14 +112,14 @@ def mixtures(model: Model, texts: list[str]) -> np.ndarray:
     alone = np.add.reduceat(np.log(like), start, axis=0)
     top = alone.argmax(1)
     single = alone[np.arange(len(ids)), top]
-    shares, full = _em(like, start, local, np.full((len(ids), like.shape[1]), 1 / like.shape[1], dtype=np.float32), _ROUNDS)
+    shares, full = _em(like, start, local, np.full((len(ids), like.shape[1]), 1 / like.shape[1], dtype=np.float32), MOST_ROUNDS)
     penalty = 0.5 * np.log(np.maximum(words, 2))
     result = np.zeros_like(shares)
     result[np.arange(len(ids)), top] = 1
     value = single - penalty
     active = np.flatnonzero(full - single > penalty)
     order = np.argsort(-shares, axis=1, kind="stable")
-    for k in range(2, min(len(model.languages), _MOST_LANGUAGES) + 1):
+    for k in range(2, len(model.languages) + 1):
         if not len(active):
             break
         take = np.isin(local, active)
@@ -127,7 +129,7 @@ def mixtures(model: Model, texts: list[str]) -> np.ndarray:
         rows = np.arange(len(active))[:, None]
         s[rows, order[active, :k]] = np.maximum(shares[active[:, None], order[active, :k]], 1e-3)
         s /= s.sum(1, keepdims=True)
-        s, fit = _em(like[take], begin, own, s, _ROUNDS)
+        s, fit = _em(like[take], begin, own, s, MOST_ROUNDS)
         better = fit - k * penalty[active] > value[active]
         value[active[better]] = (fit - k * penalty[active])[better]
         result[active[better]] = s[better]
@@ -158,21 +160,20 @@ def fit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         share = F.when(F.col(lang_col) == language, min(1.0, sample / k)).otherwise(share)
     picked = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000)
 
-    def run(batches):
-        total: dict[str, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, languages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for t, language in zip(texts, languages, strict=True):
+            for t, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = counts([t])
-                total[language] = total[language] + c if language in total else c
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], names=["language", "counts"])
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], names=["language", "bucket", "n"])
 
-    parts = picked.select(F.col(text_col).alias("text"), F.col(lang_col).alias("language")).coalesce(8).mapInArrow(run, "language string, counts binary").collect()
+    # the sums alone, BUCKETS numbers of each language at most, come to the driver
+    each = picked.select(F.col(text_col).alias("text"), F.col(lang_col).alias("language")).mapInArrow(run, "language string, bucket int, n long")
+    sums = each.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     by_language: dict[str, np.ndarray] = {}
-    for r in parts:
-        c = np.frombuffer(r[1], dtype="<i8")
-        by_language[r[0]] = by_language[r[0]] + c if r[0] in by_language else c
+    language, bucket, n_ = (sums.column(c).to_numpy() for c in ("language", "bucket", "n"))
+    for name in sorted(set(language.tolist())):
+        by_language[name] = np.bincount(bucket[language == name], weights=n_[language == name], minlength=BUCKETS).astype(np.int64)
     return model_of(by_language)
 
 

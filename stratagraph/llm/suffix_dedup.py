@@ -426,9 +426,9 @@ def strip_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and text: what is left (null texts give an empty one)."""
     done = strip(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
-    return done.select(F.col("row").getField(id_col).alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(F.col("row").getField(id_col).alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

@@ -64,15 +64,16 @@ def header_of(data: bytes) -> tuple[dict[str, str], int]:
 
 def inflated(source: BinaryIO) -> Iterator[bytes]:
     """The content of a gzip file of one or more members, in parts."""
-    d, rest = zlib.decompressobj(31), b""
+    d, rest, fed = zlib.decompressobj(31), b"", False
     while True:
         data = rest or source.read(_READ)
         rest = b""
         if not data:
-            if not d.eof and d.unconsumed_tail:
+            if fed:
                 raise EOFError("the gzip stream is cut off")
             return
         out = d.decompress(data)
+        fed = not d.eof
         if out:
             yield out
         if d.eof:
@@ -133,7 +134,9 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     big = F.octet_length("payload") >= LEAST_REVISIT
     digests = pages.select(F.col(id_col).alias("id"), payload.alias("payload")).where(big).select("id", F.sha2("payload", 256).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(first, "digest", "left")
+    # payloads go by page and digest: pages of one payload don't meet in one task, as they would by the digest alone
+    of_page = digests.distinct().join(first, "digest").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "first")
+    return rows.join(of_page, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
