@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_accession
@@ -45,27 +47,50 @@ def with_hubs(df: DataFrame, n: str = "n_determinants", share: float = HUB_SHARE
     return out.withColumn("determinant_fraction", F.when(F.col("__top") > 0, F.col(n) / F.col("__top")).otherwise(0.0)).withColumn("hub_candidate", F.col(n) >= F.col("__top") * share).drop("__top")
 
 
+#: Terms of Stirling's series for the logarithm of the gamma function, by odd powers of 1 / z; fixed values.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+_SMALLEST = 1e-300
+
+
+def log_gamma(z: Column) -> Column:
+    """For z >= 1: Stirling's series 10 further on, less the logarithm of what lies between."""
+    y = z + 10.0
+    series = reduce(lambda total, k: total + _STIRLING[k] / F.pow(y, F.lit(2 * k + 1)), range(len(_STIRLING)), F.lit(0.0))
+    between = reduce(lambda a, b: a * b, [z + float(k) for k in range(10)])
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(between)
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function for 0 < x < 1 and a, b >= 1: a continued fraction, of as many steps as the root of a and b asks for."""
+
+    def fraction(x: Column, a: Column, b: Column) -> Column:
+        off = lambda v: F.when(F.abs(v) < _SMALLEST, _SMALLEST).otherwise(v)
+
+        def step(state: Column, m: Column) -> Column:
+            c, d, h = state["c"], state["d"], state["h"]
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            d1, c1 = 1 / off(1 + even * d), off(1 + even / c)
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            d2, c2 = 1 / off(1 + odd * d1), off(1 + odd / c1)
+            return F.struct(c2.alias("c"), d2.alias("d"), (h * d1 * c1 * d2 * c2).alias("h"))
+
+        first = 1 / off(1 - (a + b) * x / (a + 1))
+        steps = F.sequence(F.lit(1), (F.lit(60) + 6 * F.sqrt(F.greatest(a, b))).cast("int"))
+        ended = F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), lambda s, m: step(s, m.cast("double")))
+        return F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x)) * ended["h"] / a
+
+    return F.when(x < (a + 1) / (a + b + 2), fraction(x, a, b)).otherwise(1 - fraction(1 - x, b, a))
+
+
 def binomial_tails(df: DataFrame, k: str, s: str, n: str, name: str = "p_value") -> DataFrame:
     """P(X >= k) for X of Binomial(s, 1/n); 1 for k <= 0, null for n <= 1 or s <= 0.
 
-    Only built-in functions: a table of log factorials up to the largest s, and for each distinct (k, s, n) its terms. How many of those there are
-    follows from how counts are spread and not from the rows.
+    The tail is an incomplete beta function, worked out once for each distinct (k, s, n), in steps that grow as the root of s.
     """
-    spark = df.sparkSession
     cases = df.select(F.col(k).cast("long").alias("__tail_k"), F.col(s).cast("long").alias("__tail_s"), F.col(n).cast("long").alias("__tail_n")).distinct()
-    most = cases.agg(F.coalesce(F.max("__tail_s"), F.lit(0))).first()[0]
-    logs = spark.range(0, max(0, most) + 1).select(F.col("id").alias("x"), F.when(F.col("id") > 0, F.ln(F.col("id").cast("double"))).otherwise(0.0).alias("l"))
-    width = 4096
-    block = F.floor(F.col("x") / width)
-    per_block = logs.groupBy(block.alias("blk")).agg(F.sum("l").alias("t")).select("blk", (F.sum("t").over(W.orderBy("blk")) - F.col("t")).alias("b"))  # most / width rows
-    facts = logs.withColumn("blk", block).withColumn("own", F.sum("l").over(W.partitionBy("blk").orderBy("x"))).join(per_block, "blk").select("x", (F.col("own") + F.col("b")).alias("lf"))
     valid = cases.where((F.col("__tail_n") > 1) & (F.col("__tail_s") > 0) & (F.col("__tail_k") > 0) & (F.col("__tail_k") <= F.col("__tail_s")))
-    terms = valid.withColumn("i", F.explode(F.sequence("__tail_k", "__tail_s")))
-    f = lambda c, a: facts.select(F.col("x").alias(c), F.col("lf").alias(a))
-    terms = terms.join(f("__tail_s", "ls"), "__tail_s").join(f("i", "li"), "i").withColumn("r", F.col("__tail_s") - F.col("i")).join(f("r", "lr"), "r")
-    p = F.lit(1.0) / F.col("__tail_n")
-    term = F.exp(F.col("ls") - F.col("li") - F.col("lr") + F.col("i") * F.ln(p) + F.col("r") * F.ln(1.0 - p))
-    tails = terms.groupBy("__tail_k", "__tail_s", "__tail_n").agg(F.least(F.lit(1.0), F.sum(term)).alias("__tail_p"))
+    a, b = F.col("__tail_k").cast("double"), (F.col("__tail_s") - F.col("__tail_k") + 1).cast("double")
+    tails = valid.withColumn("__tail_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), incomplete_beta(F.lit(1.0) / F.col("__tail_n"), a, b))))
     on = [F.col(k).cast("long") == F.col("__tail_k"), F.col(s).cast("long") == F.col("__tail_s"), F.col(n).cast("long") == F.col("__tail_n")]
     out = df.join(tails, on[0] & on[1] & on[2], "left")
     value = F.when((F.col(n) <= 1) | (F.col(s) <= 0), F.lit(None).cast("double")).when(F.col(k) <= 0, 1.0).when(F.col(k) > F.col(s), 0.0).otherwise(F.col("__tail_p"))

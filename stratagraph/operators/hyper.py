@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import CATEGORIES
+from .ordering import numbered
 
 
 def members(df: DataFrame, family: str, group: str, node: str, name: str | None = None) -> DataFrame:
@@ -70,10 +70,11 @@ def hyperedges(all_members: DataFrame, least: int = 2) -> DataFrame:
 
 
 def with_ids(edges: DataFrame, family_order: list[str]) -> DataFrame:
-    """hyperedge_id within each strain: families in the given order, then names."""
-    rank = F.array_position(F.array(*[F.lit(f) for f in family_order]), F.col("type"))
-    w = W.partitionBy("strain").orderBy(F.when(rank == 0, len(family_order) + 1).otherwise(rank), "type", "name")
-    return edges.withColumn("hyperedge_id", (F.row_number().over(w) - 1).cast("long"))
+    """hyperedge_id within each strain: families in the given order, then names. All are ranked by ranges, and each strain's first rank taken off."""
+    place = F.array_position(F.array(*[F.lit(f) for f in family_order]), F.col("type"))
+    ranked = numbered(edges, [F.col("strain"), F.when(place == 0, len(family_order) + 1).otherwise(place), F.col("type"), F.col("name")], "__rank")
+    first = ranked.groupBy("strain").agg(F.min("__rank").alias("__first"))
+    return ranked.join(first, "strain").withColumn("hyperedge_id", F.col("__rank") - F.col("__first")).select(*edges.columns, "hyperedge_id")
 
 
 def incidence(all_members: DataFrame, edge: list[str], node: str, least: int = 2) -> DataFrame:

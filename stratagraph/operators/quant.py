@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log2_plus_one, regulation
+from .ordering import medians
 
 
 def to_long(df: DataFrame, ids: list[str], samples: list[str], sample: str = "sample_id", value: str = "value") -> DataFrame:
@@ -64,9 +65,10 @@ def group_means(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 def scaled_to_common_median(df: DataFrame, group: str, value: str, name: str = "scaled") -> DataFrame:
     """value times (mean of the groups' medians) / (its group's median); medians are of positive values. Unchanged with fewer than two groups; null in a group without a median."""
-    medians = df.groupBy(group).agg(F.expr(f"median(`{value}`) FILTER (WHERE `{value}` > 0)").alias("__median"))
-    overall = medians.agg(F.avg("__median").alias("__mean"), F.count(F.lit(1)).alias("__groups"))
-    scale = medians.crossJoin(F.broadcast(overall))  # one row
+    groups = df.select(group).distinct()
+    own = groups.join(medians(df.where(F.col(value) > 0), [group], value, "__median"), group, "left")
+    overall = own.agg(F.avg("__median").alias("__mean"), F.count(F.lit(1)).alias("__groups"))
+    scale = own.crossJoin(F.broadcast(overall))  # one row
     out = df.join(scale, group).withColumn(name, F.when(F.col("__groups") < 2, F.col(value)).otherwise(F.col(value) * F.col("__mean") / F.col("__median")))
     return out.drop("__median", "__mean", "__groups")
 

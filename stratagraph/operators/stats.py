@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import medians
+
 #: Values of a stratum of which distinct ones are counted in a task: beyond that many distinct values the exact draw is refused.
 DISTINCT = 2_000_000
 
@@ -19,11 +22,17 @@ def group_differences(df: DataFrame, value: str, flag: str, by: list[str] = [])
     pick = lambda c: F.when(c, F.col(value).cast("double"))
     out = df.groupBy(*by).agg(
         F.count(pick(yes)).alias("n_flagged"), F.count(pick(no)).alias("n_other"), F.avg(pick(yes)).alias("mean_flagged"), F.avg(pick(no)).alias("mean_other"),
-        F.median(pick(yes)).alias("median_flagged"), F.median(pick(no)).alias("median_other"), F.var_samp(pick(yes)).alias("__va"), F.var_samp(pick(no)).alias("__vb"),
+        F.var_samp(pick(yes)).alias("__va"), F.var_samp(pick(no)).alias("__vb"),
     )
     a, b = F.col("n_flagged") - 1, F.col("n_other") - 1
     pooled = F.sqrt((a * F.col("__va") + b * F.col("__vb")) / (a + b))
     diff = F.col("mean_flagged") - F.col("mean_other")
+    middle = medians(df.where(F.col(flag).isNotNull()), [*by, flag], value).groupBy(*by).agg(F.max(F.when(yes, F.col("median"))).alias("median_flagged"), F.max(F.when(no, F.col("median"))).alias("median_other"))
+    if by:
+        same = [F.col(f"__{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+        out = out.join(middle.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], "median_flagged", "median_other"), reduce(lambda x, y: x & y, same), "left").drop(*[f"__{i}" for i in range(len(by))])
+    else:
+        out = out.crossJoin(F.broadcast(middle))  # one row each
     return out.withColumn("mean_difference", diff).withColumn("median_difference", F.col("median_flagged") - F.col("median_other")).withColumn("cohens_d", F.when((a > 0) & (b > 0) & (pooled > 0), diff / pooled)).drop("__va", "__vb")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import agreement, layer_status
-from ..operators import candidates, community, correlation, evidence, graph, hyper, paths, quant, reports, sets, stats, windows
+from ..operators import candidates, community, correlation, enrich, evidence, graph, hyper, paths, quant, reports, sets, stats, windows
 from ..sources.gff import attributes
 from .registry import Tables, query
 
@@ -174,35 +174,6 @@ def hyperedge_ids(t: Tables) -> DataFrame:
     return hyper.with_ids(e, ["PROMO", "ECONOMY"]).drop("strain")
 
 
-@query(
-    "B1 B2 W7",
-    """
-WITH RECURSIVE e AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'O' || l_orderkey AS b FROM lineitem WHERE l_quantity > 45), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-p(seed, node, d) AS (SELECT s, s, 0 FROM (SELECT 'S' || s_suppkey AS s FROM supplier WHERE s_suppkey <= 3) UNION SELECT p.seed, g.b, p.d + 1 FROM p JOIN g ON g.a = p.node WHERE p.d < 3)
-SELECT seed, node, min(d) AS path_length FROM p GROUP BY 1, 2""",
-)
-def bounded_bfs(t: Tables) -> DataFrame:
-    e = t("lineitem").where("l_quantity > 45").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("O"), F.col("l_orderkey")).alias("dst"), F.lit("supplies").alias("relation"))
-    seeds = t("supplier").where("s_suppkey <= 3").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("seed")).withColumn("node", F.col("seed"))
-    return paths.bounded_paths(paths.entity_graph(e, by=[]), seeds, 3, by=[]).select("seed", "node", "path_length")
-
-
-@query(
-    "B2 W7",
-    """
-WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'O' || l_orderkey AS b FROM lineitem WHERE l_quantity > 45), s AS (SELECT 'S' || s_suppkey AS a FROM supplier WHERE s_suppkey <= 3),
-d2 AS (SELECT s.a AS seed, y.a AS node, min(s.a || ';' || x.b || ';' || y.a) AS node_sequence FROM s JOIN e x ON x.a = s.a JOIN e y ON y.b = x.b AND y.a <> s.a GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node) AS k FROM d2)
-SELECT seed, node, node_sequence FROM r WHERE k <= 20""",
-)
-def path_context(t: Tables) -> DataFrame:
-    e = t("lineitem").where("l_quantity > 45").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("O"), F.col("l_orderkey")).alias("dst"), F.lit("supplies").alias("relation"))
-    seeds = t("supplier").where("s_suppkey <= 3").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("seed")).withColumn("node", F.col("seed"))
-    found = paths.bounded_paths(paths.entity_graph(e, by=[]), seeds, 2, by=[])
-    layers = t("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("node"), F.lit("genome").alias("layer"))
-    return paths.context(found, layers, seeds, by=[], most=20).select("seed", "node", F.array_join("node_sequence", ";").alias("node_sequence"))
-
-
 def _supply(t: Tables) -> tuple[DataFrame, DataFrame]:
     """The graph of all suppliers and their orders, and all suppliers as seeds."""
     e = t("lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("O"), F.col("l_orderkey")).alias("dst"), F.lit("supplies").alias("relation"))
@@ -211,14 +182,14 @@ def _supply(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 @query("B1 B2 W7")
-def bounded_bfs_whole(t: Tables) -> DataFrame:
-    """bounded_bfs() over all rows, from all suppliers, to the reference's depth; no SQL, as that of bounded_bfs has its bounds."""
+def bounded_bfs(t: Tables) -> DataFrame:
+    """Over all rows, from all suppliers, to the full depth; SQL that recurses over that many paths is too slow."""
     return paths.bounded_distances(*_supply(t), 4, by=[])
 
 
 @query("B2 W7")
-def path_context_whole(t: Tables) -> DataFrame:
-    """path_context() over all rows, from all suppliers, to the reference's depth and number of rows."""
+def path_context(t: Tables) -> DataFrame:
+    """Over all rows, from all suppliers, to the full depth and number of rows; no SQL, as for bounded_bfs()."""
     graph, seeds = _supply(t)
     found = paths.bounded_paths(graph, seeds, 4, by=[])
     layers = seeds.select("node", F.lit("genome").alias("layer"))
@@ -329,19 +300,11 @@ def top_k_per_group(t: Tables) -> DataFrame:
 
 
 @query("V7", """
-WITH m AS (SELECT DISTINCT l_orderkey AS hub, l_suppkey AS node FROM lineitem), s AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey <= 5), z AS (SELECT hub, count(*) AS n FROM m GROUP BY 1 HAVING count(*) <= 60),
+WITH m AS (SELECT DISTINCT l_orderkey AS hub, l_suppkey AS node FROM lineitem), s AS (SELECT s_suppkey AS node FROM supplier), z AS (SELECT hub, count(*) AS n FROM m GROUP BY 1 HAVING count(*) <= 60),
 c AS (SELECT s.node AS seed, m.hub, row_number() OVER (PARTITION BY s.node ORDER BY z.n, m.hub) AS k FROM s JOIN m ON m.node = s.node JOIN z ON z.hub = m.hub ),
 a AS (SELECT c.seed, c.hub, m.node, row_number() OVER (PARTITION BY c.seed, c.hub ORDER BY m.node % 2 = 0 DESC, m.node) AS k FROM c JOIN m ON m.hub = c.hub WHERE c.k <= 12 AND m.node <> c.seed)
 SELECT seed, hub, node FROM a WHERE k <= 5""")
 def specific_hubs(t: Tables) -> DataFrame:
-    m = t("lineitem").select(F.col("l_orderkey").alias("hub"), F.col("l_suppkey").alias("node")).distinct().withColumn("measured", F.col("node") % 2 == 0)
-    s = t("supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").alias("seed"))
-    return reports.specific_hubs(m, s, "hub", "node", "seed", "measured")
-
-
-@query("V7")
-def specific_hubs_whole(t: Tables) -> DataFrame:
-    """specific_hubs() of all suppliers."""
     m = t("lineitem").select(F.col("l_orderkey").alias("hub"), F.col("l_suppkey").alias("node")).distinct().withColumn("measured", F.col("node") % 2 == 0)
     s = t("supplier").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").alias("seed"))
     return reports.specific_hubs(m, s, "hub", "node", "seed", "measured")
@@ -479,15 +442,8 @@ def label_propagation(t: Tables) -> DataFrame:
     return community.label_propagation(_copurchase(t), "a", "b", "w", 5)
 
 
-@query("G12", "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS a, o_custkey + 1000000 AS b FROM orders WHERE o_totalprice > 450000), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1")
+@query("G12", "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS a, o_custkey + 1000000 AS b FROM orders), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1")
 def connected_components(t: Tables) -> DataFrame:
-    e = t("orders").where("o_totalprice > 450000").select("o_orderkey", (F.col("o_custkey") + 1000000).alias("c"))
-    return community.components(e, "o_orderkey", "c")
-
-
-@query("G12")
-def connected_components_whole(t: Tables) -> DataFrame:
-    """connected_components() of all orders."""
     return community.components(t("orders").select("o_orderkey", (F.col("o_custkey") + 1000000).alias("c")), "o_orderkey", "c")
 
 
@@ -514,19 +470,9 @@ def adjacent_turns(t: Tables) -> DataFrame:
     return t("conversations").select("conv_id", "turn", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")).alias("before"))
 
 
-@query("S14 X11", "SELECT doc_id, split_part(line, ' ', 1) AS first_word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE n_chars < 2000) WHERE line <> '' GROUP BY 1, 2")
+@query("S14 X11", "SELECT doc_id, split_part(line, ' ', 1) AS first_word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY 1, 2")
 def block_parse(t: Tables) -> DataFrame:
-    return _first_words(t("documents").where("n_chars < 2000"))
-
-
-@query("S14 X11")
-def block_parse_whole(t: Tables) -> DataFrame:
-    """block_parse() over documents of any length; no SQL, as that of block_parse has its bound."""
-    return _first_words(t("documents"))
-
-
-def _first_words(documents: DataFrame) -> DataFrame:
-    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     return lines.groupBy("doc_id", F.split_part("line", F.lit(" "), F.lit(1)).alias("first_word")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -577,3 +523,65 @@ def layer_availability(t: Tables) -> DataFrame:
     rna = t("customer").where("c_acctbal > 9990").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
     protein = t("supplier").where("s_acctbal > 9000").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
     return evidence.availability(t("region").select(F.col("r_name").alias("strain")), {"rna": rna, "protein": protein})
+
+
+def _determinants(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    return t("customer").where(k % 20 == 0).select(F.lit("x").alias("strain"), F.concat(F.lit("G"), k).alias("gene_id"), F.concat(F.lit("WP_"), k, F.lit(".1")).alias("protein_id"))
+
+
+def _known_of(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Categories, pathways and recovered terms by accession, the latter with a version for every third."""
+    k = F.col("c_custkey")
+    plain = F.concat(F.lit("WP_"), k)
+    categories = t("customer").select(plain.alias("accession"), F.substring("c_mktsegment", 1, 1).alias("category"))
+    pathways = t("orders").select(F.concat(F.lit("WP_"), F.col("o_custkey")).alias("accession"), F.col("o_orderpriority").alias("pathway")).distinct()
+    recovery = t("customer").select(F.when(k % 3 == 0, F.concat(plain, F.lit(".1"))).otherwise(plain).alias("accession"), F.concat(F.lit(" GO:"), F.col("c_nationkey"), F.lit(" ;")).alias("go_terms"))
+    return categories, pathways, enrich.recovered_terms(recovery)
+
+
+_D = "WITH d AS (SELECT * FROM customer WHERE c_custkey % 20 = 0)"
+
+
+@query(
+    "E1 E3 U6 X12",
+    _D
+    + """, base AS (SELECT 'encodes' AS relation, 'G' || c_custkey AS src, 'WP_' || c_custkey || '.1' AS dst FROM customer WHERE c_custkey % 40 = 0 UNION SELECT 'cog_category', 'G' || c_custkey, substr(c_mktsegment, 1, 1) FROM customer WHERE c_custkey % 7 = 0),
+nodes AS (SELECT src AS n FROM base UNION SELECT dst FROM base)
+SELECT * FROM base UNION SELECT 'encodes', 'G' || c_custkey, 'WP_' || c_custkey || '.1' FROM d UNION SELECT 'cog_category', 'G' || c_custkey, substr(c_mktsegment, 1, 1) FROM d
+UNION SELECT 'in_pathway', 'G' || c_custkey, o_orderpriority FROM d JOIN orders ON o_custkey = c_custkey UNION SELECT 'annotated_by', 'WP_' || c_custkey || '.1', 'GO:' || c_nationkey FROM d
+UNION SELECT 'genomic_proximity', 'G' || c_custkey, n FROM d JOIN nodes ON n IN ('G' || (c_custkey + 1), 'G' || (c_custkey - 1))""",
+)
+def enriched_edges(t: Tables) -> DataFrame:
+    c = t("customer").select(F.lit("x").alias("strain"), "c_custkey", F.concat(F.lit("G"), F.col("c_custkey")).alias("gene"), F.concat(F.lit("WP_"), F.col("c_custkey"), F.lit(".1")).alias("protein"), F.substring("c_mktsegment", 1, 1).alias("category"))
+    base = graph.edges(c.where("c_custkey % 40 = 0"), "gene", "protein", "gene", "encodes", "protein").unionByName(graph.functional_edges(c.where("c_custkey % 7 = 0"), "gene", "category", "gene", "cog_category"))
+    near = c.select("strain", F.col("gene").alias("gene_a"), F.concat(F.lit("G"), F.col("c_custkey") + 1).alias("gene_b"))
+    once = enrich.enriched_edges(base, _determinants(t), *_known_of(t), near)
+    return enrich.enriched_edges(once, _determinants(t), *_known_of(t), near.limit(0)).select("relation", "src", "dst")
+
+
+@query(
+    "E2",
+    _D
+    + """, base AS (SELECT 'cog_category' AS type, 'COG_' || substr(c_mktsegment, 1, 1) || ': ' || c_mktsegment AS name, 'G' || c_custkey AS node FROM customer WHERE c_custkey % 20 <> 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')
+UNION SELECT 'kegg_pathway', o_orderpriority, 'G' || o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_custkey % 20 <> 0
+UNION SELECT 'go_term', 'GO:' || c_nationkey || ': ' || n_name, 'WP_' || c_custkey || '.1' FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey < 10 AND c_custkey % 20 <> 0)
+SELECT * FROM base UNION SELECT 'cog_category', 'COG_' || substr(c_mktsegment, 1, 1) || ': ' || CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE substr(c_mktsegment, 1, 1) END, 'G' || c_custkey FROM d
+UNION SELECT 'kegg_pathway', o_orderpriority, 'G' || c_custkey FROM d JOIN orders ON o_custkey = c_custkey
+UNION SELECT 'go_term', 'GO:' || c_nationkey || ': ' || CASE WHEN c_nationkey < 10 THEN n_name ELSE 'GO:' || c_nationkey END, 'WP_' || c_custkey || '.1' FROM d JOIN nation ON n_nationkey = c_nationkey""",
+)
+def enriched_members(t: Tables) -> DataFrame:
+    x = F.lit("x").alias("strain")
+    c = t("customer").where("c_custkey % 20 <> 0").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    cog = c.where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(x, F.concat_ws(": ", F.concat(F.lit("COG_"), F.substring("c_mktsegment", 1, 1)), "c_mktsegment").alias("g"), F.concat(F.lit("G"), F.col("c_custkey")).alias("n"))
+    kegg = t("orders").where("o_orderpriority like '1%' and o_custkey % 20 <> 0").select(x, F.col("o_orderpriority").alias("g"), F.concat(F.lit("G"), F.col("o_custkey")).alias("n"))
+    go = c.where("c_nationkey < 10").select(x, F.concat_ws(": ", F.concat(F.lit("GO:"), F.col("c_nationkey")), "n_name").alias("g"), F.concat(F.lit("WP_"), F.col("c_custkey"), F.lit(".1")).alias("n"))
+    base = hyper.union(hyper.members(cog, "cog_category", "g", "n"), hyper.members(kegg, "kegg_pathway", "g", "n"), hyper.members(go, "go_term", "g", "n"))
+    return enrich.enriched_members(base, _determinants(t), *_known_of(t)).drop("strain")
+
+
+@query("X8", "SELECT s_suppkey, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+def edges_of_either_form(t: Tables) -> DataFrame:
+    ids = t("supplier").select("s_suppkey", F.concat(F.lit("WP_"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("."), F.col("s_suppkey") % 3))).alias("protein_id"))
+    e = t("lineitem").select(F.concat(F.lit("WP_"), F.col("l_suppkey"), F.when(F.col("l_linenumber") % 2 == 0, ".2").otherwise("")).alias("src"))
+    return enrich.by_canonical_form(ids, "protein_id", e, "src").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))

@@ -25,6 +25,8 @@ def visible_to_workers(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset, which goes with the process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not root:
         folder = tempfile.mkdtemp(prefix="stratagraph-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -20,7 +20,7 @@ def test_lines_of_long_texts(spark):
     texts = {1: "a b\n\nc\na", 2: "\n".join(f"w{i % 7} x" for i in range(2000)), 3: "", 4: None, 5: "y" * 5000}
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts.items()], "doc_id long, text string, n_chars int")
     want = Counter((i, line.split(" ")[0]) for i, t in texts.items() for line in (t or "").split("\n") if line)
-    assert sorted(run("block_parse_whole", documents=docs)) == sorted((i, w, n) for (i, w), n in want.items())
+    assert sorted(run("block_parse", documents=docs)) == sorted((i, w, n) for (i, w), n in want.items())
 
 
 @pytest.fixture(scope="module")
@@ -64,14 +64,14 @@ def test_paths_from_all_seeds(spark, tables, lines, hub):
     lines = lines if hub else [x for x in lines if x[0] != 200]
     some = tables | {"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity int")}
     best = shortest(lines, 4)
-    assert sorted(run("bounded_bfs_whole", **some)) == sorted((s, n, len(p) - 1) for (s, n), p in best.items())
+    assert sorted(run("bounded_bfs", **some)) == sorted((s, n, len(p) - 1) for (s, n), p in best.items())
     want = sorted((s, n, ";".join(p)) for (s, n), p in best.items() if n[0] == "S" and n != s)
-    assert sorted(run("path_context_whole", **some)) == want and len({s for s, _, _ in want}) > 30
+    assert sorted(run("path_context", **some)) == want and len({s for s, _, _ in want}) > 30
 
 
 def test_paths_have_400_rows_a_seed(spark):
     some = {"lineitem": spark.createDataFrame([(1, s) for s in range(1, 451)] + [(2, 450), (2, 451)], "l_orderkey long, l_suppkey long"), "supplier": spark.createDataFrame([(s,) for s in range(1, 452)], "s_suppkey long")}
-    n = Counter(s for s, _, _ in run("path_context_whole", **some))
+    n = Counter(s for s, _, _ in run("path_context", **some))
     assert set(n.values()) == {400} and len(n) == 451
 
 
@@ -83,12 +83,12 @@ def test_hubs_of_all_seeds(tables, lines):
     for s in range(1, 70):
         for _, o in sorted((len(m), o) for o, m in members.items() if s in m and len(m) <= 60)[:12]:
             want += [(s, o, n) for n in sorted(members[o] - {s}, key=lambda n: (n % 2, n))[:5]]
-    assert sorted(run("specific_hubs_whole", **tables)) == sorted(want)
+    assert sorted(run("specific_hubs", **tables)) == sorted(want)
 
 
 def test_components_of_all_orders(spark):
     orders = spark.createDataFrame([(o, o % 7, 1000.0 * o) for o in range(1, 50)], "o_orderkey long, o_custkey long, o_totalprice double")
-    assert sorted(run("connected_components_whole", orders=orders)) == sorted([(o, o % 7 or 7) for o in range(1, 50)] + [(1000000 + c, c or 7) for c in range(7)])
+    assert sorted(run("connected_components", orders=orders)) == sorted([(o, o % 7 or 7) for o in range(1, 50)] + [(1000000 + c, c or 7) for c in range(7)])
 
 
 def greedy(edges: list[tuple[str, str, float]]) -> dict[str, int]:
