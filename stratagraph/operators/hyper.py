@@ -107,3 +107,17 @@ def summary(inc: DataFrame, edge: list[str], node: str) -> DataFrame:
     """n_nodes, n_hyperedges, n_incidences, density."""
     s = inc.agg(F.countDistinct(node).alias("n_nodes"), F.countDistinct(*edge).alias("n_hyperedges"), F.count(F.lit(1)).alias("n_incidences"))
     return s.withColumn("density", F.col("n_incidences") / F.greatest(F.lit(1.0), F.col("n_nodes").cast("double") * F.col("n_hyperedges")))
+
+
+def family_participation(all_members: DataFrame, encodes: DataFrame, families: list[str]) -> DataFrame:
+    """(strain, gene_id, a column for each family, hyperedge_participation): whether a gene or its protein is in hyperedges of the family.
+
+    Participation counts the gene's families and its protein's. Members may be loci with gene_ before them or _RNA behind. encodes(strain, gene_id, protein_id) has all genes.
+    """
+    node = F.col("node")
+    plain = F.when(node.startswith("gene_"), F.substring(node, F.lit(6), F.length(node))).when(node.endswith("_RNA"), F.substring(node, F.lit(1), F.length(node) - 4))
+    keys = all_members.select("strain", "type", F.explode(F.array_compact(F.array(node, plain))).alias("node")).distinct()
+    own = encodes.select("strain", "gene_id").distinct().withColumn("node", F.col("gene_id")).withColumn("side", F.lit("gene"))
+    proteins = encodes.where("protein_id is not null").select("strain", "gene_id", F.col("protein_id").alias("node")).distinct().withColumn("side", F.lit("protein"))
+    hits = own.unionByName(proteins).join(keys, ["strain", "node"], "left").select("strain", "gene_id", "side", "type").distinct()
+    return hits.groupBy("strain", "gene_id").agg(*[F.coalesce(F.max((F.col("type") == f).cast("int")), F.lit(0)).alias(f) for f in families], F.count("type").alias("hyperedge_participation"))

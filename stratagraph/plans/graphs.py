@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import agreement, layer_status
-from ..operators import candidates, community, correlation, enrich, evidence, graph, hyper, paths, quant, reports, sets, stats, windows
+from ..operators import candidates, community, correlation, display, enrich, evidence, graph, hyper, paths, quant, reports, sets, stats, windows
 from ..sources.gff import attributes
 from .registry import Tables, query
 
@@ -585,3 +585,58 @@ def edges_of_either_form(t: Tables) -> DataFrame:
     ids = t("supplier").select("s_suppkey", F.concat(F.lit("WP_"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("."), F.col("s_suppkey") % 3))).alias("protein_id"))
     e = t("lineitem").select(F.concat(F.lit("WP_"), F.col("l_suppkey"), F.when(F.col("l_linenumber") % 2 == 0, ".2").otherwise("")).alias("src"))
     return enrich.by_canonical_form(ids, "protein_id", e, "src").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "X25",
+    """
+WITH n AS (SELECT 'EW' || c_custkey AS node FROM customer UNION ALL SELECT 'EW' || c_custkey || '_RNA' FROM customer UNION ALL SELECT 'WP_' || c_custkey FROM customer UNION ALL SELECT 'CHEBI:' || s_suppkey FROM supplier UNION ALL SELECT 'AMR:' || r_name FROM region UNION ALL SELECT r_name FROM region),
+g AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'EW' || c_custkey ELSE c_name END AS name FROM customer WHERE c_custkey % 3 <> 0)
+SELECT node, CASE WHEN node LIKE 'WP~_%' ESCAPE '~' THEN 'protein' WHEN node LIKE '%~_RNA' ESCAPE '~' THEN 'transcriptome' WHEN node LIKE 'CHEBI:%' THEN 'metabolite' WHEN node LIKE 'AMR:%' THEN 'annotation' WHEN node LIKE 'EW%' THEN 'genome' ELSE 'annotation' END AS node_type,
+       CASE WHEN node LIKE '%~_RNA' ESCAPE '~' THEN coalesce(g.name, replace(node, '_RNA', '')) || ' RNA' ELSE coalesce(g.name, p.name, s_name, node) END AS shown
+FROM n LEFT JOIN g ON 'EW' || g.k = replace(node, '_RNA', '') LEFT JOIN g p ON 'WP_' || p.k = node LEFT JOIN supplier ON 'CHEBI:' || s_suppkey = node AND s_suppkey % 2 = 0""",
+)
+def display_names(t: Tables) -> DataFrame:
+    c, k = t("customer"), F.col("c_custkey")
+    locus, protein = F.concat(F.lit("EW"), k), F.concat(F.lit("WP_"), k)
+    parts = [c.select(locus.alias("node")), c.select(F.concat(locus, F.lit("_RNA"))), c.select(protein), t("supplier").select(F.concat(F.lit("CHEBI:"), F.col("s_suppkey"))), t("region").select(F.concat(F.lit("AMR:"), F.col("r_name"))), t("region").select("r_name")]
+    nodes = parts[0]
+    for more in parts[1:]:
+        nodes = nodes.union(more)
+    genes = c.where(k % 3 != 0).select(locus.alias("gene_id"), F.when(k % 5 != 0, F.col("c_name")).otherwise(" ").alias("gene_name"), protein.alias("protein_id"))
+    metabolites = t("supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("CHEBI:"), F.col("s_suppkey")).alias("metabolite_id"), F.col("s_name").alias("name"))
+    return display.display_names(nodes.withColumn("node_type", display.shown_type(F.col("node"), F.lit(None).cast("string"), "EW")), genes, metabolites)
+
+
+@query(
+    "X27",
+    """
+WITH o AS (SELECT o_custkey AS k, count(DISTINCT o_orderpriority) AS n, string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) AS names FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'no RNA quantitation' ELSE 'RNA log2FC ' || printf('%.2f', (c_custkey % 9) * 0.25) || ' (' || CASE WHEN c_custkey % 9 > 4 THEN 'Up' ELSE 'n/a' END || ')' END AS rna,
+       CASE WHEN n IS NULL THEN 'no KEGG pathway' ELSE n || ' KEGG pathways' || chr(10) || CASE WHEN length(names) > 30 THEN substr(names, 1, 27) || '...' ELSE names END END AS kegg
+FROM customer LEFT JOIN o ON k = c_custkey""",
+)
+def layer_texts(t: Tables) -> DataFrame:
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.countDistinct("o_orderpriority").alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("names"))
+    k = F.col("c_custkey")
+    rna = display.measured_text(F.when(k % 4 != 0, (k % 9) * 0.25), F.when(k % 9 > 4, "Up"), "RNA log2FC", "no RNA quantitation")
+    return t("customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", rna.alias("rna"), display.counted_text(F.col("n"), F.col("names"), "KEGG pathways", "no KEGG pathway", 30).alias("kegg"))
+
+
+@query(
+    "T1 T7",
+    """
+WITH m AS (SELECT DISTINCT 'ship' AS f, l_suppkey AS k FROM lineitem WHERE l_quantity > 45 UNION SELECT 'tax', l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7),
+p AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity < 2)
+SELECT s_suppkey, CAST(s_suppkey IN (SELECT k FROM m WHERE f = 'ship') AS INT) AS ship, CAST(s_suppkey IN (SELECT k FROM m WHERE f = 'tax') OR (s_suppkey % 2 = 0 AND s_suppkey IN (SELECT k FROM p)) AS INT) AS tax,
+       (SELECT count(*) FROM m WHERE k = s_suppkey) + CAST(s_suppkey % 2 = 0 AND s_suppkey IN (SELECT k FROM p) AS INT) AS hyperedge_participation
+FROM supplier""",
+)
+def family_participation(t: Tables) -> DataFrame:
+    li, k, x = t("lineitem"), F.col("l_suppkey"), F.lit("x").alias("strain")
+    row = lambda some, family, node: some.select(x, F.lit(family).alias("type"), node.alias("node"))
+    members = row(li.where("l_quantity > 45"), "ship", F.concat(F.lit("gene_L"), k)).union(row(li.where("l_returnflag = 'R' and l_linenumber = 7"), "tax", F.concat(F.lit("L"), k, F.lit("_RNA")))).union(row(li.where("l_quantity < 2"), "tax", F.concat(F.lit("WP_"), k)))
+    s = F.col("s_suppkey")
+    encodes = t("supplier").select(x, F.concat(F.lit("L"), s).alias("gene_id"), F.when(s % 2 == 0, F.concat(F.lit("WP_"), s)).alias("protein_id"))
+    out = hyper.family_participation(members, encodes, ["ship", "tax"])
+    return out.select(F.substring("gene_id", 2, 20).cast("long").alias("s_suppkey"), "ship", "tax", "hyperedge_participation")

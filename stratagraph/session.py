@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +38,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def stage(spark: SparkSession, name: str, seconds: dict[str, float]) -> Iterator[None]:
+    """Jobs inside are a group of that name, and seconds gets how long they took, also if one fails."""
+    began = time.perf_counter()
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        yield
+    finally:
+        seconds[name] = seconds.get(name, 0.0) + time.perf_counter() - began
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in that folder that nothing else uses."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"

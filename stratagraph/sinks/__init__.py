@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 import json
 import platform
+import subprocess
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, hyper
+from ..session import ROOT
 
 
 def write_table(df: DataFrame, path: str, by: list[str] = ["strain"]) -> None:
@@ -68,11 +70,18 @@ def input_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def run_manifest(spark: SparkSession, inputs: list[str], parameters: dict) -> str:
+def git_state(folder: str) -> dict[str, object]:
+    """The commit that a folder is at and whether it has changes; nothing outside a repository."""
+    git = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=False)
+    head = git("rev-parse", "HEAD")
+    return {"commit": head.stdout.strip(), "changed": bool(git("status", "--porcelain").stdout.strip())} if head.returncode == 0 else {}
+
+
+def run_manifest(spark: SparkSession, inputs: list[str], parameters: dict, seed: int | None = None) -> str:
     """JSON of when, with what and on which inputs a run was made."""
     digests = {r["path"]: r["sha256"] for r in input_digests(spark, inputs).collect()} if inputs else {}
     now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return json.dumps({"created": now, "inputs": digests, "parameters": parameters, "versions": {"pyspark": pyspark.__version__, "python": platform.python_version()}}, indent=2, sort_keys=True)
+    return json.dumps({"created": now, "inputs": digests, "parameters": parameters, "seed": seed, "git": git_state(ROOT), "versions": {"pyspark": pyspark.__version__, "python": platform.python_version()}}, indent=2, sort_keys=True)
 
 
 def markdown(df: DataFrame, columns: list[str], limit: int) -> str:

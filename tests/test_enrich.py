@@ -1,11 +1,17 @@
 """Enrichment of determinants, lookups by either form, tails of binomials and medians, against plain loops."""
 
+import json
 import math
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratagraph.operators import candidates, enrich, graph, hyper, ordering
+from stratagraph import __main__ as cli
+from stratagraph import sinks
+from stratagraph.operators import candidates, display, enrich, graph, hyper, ordering
+from stratagraph.plans import QUERIES, saved
+from stratagraph.session import stage
 
 
 def frame(spark, rows, schema):
@@ -82,3 +88,41 @@ def test_hyperedge_ids_by_strain(spark):
     rows = [("s", "b", "y"), ("s", "a", "z"), ("s", "c", "x"), ("u", "c", "x"), ("s", "b", "x")]
     got = hyper.with_ids(frame(spark, rows, "strain string, type string, name string"), ["b", "a"]).collect()
     assert sorted((r.strain, r.hyperedge_id, r.type, r.name) for r in got) == [("s", 0, "b", "x"), ("s", 1, "b", "y"), ("s", 2, "a", "z"), ("s", 3, "c", "x"), ("u", 0, "c", "x")]
+
+
+def test_texts_of_layers(spark):
+    df = frame(spark, [(1.25, "Up", 2, "a; b"), (None, None, 0, None), (float("nan"), " ", 3, "x" * 30)], "v double, c string, n int, names string")
+    got = df.select(display.measured_text(F.col("v"), F.col("c"), "RNA", "none").alias("m"), display.counted_text(F.col("n"), F.col("names"), "terms", "no term", 10).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("RNA 1.25 (Up)", "2 terms\na; b"), ("none", "no term"), ("RNA n/a (n/a)", "3 terms\nxxxxxxx...")]
+
+
+def test_names_of_nodes(spark):
+    genes = frame(spark, [("L1", "abcA", "WP_1"), ("L1", "zzz", "WP_1"), ("L2", " ", None)], "gene_id string, gene_name string, protein_id string")
+    metabolites = frame(spark, [("CHEBI:1", None), ("M-x", "x")], "metabolite_id string, name string")
+    nodes = frame(spark, [(n,) for n in ("L1", "L1_RNA", "WP_1", "L2", "L9_RNA", "CHEBI:1", "M-x", "ko1")], "node string")
+    got = {r.node: r.shown for r in display.display_names(nodes, genes, metabolites).collect()}
+    assert got == {"L1": "abcA", "L1_RNA": "abcA RNA", "WP_1": "abcA", "L2": "L2", "L9_RNA": "L9 RNA", "CHEBI:1": "CHEBI:1", "M-x": "x", "ko1": "ko1"}
+
+
+def test_summaries_of_saved_tables(spark, tmp_path):
+    frame(spark, [("g1", "Up"), ("g2", "Up"), ("g3", "Down")], "gene_id string, call string").write.parquet(f"{tmp_path}/aligned")
+    frame(spark, [("s", "go_term", "GO:1", n) for n in "ab"] + [("s", "go_term", "GO:2", "a")], "strain string, type string, name string, node string").write.parquet(f"{tmp_path}/members")
+    tables, issues = saved.rebuilt(spark, (f"{tmp_path}/aligned", "call"), f"{tmp_path}/edges", f"{tmp_path}/members")
+    assert {r["call"]: r.n for r in tables["regulation"].collect()} == {"Up": 2, "Down": 1}
+    assert tuple(tables["families"].first()) == ("go_term", 1, 2.0, 2) and tuple(tables["hypergraph"].first())[:3] == (2, 1, 2)
+    assert issues == [f"{tmp_path}/edges: isn't there"] and "relations" not in tables
+
+
+def test_stages_are_timed_and_manifests_say_where_from(spark):
+    seconds = {}
+    with pytest.raises(ZeroDivisionError), stage(spark, "a", seconds):
+        1 / 0
+    assert seconds["a"] >= 0
+    m = json.loads(sinks.run_manifest(spark, [], {"depth": 4}, seed=42))
+    assert m["seed"] == 42 and set(m["git"]) in ({"commit", "changed"}, set())
+
+
+def test_command_line(capsys):
+    assert cli.main(["list"]) == 0 and len(capsys.readouterr().out.splitlines()) == len(QUERIES)
+    assert cli.main(["sql", "unresolved"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert cli.main(["sql", "bounded_bfs"]) == 1
