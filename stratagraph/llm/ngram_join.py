@@ -39,7 +39,7 @@ ALIKE, CANDIDATE, LEAST_CANDIDATE = 0.4, 0.02, 4.0
 #: Bytes of shingle sets that a task verifies at once.
 BLOCK_BYTES = 6_000_000
 #: Bytes of keys that a task groups at once, on average.
-PART_BYTES = 8_000_000
+PART_BYTES = 16_000_000
 #: Times that documents are compared with one of their key before all that are left are.
 STARS = 3
 #: Words of a parity sketch.
@@ -500,9 +500,9 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     buckets = int(8 * total // BLOCK_BYTES) + 1
     per = pairs.groupBy("a").agg((F.sum("n") * F.lit(8.0) / F.lit(BLOCK_BYTES)).cast("int").alias("more")).where("more > 0")
     dealt = pairs.join(per, "a", "left").withColumn("star", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("more", F.lit(0)) + 1)))
-    heads = dealt.select("star", "a").distinct().join(members, F.col("a") == F.col("handle")).select("star", "a", F.lit(None).cast("binary").alias("b"), "elements")
-    others = dealt.select("star", "a", "b").join(members, F.col("b") == F.col("handle")).select("star", "a", "b", "elements")
-    both = heads.unionByName(others).withColumn("bucket", F.pmod("star", F.lit(buckets)))
+    heads = dealt.select("star", "a").distinct().select("star", "a", F.lit(None).cast("binary").alias("b"), F.col("a").alias("handle"))
+    others = dealt.select("star", "a", "b", F.col("b").alias("handle"))
+    both = heads.unionByName(others).join(members, "handle").select("a", "b", "elements", F.pmod("star", F.lit(buckets)).alias("bucket"))
     return both.groupBy("bucket").applyInArrow(_links_in, "a binary, b binary")
 
 

@@ -284,3 +284,22 @@ def test_pipeline_takes_its_stages_in_order(spark, folder):
     want = sorted((k, enc.encode(t)[0], hashlib.sha256(enc.encode(t)[1].encode()).hexdigest()) for i, (k, t) in enumerate(kept) if i not in dirty)
     assert tup(corpus_pipeline.run(spark, folder), "doc_id", "n_tokens", "ids_sha256") == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "suffix_dedup", "decontamination", "bpe"]
+
+
+def test_stages_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables go through every stage; clean documents stay."""
+    words = [f"w{i}x" for i in range(60)]
+    labels = spark.createDataFrame([(1, 0), (2, 0), (4, 0), (None, 1), (8, None)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, " ".join(words[:20])), (None, "lorem ipsum dolor"), (2, None), (3, "")], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = odd.limit(0).union(spark.createDataFrame([(50, " ".join(words), "en", *["h", 1, "s", 2, "p", "b", "i", 3, "c", 4])], odd.schema))
+    for docs, last in ((odd.unionByName(extra), None), (none, 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, stage(spark, docs, str(tmp_path))
+            assert docs.columns == before.columns and docs.schema == before.schema, name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        if last == 0:
+            assert out == []
+        else:  # one of the two equal rows goes, and the leak
+            assert sorted(-1 if r.doc_id is None else r.doc_id for r in out) == [-1, 1, 2, 3, 4, 5, 7, 8, 9]
