@@ -7,7 +7,7 @@ places of the embedding are looked up among those of the items, REPEATS times wi
 
 Items are taken in blocks of ITEM_WORDS words, so that what is sent to the executors is bounded.
 
-Edge cases: null and empty texts, and items without a word, match nothing. Items of under 1 / EDITS words match exactly. Equal items match alike. Repeated rows give repeated
+Edge cases: null and empty texts, and items without a word, match nothing. An item without an id contaminates like others, under the id null. Items of under 1 / EDITS words match exactly. Equal items match alike. Repeated rows give repeated
 matches. An empty item table leaves all documents clean.
 """
 
@@ -27,6 +27,8 @@ from .textcore import mix, words
 EDITS = 0.2
 #: With so few places a repetition finds a pair at the full edit rate with probability about 0.1 or more, and all of them over 99 % of such pairs.
 BITS, REPEATS = 2, 64
+#: Walks of items from this many words on drift further apart, if all edits are insertions or all deletions: they are sampled at one place.
+LONG = 128
 ITEM_WORDS = 1_000_000
 LONGEST_RUN = 4
 _SLICE = 4_000_000
@@ -59,11 +61,17 @@ def size_class(n: int) -> int:
     return low
 
 
+def bits_of(low: int) -> int:
+    """Places that a class of items is sampled at in each repetition."""
+    return BITS if low < LONG else 1
+
+
 def _walks(low: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a class: a random word for each repetition and step, and the steps that each repetition samples."""
-    rng = np.random.default_rng([low, REPEATS, BITS])
+    bits = bits_of(low)
+    rng = np.random.default_rng([low, REPEATS, bits])
     steps = 2 * low
-    places = np.stack([np.sort(rng.choice(steps, min(BITS, steps), replace=False)) for _ in range(REPEATS)])
+    places = np.stack([np.sort(rng.choice(steps, min(bits, steps), replace=False)) for _ in range(REPEATS)])
     return rng.integers(0, 1 << 64, (REPEATS, steps), dtype=np.uint64), places
 
 
@@ -111,14 +119,14 @@ def distance(item: np.ndarray, text: np.ndarray) -> int:
 
 @dataclass
 class Index:
-    ids: list[int]
+    ids: list[int | None]
     items: list[np.ndarray]
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # run length -> sorted hashes, items, places
     tables: dict[int, tuple[np.ndarray, np.ndarray]]  # class -> sorted keys, items
     sizes: np.ndarray
 
 
-def index_of(rows: list[tuple[int, str]]) -> Index:
+def index_of(rows: list[tuple[int | None, str]]) -> Index:
     h, counts = words([(t or "").lower() for _, t in rows], punctuation=True)
     items = np.split(h, np.cumsum(counts)[:-1]) if rows else []
     by_run: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -152,8 +160,8 @@ def _entries(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     return each, np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int]]:
-    """(text, item's id, edits) of all contaminations, with the fewest edits of each pair."""
+def matches(index: Index, texts: list[str]) -> list[tuple[int, int | None, int]]:
+    """(text, item's id, edits) of all contaminations, with the fewest edits of each pair, by text and place of the item."""
     h, counts = words([t.lower() for t in texts], punctuation=True)
     if not len(h) or not index.items:
         return []
@@ -191,13 +199,13 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int]]:
             d = distance(index.items[i], h[a:b])
             if d <= most:
                 best[t, i] = min(d, best.get((t, i), d))
-    return sorted((t, index.ids[i], d) for (t, i), d in best.items())
+    return [(t, index.ids[i], d) for (t, i), d in sorted(best.items())]
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """The items, in blocks of about ITEM_WORDS words; one block at a time is on the driver."""
     rows, size = [], 0
-    for r in items.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
+    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         rows.append((r[0], r[1]))
         size += r[1].count(" ") + 1
         if size >= ITEM_WORDS:

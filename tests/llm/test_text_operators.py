@@ -221,6 +221,26 @@ def test_leaks_with_edits(spark, texts, odd, none):
     assert decontam.clean(docs, it).count() == 30 - len({t for t, _ in found if t < 30})
     assert decontam.find(docs, it.limit(0)).count() == 0 and decontam.clean(docs, it.limit(0)).count() == 30
     assert decontam.find(none, it).count() == 0 and decontam.clean(odd, it).columns == odd.columns
+    nameless = spark.createDataFrame([(None, "no id here"), (None, None)], "item_id long, text string")
+    assert [tuple(r) for r in decontam.find(odd, nameless).collect()] == [(None, None, 0)] and decontam.clean(odd, nameless).count() == odd.count() - 1
+
+
+@pytest.mark.parametrize("kind", ["delete", "insert"])
+def test_leaks_of_long_items_edited_on_one_side(kind):
+    rng = random.Random(len(kind))
+    vocab = [f"w{i}" for i in range(3000)]
+    found = 0
+    for n in (140, 400, 400, 400, 700, 700):
+        item = rng.choices(vocab, k=n)
+        w = list(item)
+        for _ in range(decontam.edits_of(n)):
+            p = rng.randrange(len(w))
+            if kind == "delete":
+                del w[p]
+            else:
+                w.insert(p, rng.choice(vocab))
+        found += bool(decontam.matches(decontam.index_of([(1, " ".join(item))]), [" ".join(rng.choices(vocab, k=40) + w)]))
+    assert found == 6
 
 
 def test_item_blocks_agree(spark, monkeypatch, texts):
