@@ -176,6 +176,15 @@ def _batch(part: list[int], kind: int, entries: list[bytes | None], rows: list[b
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array(entries, pa.binary()), pa.array(rows, pa.binary())], names=["part", "kind", "entries", "rows"])
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """The rows' first bytes, then their second ones and so on: numbers that are small or alike then take little once a shuffle compresses them."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes()
+
+
+def _of_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _dealt(part: np.ndarray, kind: int, rows: np.ndarray, entries: np.ndarray | None = None) -> pa.RecordBatch | None:
     """Rows by their part; or entries by theirs, with what they refer to of rows."""
     if not len(part):
@@ -192,7 +201,7 @@ def _dealt(part: np.ndarray, kind: int, rows: np.ndarray, entries: np.ndarray |
             continue
         e = entries[own]
         used, e["ref"] = np.unique(e["ref"], return_inverse=True)
-        held.append(e.tobytes())
+        held.append(_planes(e))
         tables.append(rows[used].tobytes())
     return _batch(numbers, kind, held, tables)
 
@@ -216,7 +225,7 @@ def _by_part(batches: Iterator[pa.RecordBatch], kinds: dict[int, tuple[np.dtype
             number[order] = np.repeat(np.arange(len(first)), n)
             entries = None
             if entry is not None:
-                entries = np.frombuffer(b"".join(some), entry).copy()
+                entries = np.concatenate([_of_planes(x, entry) for x in some] or [np.zeros(0, entry)])
                 base = np.cumsum([0] + [len(t) // row.itemsize for t in tables])[:-1]
                 entries["ref"] = number[entries["ref"] + np.repeat(base, [len(x) // entry.itemsize for x in some])] if len(entries) else 0
             out[kind] = (entries, rows[order[first]])
