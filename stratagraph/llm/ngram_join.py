@@ -8,7 +8,8 @@ for all, so the cheapest key that a similar pair shares is left out by neither:
 
 Documents with equal sets are one from the start. The documents of a key are compared with one of them, which joins most copies; those that are not joined
 yet with others, and at last all of a key that are still in different components. Before sets are fetched, sizes and parity sketches, whose Hamming distance
-is never above that of the sets, rule pairs out. What is left is verified on the sets themselves.
+is never above that of the sets, rule pairs out: first short sketches that go with the keys, then wide ones that grow with the sets. What is left is verified
+on the sets themselves.
 
 Sets are known by 128 bits of their shingles' hashes, shingles by 64: unlike pairs are misjudged only if shingles of these two documents collide.
 
@@ -38,6 +39,8 @@ BAND = 1.8
 ALIKE, CANDIDATE, LEAST_CANDIDATE = 0.4, 0.02, 4.0
 #: Bytes of shingle sets that a task verifies at once.
 BLOCK_BYTES = 6_000_000
+#: Bytes of a row beside its set.
+ROW_BYTES = 100
 #: Bytes of keys that a task groups at once, on average.
 PART_BYTES = 16_000_000
 #: Times that documents are compared with one of their key before all that are left are.
@@ -92,6 +95,20 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<u8")
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """The size of a set and its shingles' parities in two to four bits a shingle: a power of two, so that the wider of two sketches folds."""
+    bits = 256 << max(0, (2 * len(s) - 1).bit_length() - 8)
+    odd = np.bincount(((s >> np.uint64(7)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.uint64(len(s)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_may_link(x: bytes, y: bytes) -> bool:
+    """False where two wide sketches say that the sets differ in more than a ninth of both."""
+    a, b = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+    n, (a, b) = int(a[0]) + int(b[0]), sorted((a[1:], b[1:]), key=len)
+    return 9 * int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum()) <= n
+
+
 def keys_of(s: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(number of the band, segments that may be left out, keys, their segments) for each band that the set is in.
 
@@ -261,15 +278,15 @@ def _each_part(rows: DataFrame, kinds: dict[int, tuple[np.dtype | None, np.dtype
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs(id, row, text) -> id, row, n_shingles, handle and sketch (null without shingles)."""
+    """docs(id, row, text) -> id, row, n_shingles, handle, sketch and wide sketch (null without shingles)."""
 
     def run(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         got = sets(texts)
-        cols = [pa.array([len(s) for s in got], pa.int64()), *(pa.array([f(s) if len(s) else None for s in got], pa.binary()) for f in (set_hash, lambda s: parity_sketch(s).tobytes()))]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *cols], names=["id", "row", "n_shingles", "handle", "sketch"])
+        cols = [pa.array([len(s) for s in got], pa.int64()), *(pa.array([f(s) if len(s) else None for s in got], pa.binary()) for f in (set_hash, lambda s: parity_sketch(s).tobytes(), wide_sketch))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *cols], names=["id", "row", "n_shingles", "handle", "sketch", "wide"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(per_slice(run), f"id {kind}, row long, n_shingles long, handle binary, sketch binary")
+    return docs.mapInArrow(per_slice(run), f"id {kind}, row long, n_shingles long, handle binary, sketch binary, wide binary")
 
 
 def _copied(about: DataFrame, n: int) -> dict[bytes, int]:
@@ -503,16 +520,35 @@ def _links_in(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
 
 
-def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The linked ones of pairs(a, b, n); members(handle, elements). Pairs of one a are dealt to tasks by the bytes of their sets."""
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    buckets = int(8 * total // BLOCK_BYTES) + 1
-    per = pairs.groupBy("a").agg((F.sum("n") * F.lit(8.0) / F.lit(BLOCK_BYTES)).cast("int").alias("more")).where("more > 0")
+def _near_in(table: pa.Table) -> pa.Table:
+    """Of rows (a, b, wide sketch of b; or that of a where b is null): the pairs that may be linked, with the size of b."""
+    a, b, elements = (table.column(c).to_pylist() for c in ("a", "b", "elements"))
+    middle = {x: s for x, y, s in zip(a, b, elements, strict=True) if y is None}
+    out = [(x, y, int.from_bytes(s[:8], "little")) for x, y, s in zip(a, b, elements, strict=True) if y is not None and wide_may_link(middle[x], s)]
+    x, y, n = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary()), "n": pa.array(n, pa.int32())})
+
+
+def _starred(pairs: DataFrame, members: DataFrame, each: float) -> DataFrame:
+    """(a, b, elements, bucket) of pairs(a, b, n) and members(handle, elements) of so many bytes a shingle. Pairs of one a are dealt to tasks by their bytes."""
+    size = F.col("n") * F.lit(each) + F.lit(ROW_BYTES)
+    total = pairs.agg(F.sum(size)).first()[0] or 0
+    buckets = int(total // BLOCK_BYTES) + 1
+    per = pairs.groupBy("a").agg((F.sum(size) / F.lit(BLOCK_BYTES)).cast("int").alias("more")).where("more > 0")
     dealt = pairs.join(per, "a", "left").withColumn("star", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("more", F.lit(0)) + 1)))
     heads = dealt.select("star", "a").distinct().select("star", "a", F.lit(None).cast("binary").alias("b"), F.col("a").alias("handle"))
     others = dealt.select("star", "a", "b", F.col("b").alias("handle"))
-    both = heads.unionByName(others).join(members, "handle").select("a", "b", "elements", F.pmod("star", F.lit(buckets)).alias("bucket"))
-    return both.groupBy("bucket").applyInArrow(_links_in, "a binary, b binary")
+    return heads.unionByName(others).join(members, "handle").select("a", "b", "elements", F.pmod("star", F.lit(buckets)).alias("bucket"))
+
+
+def near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """Those of pairs(a, b, n) that wide sketches don't rule out; wide(handle, elements)."""
+    return _starred(pairs, wide, 0.5).groupBy("bucket").applyInArrow(_near_in, "a binary, b binary, n int")
+
+
+def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The linked ones of pairs(a, b, n); members(handle, elements)."""
+    return _starred(pairs, members, 8.0).groupBy("bucket").applyInArrow(_links_in, "a binary, b binary")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -536,6 +572,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame | None:
     parts = int((shingles or 0) * _KEYED.itemsize // PART_BYTES) + 1
     kept = settle(kept_keys(docs, about, rows, parts), "kept-keys")
     first = about.where("handle is not null").groupBy("handle").agg(F.min("row").alias("row"))
+    wide = about.where("n_shingles > 1").select("handle", F.col("wide").alias("elements")).dropDuplicates(["handle"])
     members, labels, found = None, None, None
     turn: int | None = 0 if STARS else None
     while True:
@@ -547,8 +584,10 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame | None:
             members = settle(_elements(docs, first.join(_handles(compared), "handle")), "members")
         asked, got = pairs.count(), 0
         if asked:
-            more = settle(verified(pairs, members), "links")
+            left = settle(near(pairs, wide), "near-pairs")
+            more = settle(verified(left, members), "links")
             got = more.count()
+            drop_settled(left)
         if got:
             found = more if found is None else found.unionByName(more)
             labels = components(found, "linked")

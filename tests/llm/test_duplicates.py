@@ -139,6 +139,7 @@ def test_segments_keep_every_link():
             rows = np.zeros(2, ngram_join._SET)
             rows["n"], rows["sketch"] = [len(a), len(b)], [ngram_join.parity_sketch(a), ngram_join.parity_sketch(b)]
             assert ngram_join.may_link(rows, np.array([0]), np.array([1])).all()
+            assert ngram_join.wide_may_link(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b))
             ours, theirs = ({k: x for k, *x in ngram_join.keys_of(x)} for x in (a, b))
             cost = dict.fromkeys((int(k) for x in (ours, theirs) for _, keys, _ in x.values() for k in keys), 1)
             for k in cost:
@@ -151,6 +152,20 @@ def test_segments_keep_every_link():
     assert linked > 150
 
 
+def test_wide_sketches():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 2), (64, 65), (128, 129), (900, 1100), (5000, 4100)):
+        x = np.unique(rng.integers(0, 1 << 63, 2 * n + m, dtype=np.uint64))
+        for common in {0, min(n, m) // 2, min(n, m)}:
+            a, b = x[:n], x[n - common : n - common + m]
+            differ = n + m - 2 * common
+            assert ngram_join.wide_may_link(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b)) == ngram_join.wide_may_link(ngram_join.wide_sketch(b), ngram_join.wide_sketch(a))
+            if 9 * differ <= n + m:
+                assert ngram_join.wide_may_link(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b))
+            if n > 50 and 3 * differ > n + m:
+                assert not ngram_join.wide_may_link(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(100, 200), (300, 300)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
