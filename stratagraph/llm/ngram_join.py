@@ -168,6 +168,8 @@ _SET = np.dtype([("set", "u8", (2,)), ("n", "u4"), ("sketch", "u8", (SKETCH,)),
 _ROOT = np.dtype([("set", "u8", (2,)), ("root", "u8", (2,))])
 _PAIR = np.dtype([("a", "u8", (2,)), ("b", "u8", (2,)), ("n", "u4")])
 _PART = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a key that go with its part's number, which says the rest: a part has about a million keys however many parts there are.
+_KEY_BITS = np.uint64(40)
 #: Rows that go from part to part: entries that refer to rows of their own table.
 _ROWS = "part int, kind int, entries binary, rows binary"
 
@@ -223,8 +225,8 @@ def _dealt(part: np.ndarray, kind: int, rows: np.ndarray, entries: np.ndarray |
     return _batch(numbers, kind, held, tables)
 
 
-def _by_part(batches: Iterator[pa.RecordBatch], kinds: dict[int, tuple[np.dtype | None, np.dtype]]) -> Iterator[dict[int, tuple[np.ndarray | None, np.ndarray]]]:
-    """One part after the other, of batches sorted by part: for each kind its entries and rows, equal rows once."""
+def _by_part(batches: Iterator[pa.RecordBatch], kinds: dict[int, tuple[np.dtype | None, np.dtype]]) -> Iterator[tuple[int, dict[int, tuple[np.ndarray | None, np.ndarray]]]]:
+    """One part after the other, of batches sorted by part: its number, and for each kind its entries and rows, equal rows once."""
     held: dict[int, tuple[list, list]] = {}
     at = None
 
@@ -251,14 +253,14 @@ def _by_part(batches: Iterator[pa.RecordBatch], kinds: dict[int, tuple[np.dtype
     for batch in batches:
         for part, kind, entries, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "entries", "rows")), strict=True):
             if at is not None and part != at:
-                yield joined()
+                yield at, joined()
                 held = {}
             at = part
             some, tables = held.setdefault(kind, ([], []))
             some.append(entries or b"")
             tables.append(rows)
     if at is not None:
-        yield joined()
+        yield at, joined()
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -267,10 +269,10 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "part").sortWithinPartitions("part")
 
 
-def _each_part(rows: DataFrame, kinds: dict[int, tuple[np.dtype | None, np.dtype]], fn: Callable[[dict], Iterator[pa.RecordBatch | None]]) -> DataFrame:
+def _each_part(rows: DataFrame, kinds: dict[int, tuple[np.dtype | None, np.dtype]], fn: Callable[[int, dict], Iterator[pa.RecordBatch | None]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _by_part(batches, kinds):
-            for out in fn(part):
+        for number, part in _by_part(batches, kinds):
+            for out in fn(number, part):
                 if out is not None:
                     yield out
 
@@ -314,9 +316,11 @@ def kept_keys(docs: DataFrame, about: DataFrame, n: int, parts: int) -> DataFram
         if not rows:
             return None
         e = np.concatenate(entries)
-        return _dealt(_part_of(e["key"], parts), 0, np.array(rows, _BANDED), e)
+        part = _part_of(e["key"], parts)
+        e["key"] &= (np.uint64(1) << _KEY_BITS) - np.uint64(1)
+        return _dealt(part, 0, np.array(rows, _BANDED), e)
 
-    def count(part: dict) -> Iterator[pa.RecordBatch | None]:
+    def count(number: int, part: dict) -> Iterator[pa.RecordBatch | None]:
         e, rows = part[0]
         e = e[np.lexsort((e["ref"], e["key"]))]
         e = e[_runs(e["key"], e["ref"])[0]]  # copies of a set in other slices
@@ -326,10 +330,11 @@ def kept_keys(docs: DataFrame, about: DataFrame, n: int, parts: int) -> DataFram
         out = np.empty(len(e), _SHARED)
         for c in ("key", "segment", "ref"):
             out[c] = e[c]
+        out["key"] |= np.uint64(number) << _KEY_BITS
         out["size"] = size
         yield _dealt(_part_of(rows["set"][e["ref"], 0], parts), 0, rows, out)
 
-    def keep(part: dict) -> Iterator[pa.RecordBatch | None]:
+    def keep(number: int, part: dict) -> Iterator[pa.RecordBatch | None]:
         (e, rows), (_, about_) = part[0], part[1]
         e = e[np.lexsort((e["key"], -e["size"].astype(np.int64), e["ref"]))]
         _, first = np.unique((e["ref"].astype(np.uint64) << np.uint64(32)) | e["segment"], return_index=True)
@@ -466,7 +471,7 @@ def compare(kept: DataFrame, labels: DataFrame | None, turn: int | None, parts:
 
     small, labelled = SMALL, labels is not None
 
-    def by_key(part: dict) -> Iterator[pa.RecordBatch | None]:
+    def by_key(number: int, part: dict) -> Iterator[pa.RecordBatch | None]:
         e, rows = part[0]
         if labelled and len(part[2][1]):
             known = part[2][1]
@@ -476,7 +481,7 @@ def compare(kept: DataFrame, labels: DataFrame | None, turn: int | None, parts:
             rows["root"][same] = known["root"][place[same]]
         yield _dealt(_part_of(e["key"], parts), 0, rows, e)
 
-    def groups(part: dict) -> Iterator[pa.RecordBatch | None]:
+    def groups(number: int, part: dict) -> Iterator[pa.RecordBatch | None]:
         e, rows = part[0]
         mixed, some = _compared(e, rows, turn, small)
         if turn is not None:
@@ -494,7 +499,7 @@ def pairs_of(compared: DataFrame) -> DataFrame:
     """(a, b, n): the pairs to verify, once each, with the size of b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _by_part(batches, {3: (None, _PAIR)}):
+        for _, part in _by_part(batches, {3: (None, _PAIR)}):
             rows = part[3][1]
             order = np.lexsort((rows["a"][:, 1], rows["a"][:, 0], rows["b"][:, 1], rows["b"][:, 0]))
             rows = rows[order[_runs(*(rows[c][order, k] for c in "ba" for k in (0, 1)))[0]]]
