@@ -5,7 +5,7 @@ go out as a broadcast; tasks find each part's nearest entry batch by batch, squa
 by a grouped shuffle, and each entry becomes the floor of its parts' mean. A last pass assigns the parts again. Driver and broadcast hold the codebooks alone (ENTRIES times the length of a vector).
 
 Edge cases: vectors that are null or hold null, NaN or infinite components are dropped. Rows without an id are encoded, but begin no entry unless there are fewer than ENTRIES others; equal ids begin entries
-in the order of their vectors. Fewer vectors than ENTRIES: as many entries. Unused entries stay. Lengths that PARTS doesn't divide, and shorter vectors: zeros are put behind them. Components beyond LIMIT units count as LIMIT.
+in the order of their vectors. Fewer vectors than ENTRIES: as many entries. Unused entries stay. Lengths that PARTS doesn't divide, and shorter vectors: zeros are put behind them, a whole vector of zeros for an empty one. Components beyond LIMIT units count as LIMIT.
 Repeated rows give repeated rows. An empty table, or one without usable vectors: no rows. Ids and labels may be of any type that can be sorted.
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codebooks, decontam, hard_negatives, langid, license_scan, media, ngram_join, suffix_dedup, token_tree, toxicity, warc
+from . import bpe, codebooks, decontam, hard_negatives, langid, license_scan, media, ngram_join, pii, suffix_dedup, token_tree, toxicity, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(read(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = (
         op1_warc_normaliser, op2_language_id, op3_suffix_dedup, op4_bpe_codec, op5_decontamination, op6_toxicity, op7_ngram_join, op8_license_scan, op9_token_counts, op10_media_copies,
-        op11_hard_negatives, op13_vector_codes,
+        op11_hard_negatives, op12_sanitisation, op13_vector_codes,
     )
     return {f.__name__: f for f in own}
 

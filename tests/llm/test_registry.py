@@ -12,7 +12,7 @@ from stratagraph.llm import registry
 
 def test_every_operator_has_one_query():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(names) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
