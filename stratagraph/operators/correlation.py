@@ -1,31 +1,30 @@
-"""Correlation edges among entities measured in the same samples."""
+"""Correlation edges among entities measured in the same samples, for any number of groups (strains, plates, ...) in one plan."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A matrix up to so many bytes is sent whole to each task; a larger one is multiplied block by block.
-BROADCAST_BYTES = 32_000_000
-#: Entities of a block.
+from ..session import settle
+
+#: Entities of a block. A task multiplies one block with another, 8 * BLOCK ** 2 bytes of correlations at once.
 BLOCK = 2000
 DIGITS = 10
 
 
-def standardised(df: DataFrame, entity: str, sample: str, value: str, least_samples: int = 3) -> DataFrame:
-    """(entity, z): values over all samples, in their order, missing ones at the sample's mean, centred and of unit length.
+def standardised(df: DataFrame, entity: str, sample: str, value: str, least_samples: int = 3, by: list[str] = []) -> DataFrame:
+    """(by, entity, z): values over all samples of the group, in their order, missing ones at the sample's mean, centred and of unit length.
 
-    Entities that don't vary are left out, and all are if there are fewer samples than least_samples.
+    Entities that don't vary are left out, and all of a group are if it has fewer samples than least_samples.
     """
-    samples = df.groupBy(sample).agg(F.avg(value).alias("__mean"))
-    listed = samples.agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col("__mean").alias("m")))).alias("__all"))  # samples, not entities
-    own = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(value).cast("double").alias("v")))).alias("__v"))
-    both = own.crossJoin(F.broadcast(listed)).where(F.size("__all") >= least_samples)
+    samples = df.groupBy(*by, sample).agg(F.avg(value).alias("__mean"))
+    listed = samples.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col("__mean").alias("m")))).alias("__all"))  # samples, not entities
+    own = df.where(F.col(entity).isNotNull()).groupBy(*by, entity).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(value).cast("double").alias("v")))).alias("__v"))
+    both = (own.join(listed, by) if by else own.crossJoin(F.broadcast(listed))).where(F.size("__all") >= least_samples)  # without groups, one row
     # entities that have all samples need no lookup
     complete = (F.size("__v") == F.size("__all")) & F.forall("__v", lambda p: p["v"].isNotNull())
     known = F.map_from_entries(F.transform("__v", lambda p: F.struct(p["s"], p["v"])))
@@ -33,82 +32,85 @@ def standardised(df: DataFrame, entity: str, sample: str, value: str, least_samp
     zero = F.lit(0.0)
     both = both.withColumn("__x", x).withColumn("__c", F.aggregate("__x", zero, lambda a, b: a + b) / F.size("__x"))
     both = both.withColumn("__d", F.transform("__x", lambda v: v - F.col("__c"))).withColumn("__n", F.sqrt(F.aggregate("__d", zero, lambda a, b: a + b * b)))
-    return both.where(F.col("__n") > 1e-12).select(entity, F.transform("__d", lambda v: v / F.col("__n")).alias("z"))
+    return both.where(F.col("__n") > 1e-12).select(*by, entity, F.transform("__d", lambda v: v / F.col("__n")).alias("z"))
 
 
-def _hits(rows: np.ndarray, a: np.ndarray, columns: np.ndarray, b: np.ndarray, threshold: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row its partners of |r| >= threshold, with k only the k strongest."""
-    for i in range(0, len(a), 512):
-        r = np.round(a[i : i + 512] @ b.T, DIGITS)
-        strong = np.abs(r)
-        strong[rows[i : i + 512, None] == columns[None, :]] = -1
-        if k:
-            # ties at the border go to the smaller entity: columns are in order, and the sort is stable
-            take = np.argsort(-strong, axis=1, kind="stable")[:, :k]
-            keep = np.zeros(strong.shape, bool)
-            np.put_along_axis(keep, take, True, axis=1)
-            keep &= strong >= threshold
-        else:
-            keep = strong >= threshold
-        x, y = np.nonzero(keep)
-        yield rows[i : i + 512][x], columns[y], r[x, y]
-
-
-def _partners(z: DataFrame, entity: str, samples: int, threshold: float, k: int) -> DataFrame:
-    """(entity, other, r): each entity's partners."""
-    spark, kind = z.sparkSession, z.schema[entity].dataType.simpleString()
-    schema = f"`{entity}` {kind}, other {kind}, r double"
-    most = BROADCAST_BYTES // max(1, 8 * samples)
-    every = sorted(z.limit(most + 1).collect(), key=lambda r: r[0]) if most else None
-    if every is not None and len(every) <= most:
-        ids, matrix = np.array([r[0] for r in every]), np.array([r[1] for r in every]).reshape(len(every), samples if every else 0)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-        arrow = pa.string() if kind == "string" else None
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            columns, b = shared.value
-            for batch in batches:
-                for part in batch.column(0).to_pylist():
-                    own = slice(part * 256, part * 256 + 256)
-                    for x, y, r in _hits(columns[own], b[own], columns, b, threshold, k):
-                        yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), arrow).cast(kind_of[kind]), pa.array(y.tolist(), arrow).cast(kind_of[kind]), pa.array(r)], names=[entity, "other", "r"])
-
-        kind_of = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32()}
-        parts = -(-len(every) // 256)
-        return spark.range(0, parts, 1, max(1, min(parts, spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
-    n = z.count()
-    # block by block: a row of blocks meets a column of blocks in one task each
-    blocks = int(n // BLOCK) + 1
-    numbered = z.withColumn("__b", F.pmod(F.xxhash64(entity), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-    left = numbered.withColumn("__c", other).select("__b", "__c", F.col(entity).alias("id"), "z", F.lit(0).alias("side"))
-    right = numbered.select(F.col("__b").alias("__c"), F.col(entity).alias("id"), "z").withColumn("__b", other).select("__b", "__c", "id", "z", F.lit(1).alias("side"))
+def _strongest(own: np.ndarray, strong: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Which of the pairs are among the k strongest of own; ties go to the smaller other."""
+    order = np.lexsort((other, -strong, own))
+    sorted_ = own[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_, side="left")
+    return order[rank < k]
+
+
+def _block(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+    """ids in their order, and their rows of z."""
+    ids = table.column("id").combine_chunks()
+    order = pc.sort_indices(ids)
+    z = table.column("z").combine_chunks().take(order)
+    width = len(z[0]) if len(z) else 0
+    return ids.take(order), z.flatten().to_numpy().reshape(len(z), width)
+
+
+def _partners(z: DataFrame, entity: str, by: list[str], threshold: float, k: int) -> DataFrame:
+    """(by, entity, other, r) of |r| >= threshold: each pair once as entity < other, or, with k, the k strongest partners of each entity.
+
+    Each group is cut into blocks of about BLOCK entities, and each unordered pair of blocks is one task's product. With k a task finds the k strongest of each of its rows and of its columns, as both
+    have the task's whole part of their partners; what the tasks of an entity found is ranked again, k rows a task, of which Spark keeps k before it shuffles them.
+    """
+    kind = z.schema[entity].dataType.simpleString()
+    z = settle(z, "standardised")
+    sizes = z.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("__blocks"))
+    sized = z.join(sizes, by) if by else z.crossJoin(F.broadcast(sizes))  # a row per group
+    numbered = sized.withColumn("__b", F.pmod(F.xxhash64(entity), "__blocks").cast("int"))
+    met = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__c")
+    rows = numbered.select(*by, "__b", F.col(entity).alias("id"), "z", met).select(*by, F.least("__b", "__c").alias("__p"), F.greatest("__b", "__c").alias("__q"), (F.col("__b") > F.col("__c")).alias("right"), "id", "z")
+    keys = [*by, "__p", "__q"]
 
     def multiply(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, matrix = np.array(table.column("id").to_pylist()), np.array(table.column("z").to_pylist())
-        order = np.argsort(ids[side == 1], kind="stable")
-        columns, b = ids[side == 1][order], matrix[side == 1][order] if (side == 1).any() else matrix[:0]
-        out = list(_hits(ids[side == 0], matrix[side == 0], columns, b, threshold, k)) if (side == 0).any() and len(columns) else []
-        x, y, r = (np.concatenate(c).tolist() for c in zip(*out, strict=True)) if out else ([], [], [])
-        t = table.schema.field("id").type
-        return pa.table({entity: pa.array(x, t), "other": pa.array(y, t), "r": pa.array(r, pa.float64())})
-
-    found = left.unionByName(right).groupBy("__b", "__c").applyInArrow(multiply, schema)
+        first, second = table.column("__p")[0].as_py(), table.column("__q")[0].as_py()
+        side = table.column("right")
+        ids_a, a = _block(table.filter(pc.invert(side)), "a")
+        ids_b, b = (ids_a, a) if first == second else _block(table.filter(side), "b")
+        r = np.round(a @ b.T, DIGITS) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        if first == second:
+            r = np.triu(r, 1)
+            r[np.tril_indices(len(a))] = np.nan
+        x, y = np.nonzero(np.abs(r) >= threshold)
+        r = r[x, y]
+        left, right = ids_a.take(pa.array(x)), ids_b.take(pa.array(y))
+        if k:
+            # places in the order of both blocks' ids, so that ties are cut as the ranking of all cuts them
+            every = pa.concat_arrays([ids_a, ids_b])
+            place = np.empty(len(every), np.int64)
+            place[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
+            px, py = place[x], place[len(ids_a) + y] if first != second else place[y]
+            own, other, value = np.concatenate([px, py]), np.concatenate([py, px]), np.concatenate([r, r])
+            keep = _strongest(own, np.abs(value), other, k)
+            both = pa.concat_arrays([left, right]), pa.concat_arrays([right, left])
+            left, right, r = both[0].take(pa.array(keep)), both[1].take(pa.array(keep)), value[keep]
+        named = {c: pa.repeat(table.column(c)[0], len(left)) for c in by}
+        return pa.table(named | {entity: left, "other": right, "r": pa.array(r, pa.float64())})
+
+    schema = ", ".join([*(f"`{c}` {z.schema[c].dataType.simpleString()}" for c in by), f"`{entity}` {kind}", f"other {kind}", "r double"])
+    found = rows.groupBy(*keys).applyInArrow(multiply, schema)
     if not k:
-        return found
-    w = W.partitionBy(entity).orderBy(F.desc(F.abs("r")), "other")
+        return found.select(*by, F.least(entity, "other").alias(entity), F.greatest(entity, "other").alias("other"), "r")
+    w = W.partitionBy(*by, entity).orderBy(F.desc(F.abs("r")), "other")
     return found.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")
 
 
-def correlation_edges(df: DataFrame, entity: str, sample: str, value: str, threshold: float = 0.7, top_k: int = 0, mode: str = "either", least_samples: int = 3) -> DataFrame:
-    """(a, b, r) with a < b of the pairs of |r| >= threshold, rounded to DIGITS digits.
+def correlation_edges(df: DataFrame, entity: str, sample: str, value: str, threshold: float = 0.7, top_k: int = 0, mode: str = "either", least_samples: int = 3, by: list[str] = []) -> DataFrame:
+    """(by, a, b, r) with a < b of the pairs of one group with |r| >= threshold, rounded to DIGITS digits.
 
-    With top_k, a pair has to be among the top_k - 1 strongest of one of the two (mode either) or of both (mutual): an entity's own place counts as one.
+    With top_k, a pair has to be among the top_k - 1 strongest of one of the two (mode either) or of both (mutual): an entity's own place counts as one. All groups are one plan: neither
+    jobs nor tasks' sizes follow their number, and nothing is collected. Rows whose group has a null belong to no group.
     """
-    z = standardised(df, entity, sample, value, least_samples)
-    p = _partners(z, entity, df.select(sample).distinct().count(), threshold, max(1, top_k - 1) if top_k else 0)
-    pairs = p.select(F.least(entity, "other").alias("a"), F.greatest(entity, "other").alias("b"), "r").groupBy("a", "b").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("__sides"))
-    if top_k and mode == "mutual":
+    ends: list[Column] = [F.least(entity, "other").alias("a"), F.greatest(entity, "other").alias("b")]
+    p = _partners(standardised(df, entity, sample, value, least_samples, by), entity, by, threshold, max(1, top_k - 1) if top_k else 0)
+    if not top_k:
+        return p.select(*by, *ends, "r")
+    pairs = p.select(*by, *ends, "r").groupBy(*by, "a", "b").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("__sides"))
+    if mode == "mutual":
         pairs = pairs.where(F.col("__sides") == 2)
-    return pairs.select("a", "b", "r")
+    return pairs.select(*by, "a", "b", "r")

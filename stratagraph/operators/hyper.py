@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import CATEGORIES
 from .ordering import numbered
 
+#: Nodes of a hyperedge that one key of the Laplacian's join holds at once.
+NODES = 500
+
 
 def members(df: DataFrame, family: str, group: str, node: str, name: str | None = None) -> DataFrame:
     """(strain, type, name, node) of one family, each node once; without an end, no row."""
@@ -87,16 +90,22 @@ def incidence(all_members: DataFrame, edge: list[str], node: str, least: int = 2
 def laplacian(inc: DataFrame, edge: list[str], node: str) -> DataFrame:
     """(i, j, value) of Dv^-1/2 H De^-1 H' Dv^-1/2, both triangles and the diagonal, as far as not zero.
 
-    Its size is the sum of the squared sizes of the hyperedges: what is asked for, as any pair that shares one has an entry.
+    Its size is the sum of the squared sizes of the hyperedges: what is asked for, as any pair that shares one has an entry. A hyperedge's nodes are cut into blocks of about NODES, and a task joins one block with
+    another, each unordered pair of blocks once: a hub's pairs are many keys of NODES ** 2 rows instead of one of its size squared. Sums begin on the map side; the lower triangle is the mirrored upper one.
     """
     de = inc.groupBy(*edge).agg(F.count(F.lit(1)).cast("double").alias("de"))
     dv = inc.groupBy(node).agg(F.count(F.lit(1)).cast("double").alias("dv"))
-    rows = inc.join(de, edge)
-    left = rows.select(*edge, F.col(node).alias("i"), "de")
-    right = rows.select(*edge, F.col(node).alias("j"))
-    total = left.join(right, edge).groupBy("i", "j").agg(F.sum(1.0 / F.col("de")).alias("t"))
-    total = total.join(dv.select(F.col(node).alias("i"), F.col("dv").alias("di")), "i").join(dv.select(F.col(node).alias("j"), F.col("dv").alias("dj")), "j")
-    return total.select("i", "j", (F.col("t") / F.sqrt(F.col("di") * F.col("dj"))).alias("value"))
+    rows = inc.join(de, edge).join(dv, node).withColumn("__blocks", F.ceil(F.col("de") / NODES).cast("int"))
+    rows = rows.select(*edge, F.struct(F.col(node).alias("v"), F.sqrt("dv").alias("d")).alias("n"), "de", "__blocks", F.pmod(F.xxhash64(node), "__blocks").cast("int").alias("__b"))
+    left = rows.select(*edge, "de", F.col("n").alias("a"), F.col("__b").alias("__p"), F.explode(F.sequence("__b", F.col("__blocks") - 1)).alias("__q"))
+    right = rows.select(*edge, F.col("n").alias("b"), F.explode(F.sequence(F.lit(0), "__b")).alias("__p"), F.col("__b").alias("__q"))
+    pairs = left.join(right, [*edge, "__p", "__q"]).where("__p < __q OR a.v <= b.v")
+    i, j = F.least("a", "b"), F.greatest("a", "b")
+    total = pairs.groupBy(i.alias("i"), j.alias("j")).agg(F.sum(1.0 / F.col("de")).alias("t"))
+    upper = total.select(F.col("i.v").alias("i"), F.col("j.v").alias("j"), (F.col("t") / (F.col("i.d") * F.col("j.d"))).alias("value"))
+    # both triangles out of one pass over the sums
+    ends = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return upper.select(F.explode(ends).alias("x"), "value").select("x.i", "x.j", "value")
 
 
 def type_summary(edges: DataFrame) -> DataFrame:

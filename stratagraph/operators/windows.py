@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import proximity_weight
 from ..session import settle
-from .ordering import numbered
+from .ordering import in_ranges, numbered
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -46,11 +46,15 @@ def first_non_null(df: DataFrame, keys: list[str], columns: list[str], order: st
 def sequential_neighbours(df: DataFrame, group: list[str], start: str, end: str, entity: str, most: int) -> DataFrame:
     """(group, <entity>_a, <entity>_b, distance, weight) of rows that follow each other at a distance of 1 to most.
 
-    Overlapping neighbours have no edge and aren't bridged.
+    Overlapping neighbours have no edge and aren't bridged. Groups are scanned by ranges: the last row of a range is followed by the first one of the next range that has its group.
     """
-    w = W.partitionBy(*group).orderBy(start, end, entity)
-    d = F.lead(start).over(w) - F.col(end)
-    out = df.select(*group, F.col(entity).alias(f"{entity}_a"), F.lead(entity).over(w).alias(f"{entity}_b"), d.cast("long").alias("distance"))
+    ranges = in_ranges(df.select(*group, start, end, entity), group, list(dict.fromkeys([start, end, entity])))
+    row = F.struct(*ranges.order)
+    first = ranges.borders(F.min(row).alias("__first"))
+    after = first.select("__part", *group, F.lead("__first").over(W.partitionBy(*group).orderBy("__part")).alias("__after"))  # two rows a range
+    both = ranges.passed(ranges.rows.withColumn("__next", F.lead(row).over(ranges.window())), after).withColumn("__next", F.coalesce("__next", "__after"))
+    d = F.col("__next")[start] - F.col(end)
+    out = both.select(*group, F.col(entity).alias(f"{entity}_a"), F.col("__next")[entity].alias(f"{entity}_b"), d.cast("long").alias("distance"))
     return out.where((F.col("distance") > 0) & (F.col("distance") <= most)).withColumn("weight", proximity_weight(F.col("distance")))
 
 
@@ -87,9 +91,14 @@ def node_index(nodes: DataFrame, kind: str, key: str) -> DataFrame:
 
 
 def filled_forward(df: DataFrame, group: list[str], order: list[str], column: str, name: str) -> DataFrame:
-    """The last value that isn't null so far."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(column, ignorenulls=True).over(w))
+    """The last value that isn't null so far. Groups are scanned by ranges: what a range has found last is passed on to the next ones of its group."""
+    ranges = in_ranges(df, group, order)
+    own = F.last(column, ignorenulls=True).over(ranges.window().rowsBetween(W.unboundedPreceding, 0))
+    there = F.col(column).isNotNull()
+    ends = ranges.borders(F.max_by(F.when(there, F.col(column)), F.when(there, F.struct(*order))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # two rows a range
+    carried = ranges.passed(ranges.rows.withColumn("__own", own), ends.select("__part", *group, before.alias("__before")))
+    return carried.select(*df.columns, F.coalesce("__own", "__before").alias(name))
 
 
 def bh_adjust(df: DataFrame, p: str, key: list[str], name: str = "q_value") -> DataFrame:

@@ -127,10 +127,9 @@ def build_graph(layers: Layers, a: Annotations, threshold: float = 0.7, top_k: i
     clusters = community.communities(pairs, "strain", "protein_a", "protein_b", "combined_score").withColumn("cluster", F.concat(F.lit("Cluster_"), F.col("community")))
     parts.append(graph.functional_edges(clusters, "node", "cluster", "protein", "member_of_cluster"))
     for rows, entity, kind, relation, value in ((layers.rna_replicates, "gene_id", "gene", "transcriptional_correlation", "value"), (layers.protein_replicates, "protein_id", "protein", "abundance_correlation", "value"), (layers.metabolite_replicates, "metabolite_id", "metabolite", "abundance_correlation", "scaled")):
-        for (strain,) in rows.select("strain").distinct().orderBy("strain").collect():  # a matrix each
-            own = rows.where(F.col("strain") == strain).groupBy(entity, "sample_id").agg(F.avg(value).alias("value"))
-            found = correlation.correlation_edges(own, entity, "sample_id", "value", threshold, top_k).withColumn("strain", F.lit(strain))
-            parts.append(e(settle(found), "a", "b", kind, relation, kind, "r"))
+        own = rows.groupBy("strain", entity, "sample_id").agg(F.avg(value).alias("value"))
+        found = correlation.correlation_edges(own, entity, "sample_id", "value", threshold, top_k, by=["strain"])
+        parts.append(e(found, "a", "b", kind, relation, kind, "r"))
     return settle(graph.union(*parts))
 
 

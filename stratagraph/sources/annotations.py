@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.entries import entries
 from ..functions.ids import UNKNOWN_CATEGORY, canonical_accession, present
 from ..functions.numeric import lenient
+from ..operators.windows import filled_forward
 from .tables import wide
 
 
@@ -91,7 +91,7 @@ def compound_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     body = F.split_part("value", F.lit("\n//"), F.lit(1))
     lines = whole.select("compound", F.posexplode(F.split(body, "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
     head = F.when(~F.startswith("line", F.lit(" ")), F.split_part("line", F.lit(" "), F.lit(1)))
-    blocks = lines.withColumn("head", head).withColumn("block", F.last("head", ignorenulls=True).over(W.partitionBy("compound").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
+    blocks = filled_forward(lines.withColumn("head", head), ["compound"], ["n"], "head", "block")
     text = F.trim(F.when(F.col("head").isNotNull(), F.substr("line", F.length("head") + 1)).otherwise(F.col("line")))
     blocks = blocks.withColumn("text", text)
     opened = blocks.where("head is not null")

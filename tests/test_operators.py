@@ -81,10 +81,9 @@ def test_binomial(spark):
     assert p[1, 4, 1] is None and p[1, 0, 3] is None
 
 
-@pytest.mark.parametrize("bytes_", [32_000_000, 0])
-def test_correlation(spark, monkeypatch, bytes_):
-    monkeypatch.setattr(correlation, "BROADCAST_BYTES", bytes_)
-    monkeypatch.setattr(correlation, "BLOCK", 20)
+@pytest.mark.parametrize("block", [2000, 20, 7])
+def test_correlation(spark, monkeypatch, block):
+    monkeypatch.setattr(correlation, "BLOCK", block)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
     x[0] = 5  # doesn't vary
