@@ -77,3 +77,24 @@ def name_match(df: DataFrame, query: str, names: DataFrame, key: str, text: str,
     grams = entries.withColumn("__g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t") - 2, F.lit(1))), lambda i: F.substring(F.col("__t"), i, F.lit(3))))))
     inside = left.withColumn("__g", head(F.col("__q"))).join(grams, "__g").where(F.contains("__t", "__q"))
     return best.unionByName(inside.groupBy(query).agg(F.min_by(key, "__p").alias(key)))
+
+
+def resolved_aliases(queries: DataFrame, aliases: DataFrame, taxa: list[int], fold_case: bool = True) -> DataFrame:
+    """queries(query, position) with target, taxon, matched (exact or folded), n_targets, ambiguous, and canonical: whether the query is the first that maps to its target.
+
+    aliases(alias, taxon, target, score) may hold an alias several times. Of its hits the best is an exact match before one in another case, of the first of taxa that has any, of the largest score, and the least
+    target; taxa that aren't listed don't count. Queries without a hit stay, with nulls: they are what is unmapped. Empty queries go.
+    """
+    place = F.array_position(F.array(*[F.lit(t) for t in taxa]).cast("array<bigint>"), F.col("taxon").cast("bigint"))
+    known = aliases.where(F.trim("alias") != "").select(F.trim("alias").alias("alias"), "taxon", "target", "score", place.alias("__place")).where("__place > 0")
+    own = queries.select(F.trim("query").alias("query"), "position").where("query <> ''").groupBy("query").agg(F.min("position").alias("position"))
+    key = F.lower if fold_case else (lambda c: F.col(c))
+    hits = own.withColumn("__key", key("query")).join(known.withColumn("__key", key("alias")), "__key")
+    exact = F.col("alias") == F.col("query")
+    merit = F.struct(exact.cast("int").alias("e"), (-F.col("__place")).alias("p"), F.coalesce("score", F.lit(float("-inf"))).alias("s"))
+    best = hits.groupBy("query").agg(F.max(merit).alias("m"), F.countDistinct("taxon", "target").alias("n_targets"))
+    tied = hits.withColumn("__m", merit).join(best, "query").where(F.col("__m") == F.col("m"))
+    chosen = tied.groupBy("query", "n_targets").agg(F.min_by(F.struct("target", "taxon", F.when(exact, "exact").otherwise("folded").alias("matched")), F.struct("target", "taxon")).alias("h"), (F.countDistinct("target") > 1).alias("ambiguous"))
+    out = own.join(chosen.select("query", "h.target", "h.taxon", "h.matched", "n_targets", "ambiguous"), "query", "left").fillna(0, ["n_targets"]).fillna(False, ["ambiguous"])
+    first = out.where("target is not null").groupBy("target").agg(F.min("position").alias("__first"))
+    return out.join(first, "target", "left").select("query", "position", "target", "taxon", "matched", "n_targets", "ambiguous", F.coalesce(F.col("position") == F.col("__first"), F.lit(False)).alias("canonical"))

@@ -33,17 +33,17 @@ def display_names(nodes: DataFrame, genes: DataFrame, metabolites: DataFrame) ->
 
 
 def shortened(text: Column, most: int) -> Column:
-    """At most so many characters, the last three of them dots where more were there."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+    """Trimmed to at most so many characters, the last of them … where more were there."""
+    return F.when(F.length(F.trim(text)) > most, F.concat(F.substring(F.trim(text), 1, most - 1), F.lit("…"))).otherwise(F.trim(text))
 
 
 def number_text(value: Column, digits: int = 2) -> Column:
     return F.when(value.isNull() | F.isnan(value.cast("double")), "n/a").otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
 
 
-def measured_text(value: Column, call: Column, label: str, none: str) -> Column:
-    """label, change and call of direction of what was measured."""
-    return F.when(value.isNull(), none).otherwise(F.concat(F.lit(label + " "), number_text(value), F.lit(" ("), F.coalesce(present(call), F.lit("n/a")), F.lit(")")))
+def measured_text(present_: Column, value: Column, call: Column, label: str, none: str) -> Column:
+    """label, change and call of direction of what was measured, n/a for either that is missing; none says that it wasn't measured."""
+    return F.when(~F.coalesce(present_, F.lit(False)), none).otherwise(F.concat(F.lit(label + " "), number_text(value), F.lit(" ("), F.coalesce(present(call), F.lit("n/a")), F.lit(")")))
 
 
 def counted_text(n: Column, names: Column, noun: str, none: str, most: int = 68) -> Column:

@@ -19,10 +19,10 @@ def by_either_form(rows: DataFrame, accession: str, table: DataFrame, key: str)
     return rows.withColumn("__form", F.explode(both)).join(table.withColumnRenamed(key, "__form"), "__form").drop("__form").distinct()
 
 
-def by_canonical_form(rows: DataFrame, accession: str, table: DataFrame, key: str) -> DataFrame:
-    """rows with those of table whose key is the same accession, whichever of the two has a version."""
+def by_canonical_form(rows: DataFrame, accession: str, table: DataFrame, key: str, by: list[str] = []) -> DataFrame:
+    """rows with those of table (of the same by) whose key is the same accession, whichever of the two has a version."""
     own = rows.withColumn("__form", canonical_accession(F.col(accession)))
-    return own.join(table.withColumn("__form", canonical_accession(F.col(key))), "__form").drop("__form")
+    return own.join(table.withColumn("__form", canonical_accession(F.col(key))), [*by, "__form"]).drop("__form")
 
 
 def recovered_terms(recovery: DataFrame) -> DataFrame:

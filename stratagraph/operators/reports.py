@@ -62,6 +62,54 @@ def marker_report(markers: DataFrame, categories: DataFrame, pathways: DataFrame
     return out.fillna(0, ["n_kegg_pathways", "n_ppi_neighbors"]).fillna(False, ["in_genome", "in_aligned"]).fillna("", ["cog"])
 
 
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """(strain, kind, type, id): each edge as one row of its relation and two of its ends, out of one scan."""
+    row = lambda kind, type_, id_: F.struct(F.lit(kind).alias("kind"), type_.alias("type"), id_.alias("id"))
+    label = F.concat_ws("\t", "src", "relation", "dst")
+    each = F.array(row("edge", F.col("relation"), label), row("node", F.col("src_type"), F.col("src")), row("node", F.col("dst_type"), F.col("dst")))
+    return edges.select("strain", F.explode(each).alias("x")).select("strain", "x.*")
+
+
+def member_rows(members: DataFrame) -> DataFrame:
+    """(strain, kind, type, id): each membership as one row of its hyperedge and one of its node."""
+    row = lambda kind, id_: F.struct(F.lit(kind).alias("kind"), F.col("type"), id_.alias("id"))
+    return members.select("strain", F.explode(F.array(row("hyperedge", F.col("name")), row("member", F.col("node")))).alias("x")).select("strain", "x.*")
+
+
+def dashboard(rows: DataFrame) -> DataFrame:
+    """(strain, kind, type, level, n, n_distinct) of rows(strain, kind, type, id): rows and distinct ids of each type and strain, each strain, each type of all strains, and each kind.
+
+    level tells a total's null from a missing value: 0 for a strain's type, 1 for a strain, 4 for a type, 5 for a kind. All of it are grouping sets over one scan.
+    """
+    keys = ["strain", "kind", "type"]
+    sets = [keys, ["strain", "kind"], ["kind", "type"], ["kind"]]
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"))
+    return out.select(*keys, F.col("level").cast("int").alias("level"), "n", "n_distinct")
+
+
+def checked_claims(metrics: DataFrame, claims: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """claims(metric, strain, relation, published) with the value of metrics(metric, strain, relation, value), the difference and a verdict: agrees, differs, or not found.
+
+    Empty and missing strains and relations are the same. A difference counts beyond tolerance times the published value.
+    """
+    keys = ["metric", "strain", "relation"]
+    plain = lambda t, v: t.select(*[F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")).alias(k) for k in keys], F.col(v).cast("double").alias(v))
+    own = plain(metrics, "value").groupBy(*keys).agg(F.max("value").alias("value"))
+    both = plain(claims, "published").join(own, keys, "left")
+    gap = F.col("value") - F.col("published")
+    near = F.abs(gap) <= F.abs(F.col("published")) * tolerance + 1e-9
+    return both.select(*keys, "published", "value", gap.alias("difference"), F.when(F.col("value").isNull(), "not found").when(near, "agrees").otherwise("differs").alias("verdict"))
+
+
+def contrast(rows: DataFrame, by: str, group: str, labels: tuple[str, str], features: list[str]) -> DataFrame:
+    """(by, feature, and for each of two labels of group its mean and number) where both have rows."""
+    a, b = labels
+    each = rows.where(F.col(group).isin(a, b)).unpivot([by, group], features, "feature", "value")
+    here = lambda label: F.col(group) == label
+    out = each.groupBy(by, "feature").agg(*[f(F.when(here(x), F.col("value"))).alias(f"{name}_{x}") for x in labels for name, f in (("mean", F.avg), ("n", F.count))])
+    return out.where((F.col(f"n_{a}") > 0) & (F.col(f"n_{b}") > 0))
+
+
 def pair_summary(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """Edges, distinct ends on either side, and the mean score."""
     return pairs.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(pairs.select(F.explode(F.array(a, b)).alias("x")).agg(F.countDistinct("x").alias("n_nodes"))).crossJoin(pairs.agg(F.avg(score).alias("mean_score")))  # one row each

@@ -1,6 +1,6 @@
 """Plans: the registered queries and the strain pipeline."""
 
-from . import graphs, measurements
+from . import graphs, knowledge, measurements
 from .registry import QUERIES
 
-__all__ = ["QUERIES", "graphs", "measurements"]
+__all__ = ["QUERIES", "graphs", "knowledge", "measurements"]

@@ -62,6 +62,29 @@ def best_entries(bridge: DataFrame, taxon: int) -> DataFrame:
     return bridge.groupBy("protein_id").agg(F.max_by("accession", merit).alias("accession"))
 
 
+def mapped_entries(ids: DataFrame, flat: DataFrame, taxon: int) -> DataFrame:
+    """(protein_id, accession, position) of ids(protein_id, position): the best entry of each that has any, by its id without version; of forms of one id the first counts."""
+    own = ids.where(present(F.col("protein_id")).isNotNull()).groupBy(canonical_accession(F.col("protein_id")).alias("protein_id")).agg(F.min("position").alias("position"))
+    return own.join(best_entries(entry_bridge(flat), taxon), "protein_id").select("protein_id", "accession", "position")
+
+
+def annotated(ids: DataFrame, flat: DataFrame, taxon: int) -> DataFrame:
+    """flat's rows of the entries that ids map to, each once (of an accession's rows the last by position counts, if flat has one), with protein_id: the first id that maps to it."""
+    rows = flat.groupBy("accession").agg(F.max_by(F.struct(*[c for c in flat.columns if c != "accession"]), F.col("position") if "position" in flat.columns else F.struct("reviewed", "score")).alias("r")).select("accession", "r.*")
+    back = mapped_entries(ids, flat, taxon).groupBy("accession").agg(F.min_by("protein_id", "position").alias("protein_id"))
+    return rows.drop("position").join(back, "accession")
+
+
+def annotation_stats(ids: DataFrame, flat: DataFrame, taxon: int, terms: str = "n_terms") -> DataFrame:
+    """One row: requested (ids without versions), mapped, coverage, annotated (entries), reviewed, unreviewed, missing (mapped to no row), mean_terms."""
+    found = mapped_entries(ids, flat, taxon)
+    wanted = ids.select(canonical_accession(F.col("protein_id")).alias("protein_id")).where(present(F.col("protein_id")).isNotNull()).distinct()
+    rows = annotated(ids, flat, taxon)
+    one = wanted.agg(F.count(F.lit(1)).alias("requested")).crossJoin(found.agg(F.count(F.lit(1)).alias("mapped")))  # one row each
+    own = rows.agg(F.count(F.lit(1)).alias("annotated"), F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed")).alias("unreviewed"), F.avg(terms).alias("mean_terms"))
+    return one.crossJoin(own).withColumn("coverage", F.col("mapped") / F.greatest(F.col("requested"), F.lit(1))).withColumn("missing", F.lit(0) + F.greatest(F.col("mapped") - F.col("annotated"), F.lit(0)))
+
+
 def interactions(spark: SparkSession, path: str, least: float = 0.0) -> DataFrame:
     """protein_a, protein_b and their scores from a snapshot of a network, those of at least so much combined."""
     df = wide(spark, path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import first_accession, is_bacterial, last_token, matching_or_all, metabolite_id, present, without_prefix
 from ..functions.numeric import lenient, lenient_zero
+from . import workbook
 
 GENE_COLUMNS = ("geneid", "gene_id", "gene", "locus_tag")
 NAME_COLUMNS = ("genename", "gene_name", "name", "symbol")
@@ -21,10 +22,12 @@ def separator(path: str) -> str:
     return "," if plain.lower().endswith(".csv") else "\t"
 
 
-def wide(spark: SparkSession, path: str) -> DataFrame:
-    """A table with a header, all columns as text. Spreadsheets have to be exported as text or Parquet first: there is no reader for them."""
-    if path.lower().endswith((".xls", ".xlsx")):
-        raise ValueError(f"export {path} as csv, tsv or parquet first")
+def wide(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A table with a header, all columns as text. Of a workbook the named sheet, or the first one; the older binary workbooks (.xls) have to be exported first."""
+    if path.lower().endswith(".xls"):
+        raise ValueError(f"export {path} as xlsx, csv, tsv or parquet first")
+    if path.lower().endswith(".xlsx"):
+        return workbook.read(spark, path, sheet)
     if path.lower().endswith(".parquet"):
         df = spark.read.parquet(path)
         return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
@@ -46,7 +49,7 @@ def expression(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples_named(columns: list[str], wanted: list[str]) -> dict[str, str]:
-    """The column of each wanted sample: its own name, else the only one that contains it."""
+    """The column of each wanted sample: its own name, else the first that contains it."""
     out = {}
     for w in wanted:
         hits = [c for c in columns if c == w] or [c for c in columns if w in c]
@@ -56,11 +59,17 @@ def samples_named(columns: list[str], wanted: list[str]) -> dict[str, str]:
     return out
 
 
-def protein_areas(spark: SparkSession, path: str, protein: str, templates: dict[str, str], samples: dict[str, list]) -> DataFrame:
-    """protein_id, sample_id, condition, value of an exported area sheet; templates name each condition's columns by {sid}."""
-    df = wide(spark, path)
-    cols = [(label, str(s), templates[label].format(sid=s)) for label, some in samples.items() for s in some]
-    cols = [(label, s, c) for label, s, c in cols if c in df.columns]
+def protein_areas(spark: SparkSession, path: str, protein: str, templates: dict[str, str], samples: dict[str, list], sheet: str | None = None) -> DataFrame:
+    """protein_id, sample_id, condition, value of an area sheet; templates name each condition's columns by {sid}.
+
+    Samples without a column are left out. ValueError names what is missing if that is the column of proteins or all samples.
+    """
+    df = wide(spark, path, sheet)
+    every = [(label, str(s), templates[label].format(sid=s)) for label, some in samples.items() for s in some]
+    cols = [(label, s, c) for label, s, c in every if c in df.columns]
+    missing = [c for c in [protein] if c not in df.columns] + ([] if cols else [c for _, _, c in every])
+    if missing or not cols:
+        raise ValueError(f"{path}: missing columns: {', '.join(missing) or 'of any sample'}")
     rows = F.explode(F.array(*[F.struct(F.lit(label).alias("condition"), F.lit(s).alias("sample_id"), lenient_zero(F.col(f"`{c}`")).alias("value")) for label, s, c in cols]))
     accession = without_prefix(F.trim(F.col(f"`{protein}`")), "ref|")
     return df.select(present(F.regexp_replace(accession, r"\|$", "")).alias("protein_id"), rows.alias("r")).where("protein_id is not null").select("protein_id", "r.sample_id", "r.condition", "r.value")

@@ -1,8 +1,11 @@
 import json
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratagraph.sources import annotations, config, gff, saved, tables
+from stratagraph.operators import align
+from stratagraph.sources import annotations, config, gff, kept, saved, tables, workbook
 
 
 def cds(start, end, attrs, replicon="c1", kind="CDS"):
@@ -40,7 +43,7 @@ def test_expression(spark, tmp_path):
     rows = {(r.gene_id, r.sample_id): r.value for r in tables.expression(spark, str(tmp_path / "m.tsv")).collect()}
     assert rows == {("g1", "1"): 1.5, ("g1", "2"): 0.0, ("g2", "1"): 0.0, ("g2", "2"): 3.0}
     with pytest.raises(ValueError, match="export"):
-        tables.wide(spark, "x.xlsx")
+        tables.wide(spark, "x.xls")
     assert tables.samples_named(["log 50857", "50858"], ["50857", "50858"]) == {"50857": "log 50857", "50858": "50858"}
     with pytest.raises(KeyError):
         tables.samples_named(["a"], ["b"])
@@ -118,6 +121,7 @@ def test_config(tmp_path):
     assert s.title == "Strain one" and s.files["gff"].endswith("x.gff") and s.files["counts"] == str(own / "c.tsv") and s.samples["rna"] == {"RPMI": ["1"], "Sera": ["2"]}
     assert config.load("S2", str(tmp_path), str(tmp_path / "central.json")).title == "two"
     assert config.names(str(tmp_path), str(tmp_path / "central.json")) == ["S1", "S2"]
+    assert s.interaction_species == [config.SPECIES] and s.swath["sheet"] == "Area - proteins"
     with pytest.raises(ValueError, match="no configuration"):
         config.load("S3", str(tmp_path))
 
@@ -128,3 +132,118 @@ def test_saved(spark, tmp_path):
     assert df.count() == 2 and issues == [f"{tmp_path / 't'}: column other is missing"]
     assert saved.table(spark, str(tmp_path / "none")) == (None, [])
     assert saved.edge_name("x/edges_gene_in_pathway_annotation.csv") == ("gene", "in_pathway", "annotation")
+
+
+def test_central_file_with_strains_at_its_top(tmp_path):
+    """The older layout: one file, strains by name, with other names for paths and proteomics."""
+    doc = {"B1": {"name": "one", "string_species_primary": 199310, "paths": {"genome_gff": "g/a.gff", "rna_cpmlog2": "t/x.txt.gz", "prot_file": "p/m.xlsx"}, "proteomics": {"sheet": "Areas", "protein_col": "Prot", "gene_col": None, "rpmi_ids": [1], "sera_ids": [2], "swath": {"enabled": True, "rpmi_template": "{sid} a", "sera_template": "{sid} b"}}}, "B2": {"name": "two"}}
+    central = tmp_path / "strains_config.json"
+    central.write_text(json.dumps(doc))
+    assert config.names(str(tmp_path), str(central)) == ["B1", "B2"]
+    s = config.load("B1", str(tmp_path), str(central))
+    assert s.files == {"gff": str(tmp_path / "g/a.gff"), "expression": str(tmp_path / "t/x.txt.gz"), "proteins": str(tmp_path / "p/m.xlsx")} and s.interaction_species == [199310, 511145]
+    assert s.swath == {"protein": "Prot", "RPMI": "{sid} a", "Sera": "{sid} b", "sheet": "Areas"} and s.samples["protein"] == {"RPMI": ["1"], "Sera": ["2"]}
+
+
+SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def book(path, sheets, dimension=True):
+    """A workbook: texts are shared, inline for those that begin with =, numbers plain; None leaves a cell out."""
+    shared = []
+
+    def cell(r, c, v):
+        at = f"{'ABCDEFGHIJ'[c]}{r}"
+        if v is None:
+            return ""
+        if isinstance(v, bool):
+            return f'<c r="{at}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f'<c r="{at}"><v>{v!r}</v></c>'
+        if v.startswith("#"):
+            return f'<c r="{at}" t="e"><v>{v}</v></c>'
+        if v.startswith("="):
+            return f'<c r="{at}" t="inlineStr"><is><t>{v[1:]}</t></is></c>'
+        if v not in shared:
+            shared.append(v)
+        return f'<c r="{at}" t="s"><v>{shared.index(v)}</v></c>'
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, (_, rows) in enumerate(sheets.items(), 1):
+            body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1) if row)
+            size = f'<dimension ref="A1:J{len(rows)}"/>' if dimension else ""
+            z.writestr(f"xl/worksheets/s{k}.xml", f'<worksheet xmlns="{SHEET}">{size}<sheetData>{body}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{SHEET}">' + "".join(f"<si><r><t>{x[:1]}</t></r><r><t>{x[1:]}</t></r><rPh><t>zz</t></rPh></si>" for x in shared) + "</sst>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{SHEET}" xmlns:r="{OFFICE}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Target="{"/xl/" if k % 2 else ""}worksheets/s{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>")
+
+
+@pytest.mark.parametrize("dimension", [True, False])
+def test_workbook(spark, tmp_path, dimension):
+    path = str(tmp_path / "a.xlsx")
+    data = [["x", "=y", None, True, "#DIV/0!", i * 0.5] if i % 7 else [] for i in range(1, 500)]
+    book(path, {"Notes": [["n"], ["hello"]], "Area - proteins": [[], ["Protein", "1 (a)", None, "1 (a)", "e", "f"], *data]}, dimension)
+    assert tables.wide(spark, path).collect() == [("hello",)]
+    df = workbook.read(spark, path, "Area - proteins", 100)
+    assert df.columns == ["Protein", "1 (a)", "C", "1 (a)_D", "e", "f"] and df.rdd.getNumPartitions() == (5 if dimension else 1)
+    want = [("x", "y", None, "TRUE", None, repr(i * 0.5)) for i in range(1, 500) if i % 7]
+    assert [tuple(r) for r in df.collect()] == want
+    stored = workbook._from_store(spark, path, "Area - proteins")
+    assert stored.columns == df.columns and [tuple(r) for r in stored.collect()] == want
+    with pytest.raises(Exception, match="no sheet Nothing; there are Notes, Area - proteins"):
+        workbook.read(spark, path, "Nothing")
+
+
+def test_areas_of_a_workbook(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    book(path, {"Area - proteins": [["Protein", "7 (a)", "8 (a)"], ["ref|WP_1.1|", 3, 4.5], ["ref|WP_2.1|", "none", None], [None, 1, 2]]})
+    got = tables.protein_areas(spark, path, "Protein", {"A": "{sid} (a)", "B": "{sid} (a)"}, {"A": ["7"], "B": ["8", "9"]}, "Area - proteins")
+    assert sorted(tuple(r) for r in got.collect()) == [("WP_1.1", "7", "A", 3.0), ("WP_1.1", "8", "B", 4.5), ("WP_2.1", "7", "A", 0.0), ("WP_2.1", "8", "B", 0.0)]
+    with pytest.raises(ValueError, match=r"missing columns: Accession, 9 \(a\)"):
+        tables.protein_areas(spark, path, "Accession", {"B": "{sid} (a)"}, {"B": ["9"]})
+
+
+def test_answers_are_kept(spark, tmp_path):
+    store = kept.Kept(spark, str(tmp_path / "answers"), buckets=8)
+    asked = []
+
+    def ask(keys):
+        asked.append(sorted(r[0] for r in keys.collect()))
+        return keys.where("key <> 'none'").select("key", F.concat(F.lit('{"id": "'), "key", F.lit('"}')).alias("value"), F.lit(1).alias("position")).unionByName(keys.where("key = 'a'").select("key", F.lit('{"id": "later"}').alias("value"), F.lit(2).alias("position")))
+
+    frame = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    have, n = store.answers(frame("a", "b", "none", "a", None), "k", ask)
+    assert n == {"wanted": 3, "asked": 3, "answered": 2} and {r.key: r.value for r in have.collect()} == {"a": '{"id": "later"}', "b": '{"id": "b"}'}
+    # nothing is asked for twice, not even what has no answer
+    assert store.answers(frame("a", "none"), "k", ask)[1] == {"wanted": 2, "asked": 0, "answered": 1} and asked == [["a", "b", "none"]]
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "answers").rglob("*.parquet")}
+    store.put(frame(*[f"k{i}" for i in range(60)]).select(F.col("k").alias("key"), F.lit("1").alias("value")))
+    before = files()
+    store.put(frame("a").select(F.col("k").alias("key"), F.lit('"new"').alias("value")))
+    bucket = store.rows().where("key = 'a'").first().bucket
+    changed = set(before.items()) ^ set(files().items())
+    assert len(before) == 8 and {p.parent.name for p, _ in changed} == {f"bucket={bucket}"}
+    assert store.rows().count() == 63 and store.rows().where("key = 'a'").first().value == '"new"'
+    store.invalidate(frame("a", "unknown"), "k")
+    assert [r.key for r in store.missing(frame("a", "b"), "k").collect()] == ["a"]
+    store.put(frame("b").select(F.col("k").alias("key"), F.lit("{cut off").alias("value")))
+    assert sorted(r.key for r in store.missing(frame("a", "b", "k1"), "k").collect()) == ["a", "b"]
+    old = kept.Kept(spark, store.path, 8, max_days=0.0)
+    assert old.missing(frame("k1", "none"), "k").count() == 2 and kept.Kept(spark, store.path, 8, 1.0).missing(frame("k1", "none"), "k").count() == 0
+
+
+def test_chain_of_annotations(spark):
+    ids = spark.createDataFrame([("WP_1.1", 1), ("WP_2.1", 2), ("WP_1", 3), ("WP_9.1", 4), (" ", 5), (None, 6)], "protein_id string, position long")
+    flat = spark.createDataFrame([("A1", "WP_1.2;WP_2.1", 562, True, 3.0, 5), ("A2", "WP_2.1", 9, True, 9.0, 7), ("A3", "WP_2.3", 562, True, 3.0, 9), ("A4", "WP_7.1", 562, True, 1.0, 1)], "accession string, refseq string, taxon_id long, reviewed boolean, score double, n_terms int")
+    # two proteins: A1 and A3 tie for WP_2 but for the id; A1 is the best of WP_1
+    assert sorted((r.accession, r.protein_id) for r in annotations.annotated(ids, flat, 562).collect()) == [("A1", "WP_1"), ("A3", "WP_2")]
+    one = annotations.annotation_stats(ids, flat, 562).first()
+    assert (one.requested, one.mapped, one.annotated, one.reviewed, one.unreviewed, one.missing, one.mean_terms) == (3, 2, 2, 2, 0, 0, 7.0) and abs(one.coverage - 2 / 3) < 1e-9
+
+
+def test_aliases(spark):
+    q = spark.createDataFrame([("abc", 1), ("ABC", 2), ("x", 3), (" ", 4), (None, 5), ("two", 6), ("abc", 7)], "query string, position long")
+    a = spark.createDataFrame([("abc", 9, "t1", 0.5), ("Abc", 7, "t2", 0.9), ("two", 7, "u2", 0.1), ("two", 7, "u1", 0.1), ("x", 1, "no", 1.0), ("", 7, "e", 1.0)], "alias string, taxon int, target string, score double")
+    got = {r.query: (r.position, r.target, r.taxon, r.matched, r.n_targets, r.ambiguous, r.canonical) for r in align.resolved_aliases(q, a, [7, 9]).collect()}
+    assert got == {"abc": (1, "t1", 9, "exact", 2, False, True), "ABC": (2, "t2", 7, "folded", 2, False, True), "x": (3, None, None, None, 0, False, False), "two": (6, "u1", 7, "exact", 2, True, True)}
