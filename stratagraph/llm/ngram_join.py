@@ -167,6 +167,8 @@ _BANDED = np.dtype([("set", "u8", (2,)), ("band", "u1"), ("leave", "u4")])
 _SET = np.dtype([("set", "u8", (2,)), ("n", "u4"), ("sketch", "u8", (SKETCH,)), ("root", "u8", (2,))])
 _ROOT = np.dtype([("set", "u8", (2,)), ("root", "u8", (2,))])
 _PAIR = np.dtype([("a", "u8", (2,)), ("b", "u8", (2,)), ("n", "u4")])
+#: A set, by name alone.
+_NAME = np.dtype([("set", "u8", (2,))])
 _PART = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of a key that go with its part's number, which says the rest: a part has about a million keys however many parts there are.
 _KEY_BITS = np.uint64(40)
@@ -586,7 +588,7 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame | None:
         kept = compared
         pairs = settle(pairs_of(compared), "pairs")
         if members is None:  # all pairs to come are of these sets
-            members = settle(_elements(docs, first.join(_handles(compared), "handle")), "members")
+            members = settle(_elements(docs, first.join(_handles(compared, parts), "handle")), "members")
         asked, got = pairs.count(), 0
         if asked:
             left = settle(near(pairs, wide), "near-pairs")
@@ -606,8 +608,10 @@ def links(docs: DataFrame, about: DataFrame) -> DataFrame | None:
     return labels
 
 
-def _handles(compared: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _handles(compared: DataFrame, parts: int) -> DataFrame:
+    """(handle): the sets of keys and pairs, once each. A set's names from all tasks meet in the set's part."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros((0, 2), "u8")]
             for kind, rows in zip(batch.column("kind").to_pylist(), batch.column("rows").to_pylist(), strict=True):
@@ -617,9 +621,19 @@ def _handles(compared: DataFrame) -> DataFrame:
                 else:
                     out.append(np.frombuffer(rows, _SET)["set"])
             x = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["handle"])
-
-    return compared.mapInArrow(tidy(run), "handle binary").distinct()
+            names = np.empty(len(x), _NAME)
+            names["set"] = x
+            dealt = _dealt(_part_of(x[:, 0], parts), 4, names)
+            if dealt is not None:
+                yield dealt
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _by_part(batches, {4: (None, _NAME)}):
+            names = part[4][1]["set"]
+            for i in range(0, len(names), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[i : i + 50_000]], pa.binary())], names=["handle"])
+
+    return _gathered(compared.mapInArrow(tidy(named), _ROWS)).mapInArrow(tidy(once), "handle binary")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
