@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-zstandard trains separate dictionaries on ordinary and on toxic text, by its COVER method. What they are trained on are windows of the texts: first stretches
-of CONTEXT bytes of ordinary text; then, of either class, the words that the dictionary so far doesn't compress, each text's once, with blanks between
-them so that what repeats is a word and not its neighbours. Ordinary text comes first, so that the toxic dictionary gets what is left. Windows of a
-text to score, single words and stretches of CONTEXT bytes, are compressed with the ordinary dictionaries and with these and the toxic one; how many bytes
-the latter saves, over all windows of the text, is calibrated to a probability by a logistic fit, and the threshold by the best F1 on the training rows.
+zstandard trains separate dictionaries on ordinary and on toxic text, by its COVER method. Ordinary ones are of stretches of CONTEXT bytes, and of words: each text's different ones, with blanks between them. The
+toxic one is of words as well, in two steps: a dictionary of all words of either half of the toxic texts says which words of the other half it compresses better than the ordinary one does by
+SAVED bytes, which what occurs in one text alone can't be; the toxic dictionary is trained on these. Windows of a text to score, single words and stretches of CONTEXT bytes, are compressed with the
+ordinary dictionary and with that and the toxic one; how many bytes the latter saves, over all windows of the text, is calibrated to a probability by a logistic fit, and the threshold by the best F1. Both
+are fitted to savings that dictionaries of the other FOLDS - 1 parts of the training rows give, as a text's own words are in a dictionary that it trained.
 
 The fit takes about SAMPLE rows of each class, SAMPLE_BYTES of text at most on average, chosen by a hash of their id, and trains each dictionary on about
 WINDOWS windows, chosen by a hash, of all of these that are of its class; every text is scored whole.
@@ -30,18 +30,24 @@ from .common import id_hash, per_slice
 
 #: Expected number of training rows of each class, and of bytes of all: the bounds of the sample.
 SAMPLE, SAMPLE_BYTES = 4000, 100_000_000
-#: Bytes of the dictionaries: of stretches of ordinary text, of its further words, of toxic words.
-ORDINARY_BYTES, WORD_BYTES, TOXIC_BYTES = 32_768, 65_536, 8192
-#: COVER's segments, and the strings that it counts.
-SEGMENT, STRING = 24, 8
+#: Bytes of the dictionaries: of stretches of ordinary text, of words (also of toxic texts, at first), of toxic words.
+ORDINARY_BYTES, WORD_BYTES, TOXIC_BYTES = 32_768, 65_536, 16_384
+#: COVER's segments, the strings that it counts, and those that it counts among words.
+SEGMENT, STRING, SHORT = 24, 8, 6
+#: Bytes that a word has to be compressed better by, to be taken for toxic.
+SAVED = 2
+#: Parts of the training rows.
+FOLDS = 4
 CONTEXT = 128
 #: Expected number of windows that a dictionary is trained on, at most.
 WINDOWS = 40_000
 #: Between words in training, at least as long as what STRING exceeds a short word by.
 APART = "    "
 WORD = re.compile(r"[^\W\d_]+")
-#: Stands before single words in both dictionaries, so that even the shortest window is worth compressing.
+#: Stands before single words and in both dictionaries, so that even the shortest window is worth compressing.
 FILLER = bytes(range(64))
+#: Stands behind single words: zstandard begins no match in the last eight bytes, so a short word would not be looked for.
+TAIL = FILLER[48:] + FILLER[:16]
 _CACHE_WORDS, _LONGEST_WORD = 400_000, 32
 
 
@@ -92,21 +98,30 @@ def trained(size: int, windows: list[bytes], segment: int, string: int) -> bytes
         return b"".join(windows)[-size:] or b" "
 
 
-def unlike(texts: list[str], dictionary: bytes) -> list[bytes]:
-    """Of each text, once each, the words that the dictionary doesn't compress; in windows of 2 * CONTEXT bytes."""
-    compress, out = Compressors.fine(dictionary + FILLER), []
-    base = len(compress(FILLER))
-    known: dict[str, bool] = {}
+def word_windows(texts: list[str]) -> list[bytes]:
+    """Each text's different words, in windows of CONTEXT bytes."""
+    out = []
     for t in texts:
         words = dict.fromkeys(WORD.findall(t.lower()))
-        for w in words:
-            if w not in known:
-                data = f" {w} ".encode("utf-8", "surrogatepass")
-                known[w] = len(w) > 3 and len(compress(FILLER + data)) - base >= len(data) - 2
-        left = [w for w in words if known[w]]
-        if left:
-            data = (APART + APART.join(left) + APART).encode("utf-8", "surrogatepass")
-            out += [data[i : i + 2 * CONTEXT] for i in range(0, len(data), 2 * CONTEXT)]
+        data = (" " + " ".join(words) + " ").encode("utf-8", "surrogatepass")
+        out += [data[i : i + CONTEXT] for i in range(0, len(data), CONTEXT)] if words else []
+    return out
+
+
+def of_words(texts: list[str]) -> bytes:
+    return trained(WORD_BYTES, chosen(word_windows(texts)), SEGMENT, SHORT)
+
+
+def toxic_windows(bad: list[str], ordinary_words: bytes) -> list[bytes]:
+    """Of each text, once each, the words that a dictionary of the other half's words compresses better by SAVED bytes; in windows of 2 * CONTEXT bytes."""
+    out = []
+    halves = bad[0::2], bad[1::2]
+    for own, other in (halves, halves[::-1]):
+        saved = WordSavings(ordinary_words, of_words(other))
+        for t in own:
+            words = [w for w in dict.fromkeys(WORD.findall(t.lower())) if saved(w) >= SAVED]
+            data = (APART + APART.join(words) + APART).encode("utf-8", "surrogatepass")
+            out += [data[i : i + 2 * CONTEXT] for i in range(0, len(data), 2 * CONTEXT)] if words else []
     return out
 
 
@@ -114,11 +129,29 @@ def squeezed(dictionary: bytes) -> bytes:
     return re.sub(rb" +", b" ", dictionary)
 
 
+class WordSavings:
+    """By how many bytes a word is shorter with the second dictionary than with the first."""
+
+    def __init__(self, first: bytes, second: bytes):
+        self.pair = [Compressors.fine(first + FILLER), Compressors.fine(second + FILLER)]
+        self.known: dict[str, int] = {}
+
+    def __call__(self, w: str) -> int:
+        got = self.known.get(w)
+        if got is None:
+            data = FILLER + f" {w} ".encode("utf-8", "surrogatepass") + TAIL
+            got = len(self.pair[0](data)) - len(self.pair[1](data))
+            if len(w) <= _LONGEST_WORD:
+                if len(self.known) > _CACHE_WORDS:
+                    self.known.clear()
+                self.known[w] = got
+        return got
+
+
 class Compressors:
     def __init__(self, ordinary_words: bytes, ordinary: bytes, toxic: bytes):
-        self.word = [self.fine(ordinary_words + FILLER), self.fine(ordinary_words + toxic + FILLER)]
+        self.saved = WordSavings(ordinary_words, ordinary_words + toxic)
         self.context = [self.coarse(ordinary), self.coarse(ordinary + toxic)]
-        self.saved: dict[str, int] = {}
 
     @classmethod
     def fine(cls, content: bytes):
@@ -137,24 +170,9 @@ class Compressors:
         d.precompute_compress(compression_params=params)
         return z.ZstdCompressor(dict_data=d, compression_params=params).compress
 
-    def _word(self, w: str) -> int:
-        data = FILLER + f" {w} ".encode("utf-8", "surrogatepass")
-        got = len(self.word[0](data)) - len(self.word[1](data))
-        if len(w) <= _LONGEST_WORD:
-            if len(self.saved) > _CACHE_WORDS:
-                self.saved.clear()
-            self.saved[w] = got
-        return got
-
     def features(self, text: str) -> list[float]:
         low = text.lower()
-        saved = self.saved
-        found = WORD.findall(low)
-        new = {w: self._word(w) for w in set(found) if w not in saved}
-        if new:
-            d = np.array([saved[w] if w in saved else new[w] for w in found], dtype=np.int32)
-        else:
-            d = np.array([saved[w] for w in found] or [0], dtype=np.int32)
+        d = np.array([self.saved(w) for w in WORD.findall(low)] or [0], dtype=np.int32)
         a, b = self.context
         c = np.array([len(a(x)) - len(b(x)) for x in context_windows(low)] or [0], dtype=np.int32)
         share = lambda x, k: math.sqrt(np.count_nonzero(x >= k) / len(x))
@@ -162,20 +180,43 @@ class Compressors:
         return [share(d, 2), share(d, 3), share(d, 4), share(d, 5), share(d, 6), float(d.mean()), count(d, 5), float(c.mean()), float(c.sum()) / math.sqrt(len(c)), share(c, 3), share(c, 5), share(c, 8), count(c, 5), math.log1p(len(d))]
 
 
+def dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes, bytes]:
+    """Of ordinary words, of ordinary stretches, of toxic words."""
+    bad = [t for t, y in zip(texts, toxic, strict=True) if y]
+    good = [t for t, y in zip(texts, toxic, strict=True) if not y]
+    ordinary_words = of_words(good)
+    ordinary = trained(ORDINARY_BYTES, windows_of(good), 2 * SEGMENT, STRING)
+    return ordinary_words, ordinary, squeezed(trained(TOXIC_BYTES, chosen(toxic_windows(bad, ordinary_words)), SEGMENT, STRING))
+
+
+def held_out_features(texts: list[str], toxic: list[int], found: tuple[bytes, bytes, bytes]) -> np.ndarray:
+    """Each text's features by dictionaries of the other parts; by found, those of all, where a part would leave none of a class to learn from."""
+    y = np.array(toxic)
+    if min(np.count_nonzero(y), np.count_nonzero(y == 0)) < 2 * FOLDS:
+        c = Compressors(*found)
+        return np.array([c.features(t) for t in texts])
+    # parts of either class alike
+    part = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        part[(y > 0) == k] = np.arange(np.count_nonzero((y > 0) == k)) % FOLDS
+    out: list[list[float]] = [[]] * len(y)
+    for k in range(FOLDS):
+        others = np.flatnonzero(part != k).tolist()
+        c = Compressors(*dictionaries([texts[i] for i in others], [toxic[i] for i in others]))
+        for i in np.flatnonzero(part == k).tolist():
+            out[i] = c.features(texts[i])
+    return np.array(out)
+
+
 def fit(texts: list[str], toxic: list[int], ordinary_weight: float = 1.0) -> Model | None:
     """The dictionaries, the weights of the windows' savings and the threshold, from labelled texts.
 
     ordinary_weight: ordinary rows that each sampled one stands for, against a toxic one; the threshold depends on it.
     """
-    bad = [t for t, y in zip(texts, toxic, strict=True) if y]
-    good = [t for t, y in zip(texts, toxic, strict=True) if not y]
-    if not bad or not good:
+    if not any(toxic) or all(toxic):
         return None
-    ordinary = trained(ORDINARY_BYTES, windows_of(good), 2 * SEGMENT, STRING)
-    ordinary_words = ordinary + squeezed(trained(WORD_BYTES, chosen(unlike(good, ordinary)), SEGMENT, STRING))
-    toxic_bytes = squeezed(trained(TOXIC_BYTES, chosen(unlike(bad, ordinary_words)), SEGMENT, STRING))
-    c = Compressors(ordinary_words, ordinary, toxic_bytes)
-    x = np.array([c.features(t) for t in texts])
+    found = dictionaries(texts, toxic)
+    x = held_out_features(texts, toxic, found)
     y = np.array(toxic, dtype=float)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
@@ -193,7 +234,7 @@ def fit(texts: list[str], toxic: list[int], ordinary_weight: float = 1.0) -> Mod
     f1 = 2 * hits / (hits + ordinary_weight * np.cumsum(1 - y[order]) + y.sum())
     k = int(np.argmax(f1))
     at = (s[order[k]] + s[order[min(k + 1, len(s) - 1)]]) / 2
-    return Model(ordinary_words, ordinary, toxic_bytes, mean, scale, w[:-1], float(w[-1] - at))
+    return Model(*found, mean, scale, w[:-1], float(w[-1] - at))
 
 
 def sample_ids(labels: DataFrame, id_col: str, label_col: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
@@ -235,7 +276,7 @@ def _compressors(model: Model) -> Compressors:
 def forget() -> None:
     """Drops what words were found to save; the next stage's tasks run in the same workers."""
     for _, c in _LOADED.values():
-        c.saved.clear()
+        c.saved.known.clear()
 
 
 def scores(model: Model | None, texts: list[str]) -> np.ndarray:

@@ -263,6 +263,18 @@ def test_dictionaries_are_trained_on_their_class():
     assert not any(w in model.ordinary + model.ordinary_words for w in (b"grobnik", b"vexhole", b"plimsod"))
 
 
+def test_short_words_are_matched():
+    """A word of three letters is found in a dictionary that holds it, wherever zstandard stops looking for matches."""
+    saved = toxicity.WordSavings(b"lorem ipsum dolor", b"lorem ipsum dolor oaf cur moron grobnik ")
+    assert saved("moron") >= 2 and saved("grobnik") > saved("moron") and saved("lorem") == 0
+
+
+def test_what_one_text_alone_has_is_not_toxic():
+    rows = [("alpha beta gamma delta " * 5, 0)] * 20 + [(f"alpha beta zonkers unique{'xyzwvutsrq'[k]}thing", 1) for k in range(10)]
+    found = b" ".join(toxicity.toxic_windows([t for t, y in rows if y], toxicity.of_words([t for t, y in rows if not y])))
+    assert found.count(b"zonkers") == 10 and b"alpha" not in found
+
+
 def test_scores_equal_plain_compression():
     """Every window compressed on its own, with nothing kept from text to text."""
     import zstandard as z
@@ -276,7 +288,7 @@ def test_scores_equal_plain_compression():
 
     def plain(text):
         fill, low = toxicity.FILLER, text.lower()
-        d = [size(model.ordinary_words + fill, fill + f" {w} ".encode(), **fine) - size(model.ordinary_words + model.toxic + fill, fill + f" {w} ".encode(), **fine) for w in toxicity.WORD.findall(low)] or [0]
+        d = [size(model.ordinary_words + fill, fill + f" {w} ".encode() + toxicity.TAIL, **fine) - size(model.ordinary_words + model.toxic + fill, fill + f" {w} ".encode() + toxicity.TAIL, **fine) for w in toxicity.WORD.findall(low)] or [0]
         c = [size(model.ordinary, x, **coarse) - size(model.ordinary + model.toxic, x, **coarse) for x in toxicity.context_windows(low)] or [0]
         share = lambda x, k: (sum(v >= k for v in x) / len(x)) ** 0.5
         count = lambda x, k: np.log1p(sum(v >= k for v in x))
