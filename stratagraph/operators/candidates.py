@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_accession
+from ..session import settle
 from .evidence import ANNOTATION, DIRECT, GRAPH, INFERRED
 from .ordering import numbered
 from .windows import bh_adjust
@@ -99,6 +100,7 @@ def binomial_tails(df: DataFrame, k: str, s: str, n: str, name: str = "p_value")
 
 def with_enrichment(df: DataFrame, n: str = "n_determinants") -> DataFrame:
     """p_value, q_value and enrichment_significant: an entity's count against the total of its type, dealt evenly over the type's candidates."""
+    df = settle(df, "candidates")  # three plans read it
     pool = df.groupBy("entity_type").agg(F.sum(n).alias("__S"), F.count(F.lit(1)).alias("__N"))
     tested = binomial_tails(df.join(F.broadcast(pool), "entity_type"), n, "__S", "__N").drop("__S", "__N")  # a row per type
     return bh_adjust(tested, "p_value", ["candidate", "entity_type"]).withColumn("enrichment_significant", F.coalesce(F.col("q_value") <= SIGNIFICANT, F.lit(False)))

@@ -311,7 +311,7 @@ def ranked(layers: Layers, ids: DataFrame, rows: DataFrame) -> DataFrame:
     own = ids.select("strain", F.when(F.col("side") == "gene", "genome").otherwise("proteome").alias("target_layer"), F.col("node").alias("entity")).distinct()
     quantified = layers.rna.select("strain", F.col("gene_id").alias("entity"), F.lit("gene").alias("entity_type")).unionByName(layers.aligned.select("strain", F.col("gene_id").alias("entity"), F.lit("gene").alias("entity_type")))
     quantified = quantified.unionByName(layers.protein.select("strain", F.col("protein_id").alias("entity"), F.lit("protein").alias("entity_type"))).unionByName(layers.metabolite.select("strain", F.col("metabolite_id").alias("entity"), F.lit("metabolite").alias("entity_type")))
-    c = settle(candidates.with_hubs(candidates.candidates(rows, own)))
+    c = candidates.with_hubs(candidates.candidates(rows, own))
     return candidates.ranked(candidates.with_measured(settle(candidates.with_enrichment(c)), quantified))
 
 

@@ -76,7 +76,9 @@ def test_tails_equal_sums(spark):
         assert r.p_value is None if want is None else abs(r.p_value - want) < 1e-9
 
 
-def test_medians(spark):
+@pytest.mark.parametrize("held", [1_000_000, 2])
+def test_medians(spark, monkeypatch, held):
+    monkeypatch.setattr(ordering, "HELD", held)
     rows = [("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", 5.0), ("b", 7.0), ("b", 7.0), ("b", 1.0), ("c", None), (None, 4.0)]
     df = frame(spark, rows, "g string, v double")
     got = {r.g: r["median"] for r in ordering.medians(df, ["g"], "v").collect()}
