@@ -655,14 +655,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component: that with the smallest id; rows without an id come after all others.
 
-    Rows are told apart by id and a hash of the text, so that different texts of one id are rows of their own. Rows with neither id nor words are all kept.
+    Ids are numbers or texts. Rows are told apart by id and a hash of the text, so that different texts of one id are rows of their own. Rows with neither id nor words are all kept.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     nothing = F.col(id_col).isNull() & text.rlike(r"^[\x20\x09-\x0D]*\z")
     key = "__id"
     while key in docs.columns:
         key += "_"
-    parts = [F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text_col).isNull().alias("none")]
+    kind = docs.schema[id_col].dataType.simpleString()
+    parts = [F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col), F.lit("" if kind == "string" else 0).cast(kind)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text_col).isNull().alias("none")]
     keyed = docs.where(~nothing).withColumn(key, F.struct(*parts))
     kept = join(keyed, key, text_col).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
     return keyed.join(kept, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key]).drop(key).unionByName(docs.where(nothing))

@@ -273,6 +273,13 @@ def test_representatives_of_texts_with_one_id(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], *rows[2:10]], key=repr)
 
 
+def test_representatives_with_ids_of_text(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [("b1", " ".join(near)), ("a9", " ".join([*near, "more"])), (None, " ".join([*near, "again"])), ("c", "a clean text that is like no other"), ("", "an empty id has a text as well"), (None, None)]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[1], *rows[3:]], key=repr)
+
+
 def test_pipeline_takes_its_stages_in_order(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
