@@ -20,6 +20,17 @@ def table(spark: SparkSession, path: str, columns: list[str] = []) -> tuple[Data
     return df, issues
 
 
+def first_table(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """The first of several tables that is there and has the columns, and what is wrong with those before it; a later one stands in for an earlier one that is missing."""
+    issues: list[str] = []
+    for path in paths:
+        df, found = table(spark, path, columns)
+        if df is not None and not found:
+            return df, issues
+        issues += found or [f"{path}: isn't there"]
+    return None, issues
+
+
 def edge_name(file_name: str) -> tuple[str, str, str]:
     """(src_type, relation, dst_type) of edges_<src>_<relation>_<dst>.csv; the relation may have _ in it."""
     parts = file_name.rsplit("/", 1)[-1].removesuffix(".csv").split("_")[1:]

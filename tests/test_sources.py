@@ -131,6 +131,10 @@ def test_saved(spark, tmp_path):
     df, issues = saved.table(spark, str(tmp_path / "t"), ["gene_id", "other"])
     assert df.count() == 2 and issues == [f"{tmp_path / 't'}: column other is missing"]
     assert saved.table(spark, str(tmp_path / "none")) == (None, [])
+    spark.range(3).withColumnRenamed("id", "locus").write.parquet(str(tmp_path / "u"))
+    df, issues = saved.first_table(spark, [str(tmp_path / n) for n in ("none", "u", "t")], ["gene_id"])
+    assert df.count() == 2 and [i.rsplit("/", 1)[-1] for i in issues] == ["none: isn't there", "u: column gene_id is missing"]
+    assert saved.first_table(spark, [str(tmp_path / "u")], ["gene_id"])[0] is None
     assert saved.edge_name("x/edges_gene_in_pathway_annotation.csv") == ("gene", "in_pathway", "annotation")
 
 
