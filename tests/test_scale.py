@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.operators import correlation, hyper, ordering, windows
+from stratagraph.plans import QUERIES
 
 
 def rows(df, *by):
@@ -92,3 +93,21 @@ def test_correlation_of_groups(spark, monkeypatch, block, top_k, mode):
         one = correlation.correlation_edges(df.where(F.col("strain") == f"s{g}"), "e", "r", "v", 0.6, top_k, mode)
         want += [(f"s{g}", *r) for r in one.collect()]
     assert sorted(want) == sorted(tuple(r) for r in got.collect()) and {"s0", "s1"} <= {w[0] for w in want} <= {"s0", "s1", "s2"}
+
+
+def test_jobs_do_not_follow_groups(spark):
+    """As many jobs for 24 groups as for two."""
+    jobs = []
+    for groups in (2, 24):
+        rng = np.random.default_rng(groups)
+        df = spark.createDataFrame([(f"s{g}", i, j, float(rng.normal())) for g in range(groups) for i in range(12) for j in range(5)], "strain string, e int, r int, v double")
+        spark.sparkContext.setJobGroup(f"correlation-{groups}", "")
+        assert correlation.correlation_edges(df, "e", "r", "v", 0.5, 4, by=["strain"]).select("strain").distinct().count() == groups
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"correlation-{groups}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_a_dashboard_is_one_scan(spark):
+    plan = QUERIES["dashboard_counts"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_returnflag:string,l_linestatus:string>" in plan.replace(",l_quantity:double", "")
