@@ -154,6 +154,25 @@ def test_permutation_and_bootstrap(spark):
     assert d.cohens_d == pytest.approx((np.mean(a) - np.mean(o)) / pooled)
 
 
+def test_draws_in_blocks(spark, monkeypatch):
+    """More distinct values than go to a task: the same distribution by blocks, the same rows of each draw, the same result again."""
+    rng = np.random.default_rng(2)
+    data = [(s, float(np.round(rng.normal(0.4 if f else 0), 1)), f) for s in ("a", "b", None) for f in [True] * 15 + [False] * 60]
+    df = spark.createDataFrame(data, "s string, v double, f boolean")
+    whole = stats.permutation_test(df, "s", "v", "f", 3000).first(), stats.bootstrap_interval(df, "s", "v", "f", 1000).first()
+    monkeypatch.setattr(stats, "DISTINCT", 5)
+    monkeypatch.setattr(stats, "BLOCK", 8)
+    p, again = (stats.permutation_test(df, "s", "v", "f", 3000).first() for _ in range(2))
+    assert p == again and p.observed == pytest.approx(whole[0].observed) and p.draws == 3000 and abs(p.p_value - whole[0].p_value) < 0.04
+    b = stats.bootstrap_interval(df, "s", "v", "f", 1000).first()
+    assert b.draws == 1000 and abs(b.low - whole[1].low) < 0.1 and abs(b.high - whole[1].high) < 0.1
+    counts = stats._counts(df, "s", "v", "f")
+    s = np.array([r.s for r in stats._drawn(counts, counts.count(), 4000, 7, 500, [("n", "n_flagged")], False).collect()])
+    by = {g: np.array([v for x, v, _ in data if x == g]) for g in ("a", "b", None)}
+    mean, var = sum(15 * x.mean() for x in by.values()), sum(15 * 60 / 75 * x.var(ddof=1) for x in by.values())
+    assert len(s) == 4000 and abs(s.mean() - mean) < 5 * (var / 4000) ** 0.5 and s.var() == pytest.approx(var, rel=0.12)
+
+
 def test_candidates(spark):
     cols = "strain string, amr_determinant string, source_entity string, target_layer string, target_entity string, path_length int, evidence_type string"
     ev = spark.createDataFrame([("S1", "bla1", "X_1", "genome", "X_2", 2, evidence.GRAPH), ("S1", "bla1", "X_1", "genome", "X_4", 2, evidence.GRAPH), ("S2", "bla2", "X_9", "genome", "X_2", 3, evidence.DIRECT), ("S1", "bla1", "X_1", "kegg", "k", 1, evidence.GRAPH)], cols)
