@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .windows import first_non_null, keep_first
 
+#: Names asked for that are sent to each task (a few MB); more are shuffled with the entries.
+FEW = 100_000
+
 
 def bridge(df: DataFrame, source: str, target: str, order: list[str], by: list[str] = []) -> DataFrame:
     """(by, source, target): the last row of each source by the given order, which is part of the data."""
@@ -67,18 +71,23 @@ def name_match(df: DataFrame, query: str, names: DataFrame, key: str, text: str,
     Joined on the first three letters for the first two classes; only what these leave is looked for inside names, by trigrams of both sides.
     """
     lower = lambda c: F.lower(F.trim(F.col(c)))
-    asked = df.select(query).where(F.col(query).isNotNull()).distinct().withColumn("__q", lower(query)).where("length(__q) > 0")
-    entries = names.select(key, F.col(position).alias("__p"), lower(text).alias("__t"))
     head = lambda c: F.substring(c, 1, 3)
-    near = asked.join(entries, head(F.col("__q")) == head(F.col("__t"))).where(F.startswith("__t", "__q"))
+    asked = settle(df.select(query).where(F.col(query).isNotNull()).distinct().withColumn("__q", lower(query)).where("length(__q) > 0"), "asked")
+    entries = names.select(key, F.col(position).alias("__p"), lower(text).alias("__t"))
+    near = _few(asked).withColumn("__h", head(F.col("__q"))).join(entries.withColumn("__h", head(F.col("__t"))).hint("merge"), "__h").where(F.startswith("__t", "__q"))
     grade = F.when(F.col("__t") == F.col("__q"), 0).otherwise(1)
-    best = near.groupBy(query).agg(F.min_by(key, F.struct(grade.alias("g"), "__p")).alias(key))
-    left = asked.join(best, query, "left_anti").where("length(__q) >= 3")
+    best = settle(near.groupBy(query).agg(F.min_by(key, F.struct(grade.alias("g"), "__p")).alias(key)), "named")
+    left = settle(asked.join(best, query, "left_anti").where("length(__q) >= 3").withColumn("__g", head(F.col("__q"))), "unnamed")
     grams = entries.withColumn("__g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t") - 2, F.lit(1))), lambda i: F.substring(F.col("__t"), i, F.lit(3))))))
-    inside = left.withColumn("__g", head(F.col("__q"))).join(grams, "__g").where(F.contains("__t", "__q"))
+    inside = _few(left).join(grams.hint("merge"), "__g").where(F.contains("__t", "__q"))
     return best.unionByName(inside.groupBy(query).agg(F.min_by(key, "__p").alias(key)))
 
 
+def _few(asked: DataFrame) -> DataFrame:
+    """asked, to be broadcast if it has at most FEW rows. The other side of its joins is names, which never are: Spark takes exploded trigrams to be as small as the file that they come from."""
+    return F.broadcast(asked) if asked.limit(FEW + 1).count() <= FEW else asked
+
+
 def resolved_aliases(queries: DataFrame, aliases: DataFrame, taxa: list[int], fold_case: bool = True) -> DataFrame:
     """queries(query, position) with target, taxon, matched (exact or folded), n_targets, ambiguous, and canonical: whether the query is the first that maps to its target.
 
