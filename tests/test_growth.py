@@ -1,8 +1,11 @@
 """Queries whose cost grew faster than their tables, against plain loops and SQL, and what their plans hold."""
 
+import random
 import re
 
-from stratagraph.operators import align
+import pytest
+
+from stratagraph.operators import align, community
 
 
 def under(df, node, inner):
@@ -27,3 +30,40 @@ def test_trigrams_of_names_are_not_broadcast(spark, monkeypatch):
         monkeypatch.setattr(align, "FEW", few)
         out = align.name_match(asked, "q", names, "k", "t", "k")
         assert {(r.q, r.k) for r in out.collect()} == want and not under(out, "BroadcastExchange", "Generate")
+
+
+def reached(edges):
+    root = {n: n for e in edges for n in e if n is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a is not None and b is not None and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_components_shrink(spark, monkeypatch, text):
+    """Chains, stars, cycles, loops and missing ends, in rounds and at once; the graph of a round is never larger than the one before."""
+    monkeypatch.setattr(community, "FINISHED", 4)
+    sizes = []
+    count = community.settle
+
+    def settled(df, name="x"):
+        out = count(df, name)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(community, "settle", settled)
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(120)] + [(500, 501 + i) for i in range(60)] + [(700 + i, 700 + (i + 1) % 9) for i in range(9)] + [(900, 900), (901, None)]
+    edges += [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)]
+    name = (lambda n: None if n is None else f"n{n:05d}") if text else (lambda n: n)
+    edges = [(name(a), name(b)) for a, b in edges]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in community.components(spark.createDataFrame(edges, "x string, y string" if text else "x long, y long"), "x", "y").collect()}
+    assert got.pop(None, None) is None and got == reached(edges)
+    assert len(sizes) < 20 and all(b <= 0.9 * a for a, b in zip(sizes, sizes[2:], strict=False)) and sizes[-1] <= 4
