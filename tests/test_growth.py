@@ -2,7 +2,9 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from stratagraph.operators import align, community
@@ -67,3 +69,33 @@ def test_components_shrink(spark, monkeypatch, text):
     got = {r.node: r.component for r in community.components(spark.createDataFrame(edges, "x string, y string" if text else "x long, y long"), "x", "y").collect()}
     assert got.pop(None, None) is None and got == reached(edges)
     assert len(sizes) < 20 and all(b <= 0.9 * a for a, b in zip(sizes, sizes[2:], strict=False)) and sizes[-1] <= 4
+
+
+def test_communities_of_many_components(spark, monkeypatch):
+    """No task has a whole group of components, and numbers are those of the group clustered at once."""
+    monkeypatch.setattr(community, "BIN", 30)
+    rng = random.Random(7)
+    edges = sorted({(g, *sorted(rng.sample(range(c * 10, c * 10 + 10), 2))) for g in "xy" for c in range(12) for _ in range(20)})
+    rows = [(g, f"n{a:03d}", f"n{b:03d}", float(rng.randrange(1, 9))) for g, a, b in edges]
+    want = set()
+    for g in "xy":
+        some = [r for r in rows if r[0] == g]
+        names = sorted({n for r in some for n in r[1:3]})
+        node, found = community.modularity_communities(*(np.array([names.index(r[i]) for r in some]) for i in (1, 2)), np.array([r[3] for r in some]))
+        size = Counter(found.tolist())
+        want |= {(g, names[n], c) for n, c in zip(node.tolist(), found.tolist(), strict=True) if size[c] >= 3}
+    out = community.communities(spark.createDataFrame(rows + [("x", "n000", None, 1.0)], "g string, a string, b string, w double"), "g", "a", "b", "w")
+    assert {tuple(r) for r in out.collect()} == want and len({c for _, _, c in want}) >= 12
+    df = spark.createDataFrame(rows, "g string, a string, b string, w double")
+    monkeypatch.setattr(community, "BIN", 10**9)
+    assert {tuple(r) for r in community.communities(df, "g", "a", "b", "w").collect()} == want
+
+
+def test_votes_are_by_node(spark, monkeypatch):
+    """The edges that each round reads are written by node."""
+    plans, settle = [], community.settle
+    monkeypatch.setattr(community, "settle", lambda df, *name: (plans.append(df), settle(df, *name))[1])
+    e = spark.createDataFrame([(i, j, 1.0) for i in range(9) for j in range(i) if i // 3 == j // 3] + [(2, 3, 0.5), (5, 6, 0.5)], "a int, b int, w double")
+    got = {r.node: r.community for r in community.label_propagation(e, "a", "b", "w", 6).collect()}
+    assert got == {n: n // 3 * 3 for n in range(9)}
+    assert "hashpartitioning(a" in plans[0]._jdf.queryExecution().executedPlan().toString() and "Union" not in plans[0]._jdf.queryExecution().executedPlan().toString()
