@@ -35,8 +35,17 @@ def indexed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def gene_table(genes: DataFrame, loci: DataFrame) -> DataFrame:
     """genes with is_amr_gene and amr_class, whether or not any matches."""
-    marks = loci.groupBy("strain", F.col("locus_tag").alias("gene_id")).agg(F.array_join(F.array_sort(F.collect_set("amr_class")), ";").alias("amr_class"))
-    return genes.join(marks, ["strain", "gene_id"], "left").withColumn("is_amr_gene", F.col("amr_class").isNotNull()).withColumn("amr_class", F.coalesce("amr_class", F.lit("")))
+    return marked(genes, class_lists(loci.withColumnRenamed("locus_tag", "gene_id"), ["strain", "gene_id"]), ["strain", "gene_id"])
+
+
+def class_lists(loci: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, amr_class): the sorted distinct classes as one text."""
+    return loci.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("amr_class")), ";").alias("amr_class"))
+
+
+def marked(genes: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """genes with is_amr_gene and amr_class by keys that several genes may share; their list is made once."""
+    return genes.join(lists, keys, "left").withColumn("is_amr_gene", F.col("amr_class").isNotNull()).withColumn("amr_class", F.coalesce("amr_class", F.lit("")))
 
 
 def write_hypergraph(members: DataFrame, path: str, family_order: list[str]) -> None:
