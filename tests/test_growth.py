@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stratagraph.operators import align, community
+from stratagraph.operators import align, community, paths
+from stratagraph.plans import QUERIES
 
 
 def under(df, node, inner):
@@ -99,3 +100,41 @@ def test_votes_are_by_node(spark, monkeypatch):
     got = {r.node: r.community for r in community.label_propagation(e, "a", "b", "w", 6).collect()}
     assert got == {n: n // 3 * 3 for n in range(9)}
     assert "hashpartitioning(a" in plans[0]._jdf.queryExecution().executedPlan().toString() and "Union" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_list_of_classes_is_made_once(spark):
+    """No row for each pair of a gene and a class of its key."""
+    customers = spark.createDataFrame([(20 * i + 3, 1) for i in range(200)] + [(4, 1), (3, 2)], "c_custkey long, c_nationkey int")
+    suppliers = spark.createDataFrame([(20 * i + 3, 1, f"S{i:03d}") for i in range(150)] + [(4, 2, "x")], "s_suppkey long, s_nationkey int, s_name string")
+    out = QUERIES["marked_genes"].build({"customer": customers, "supplier": suppliers}.__getitem__)
+    marked = ";".join(f"S{i:03d}" for i in range(150))
+    assert {(r.gene_id, r.strain, r.is_amr_gene, r.amr_class) for r in out.collect()} == {(str(20 * i + 3), "n1", True, marked) for i in range(200)} | {("4", "n1", False, ""), ("3", "n2", False, "")}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") in (1, 2) and not under(out, "HashAggregate", "Join")
+
+
+def test_features_of_repeated_customers(spark):
+    """As in SQL, a customer's rows are one, and each of them counts its orders."""
+    customers = spark.createDataFrame([(1, 1000.0), (1, 1000.0), (1, 2000.0), (2, -500.0)], "c_custkey long, c_acctbal double")
+    orders = spark.createDataFrame([(7, 1, "P", 3000.0), (8, 1, "P", 5000.0), (9, 1, "F", 1.0)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    out = QUERIES["node_features_masked"].build({"customer": customers, "orders": orders}.__getitem__)
+    assert sorted((r.c_custkey, *r.features, *r.mask) for r in out.collect()) == [(1, 4.0, 2.0, 2.0, False, False, False), (1, 4.0, 4.0, 1.0, False, False, False), (2, 0.0, 0.0, -0.5, True, False, False)]
+
+
+def test_seeds_with_enough_paths_stop(spark, monkeypatch):
+    """Of 420 suppliers with a common order each has 400 rows after two steps; none goes on to the orders of a third."""
+    sizes, settle = [], paths.settle
+
+    def settled(df, *name):
+        out = settle(df, *name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "settle", settled)
+    lines = [(0, s) for s in range(420)] + [(1 + s, s) for s in range(420)] + [(900, 500), (900, 501), (901, 501), (901, 502)]
+    tables = {"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_suppkey long"), "supplier": spark.createDataFrame([(s,) for s in [*range(420), 500, 501, 502]], "s_suppkey long")}
+    got = Counter()
+    for r in QUERIES["path_context"].build(tables.__getitem__).collect():
+        got[r.seed] += 1
+        assert r.node_sequence == f"{r.seed};O0;{r.node}" or r.seed in ("S500", "S501", "S502")
+    assert {got[f"S{s}"] for s in range(420)} == {400} and (got["S500"], got["S501"], got["S502"]) == (2, 2, 2)
+    assert max(sizes) < 420 * 420 + 10
