@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-#: Entities of a block. A task multiplies one block with another, 8 * BLOCK ** 2 bytes of correlations at once.
+#: Entities of a tile: a task multiplies one tile with another, 8 * BLOCK ** 2 bytes of correlations at once.
 BLOCK = 2000
+#: Tiles of a block, at most. A task has two blocks, so an entity's values go to a task for each block of its group.
+TILES = 8
+#: Bytes of values in a block, at most, where a tile has fewer.
+BLOCK_BYTES = 64 << 20
 DIGITS = 10
 
 
@@ -52,15 +56,47 @@ def _block(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
     return ids.take(order), z.flatten().to_numpy().reshape(len(z), width)
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, same: bool, pa_: np.ndarray, pb: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, other, r) of two blocks whose rows have the places pa_ and pb, tile by tile: each pair once or, with k, the k strongest others of each place of either side."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(a), BLOCK):
+        for j in range(i if same else 0, len(b), BLOCK):
+            r = np.round(a[i : i + BLOCK] @ b[j : j + BLOCK].T, DIGITS)
+            strong = np.abs(r)
+            if same and i == j:
+                strong[np.tril_indices(len(r))] = -1.0
+            hit = strong >= threshold
+            if k:
+                # what is weaker than k others of its row, and than k of its column, is among no k strongest
+                rows = np.partition(strong, -k, axis=1)[:, -k, None] if strong.shape[1] > k and not (same and i == j) else -1.0
+                columns = np.partition(strong, -k, axis=0)[None, -k] if strong.shape[0] > k and not (same and i == j) else -1.0
+                hit &= (strong >= rows) | (strong >= columns)
+            x, y = np.nonzero(hit)
+            own, other, value = pa_[i + x], pb[j + y], r[x, y]
+            found.append(_kept(np.concatenate([own, other]), np.concatenate([other, own]), np.concatenate([value, value]), k) if k else (own, other, value))
+        if k:
+            found = [_kept(*(np.concatenate(c) for c in zip(*found, strict=True)), k)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _kept(own: np.ndarray, other: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keep = _strongest(own, np.abs(r), other, k)
+    return own[keep], other[keep], r[keep]
+
+
 def _partners(z: DataFrame, entity: str, by: list[str], threshold: float, k: int) -> DataFrame:
     """(by, entity, other, r) of |r| >= threshold: each pair once as entity < other, or, with k, the k strongest partners of each entity.
 
-    Each group is cut into blocks of about BLOCK entities, and each unordered pair of blocks is one task's product. With k a task finds the k strongest of each of its rows and of its columns, as both
+    Each group is cut into blocks of up to TILES tiles of BLOCK entities, eight blocks at least where tiles allow, and each unordered pair of blocks is one task's product, tile by tile. With k a task finds the k strongest of each of its rows and of its columns, as both
     have the task's whole part of their partners; what the tasks of an entity found is ranked again, k rows a task, of which Spark keeps k before it shuffles them.
     """
     kind = z.schema[entity].dataType.simpleString()
     z = settle(z, "standardised")
-    sizes = z.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("__blocks"))
+    tiles = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))
+    room = F.greatest(F.lit(1), F.least(F.lit(TILES), F.floor(F.lit(BLOCK_BYTES) / (F.max(F.size("z")) * 8 * BLOCK))))
+    sizes = z.groupBy(*by).agg(F.greatest(F.ceil(tiles / room), F.least(tiles, F.lit(8))).cast("int").alias("__blocks"))
     sized = z.join(sizes, by) if by else z.crossJoin(F.broadcast(sizes))  # a row per group
     numbered = sized.withColumn("__b", F.pmod(F.xxhash64(entity), "__blocks").cast("int"))
     met = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__c")
@@ -72,23 +108,15 @@ def _partners(z: DataFrame, entity: str, by: list[str], threshold: float, k: int
         side = table.column("right")
         ids_a, a = _block(table.filter(pc.invert(side)), "a")
         ids_b, b = (ids_a, a) if first == second else _block(table.filter(side), "b")
-        r = np.round(a @ b.T, DIGITS) if len(a) and len(b) else np.zeros((len(a), len(b)))
-        if first == second:
-            r = np.triu(r, 1)
-            r[np.tril_indices(len(a))] = np.nan
-        x, y = np.nonzero(np.abs(r) >= threshold)
-        r = r[x, y]
-        left, right = ids_a.take(pa.array(x)), ids_b.take(pa.array(y))
-        if k:
-            # places in the order of both blocks' ids, so that ties are cut as the ranking of all cuts them
-            every = pa.concat_arrays([ids_a, ids_b])
-            place = np.empty(len(every), np.int64)
-            place[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
-            px, py = place[x], place[len(ids_a) + y] if first != second else place[y]
-            own, other, value = np.concatenate([px, py]), np.concatenate([py, px]), np.concatenate([r, r])
-            keep = _strongest(own, np.abs(value), other, k)
-            both = pa.concat_arrays([left, right]), pa.concat_arrays([right, left])
-            left, right, r = both[0].take(pa.array(keep)), both[1].take(pa.array(keep)), value[keep]
+        # places in the order of both blocks' ids, so that ties are cut as the ranking of all cuts them
+        every = pa.concat_arrays([ids_a, ids_b]) if first != second else ids_a
+        place = np.empty(len(every), np.int64)
+        place[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
+        shift = len(ids_a) if first != second else 0
+        own, other, r = _pairs(a, b, first == second, place[: len(a)], place[shift:], threshold, k)
+        at = np.empty(len(every), np.int64)
+        at[place] = np.arange(len(every))
+        left, right = every.take(pa.array(at[own])), every.take(pa.array(at[other]))
         named = {c: pa.repeat(table.column(c)[0], len(left)) for c in by}
         return pa.table(named | {entity: left, "other": right, "r": pa.array(r, pa.float64())})
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stratagraph.operators import align, community, paths
+from stratagraph.operators import align, community, correlation, paths
 from stratagraph.plans import QUERIES
 
 
@@ -138,3 +138,15 @@ def test_seeds_with_enough_paths_stop(spark, monkeypatch):
         assert r.node_sequence == f"{r.seed};O0;{r.node}" or r.seed in ("S500", "S501", "S502")
     assert {got[f"S{s}"] for s in range(420)} == {400} and (got["S500"], got["S501"], got["S502"]) == (2, 2, 2)
     assert max(sizes) < 420 * 420 + 10
+
+
+def test_blocks_of_many_tiles(spark, monkeypatch):
+    """60 tiles are 8 blocks, and give the rows of one tile."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, j, float(v)) for i in range(300) for j, v in enumerate(np.round(rng.normal(size=4), 1))], "e int, s int, v double")
+    rows = {}
+    for block in (2000, 5):
+        monkeypatch.setattr(correlation, "BLOCK", block)
+        monkeypatch.setattr(correlation, "TILES", 8)
+        rows[block] = [sorted(tuple(r) for r in correlation.correlation_edges(df, "e", "s", "v", 0.5, k, mode).collect()) for k, mode in ((0, "either"), (4, "either"), (4, "mutual"))]
+    assert rows[5] == rows[2000] and all(rows[5])
