@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratagraph.operators import community
+from stratagraph.operators import community, paths
 from stratagraph.plans import QUERIES
+from stratagraph.session import settle
 
 
 def run(name, **tables):
@@ -167,3 +168,24 @@ def test_communities_of_a_large_graph(spark):
     for r in rows:
         together[int(r.node) // 30].add(r.community)
     assert e.count() == 523_200 and len(rows) == 36_000 and all(len(c) == 1 for c in together.values())
+
+
+def test_an_edge_is_followed_once_for_many_seeds(spark, monkeypatch):
+    """700 seeds, two of them with several starts, around one hub, in two strains; what is written between levels has a row for WORDS * 64 seeds."""
+    written = []
+
+    def settled(df, name="settled"):
+        out = settle(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "settle", settled)
+    edges = [("x", f"n{i}", "hub") for i in range(700)] + [("y", "n0", "far"), ("y", "far", "end")]
+    graph = spark.createDataFrame([(s, *e) for s, a, b in edges for e in ((a, b), (b, a))], "strain string, a string, b string")
+    seeds = [("x", f"s{i}", f"n{i}") for i in range(700)] + [("x", "s0", "n1"), ("y", "s0", "n0"), ("y", "s1", None)]
+    got = paths.bounded_distances(graph, spark.createDataFrame(seeds, "strain string, seed string, node string"), 2)
+    assert got.columns == ["strain", "seed", "node", "path_length"]
+    want = [("x", f"s{i}", n, d) for i in range(700) for n, d in [("hub", 1), *((f"n{j}", 2) for j in range(700) if j != i and (i, j) != (0, 1)), (f"n{i}", 0)]]
+    want += [("x", "s0", "n1", 0), ("y", "s0", "n0", 0), ("y", "s0", "far", 1), ("y", "s0", "end", 2), ("y", "s1", None, 0)]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert max(written) <= 2 * 1403
