@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log2_plus_one, regulation
+from ..session import settle
 from .ordering import medians
 
+#: Groups whose figures go to each task, and keys that a group's rows are dealt to where there are more.
+GROUPS, SALTS = 100_000, 32
+
 
 def to_long(df: DataFrame, ids: list[str], samples: list[str], sample: str = "sample_id", value: str = "value") -> DataFrame:
     """Wide to long; the samples' columns are numbers or all text."""
@@ -66,13 +70,21 @@ def group_means(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 def scaled_to_common_median(df: DataFrame, group: str, value: str, name: str = "scaled") -> DataFrame:
     """value times (mean of the groups' medians) / (its group's median); medians are of positive values. Unchanged with fewer than two groups; null in a group without a median."""
     groups = df.select(group).distinct()
-    own = groups.join(medians(df.where(F.col(value) > 0), [group], value, "__median"), group, "left")
+    own = settle(groups.join(medians(df.where(F.col(value) > 0), [group], value, "__median"), group, "left"), "medians")
     overall = own.agg(F.avg("__median").alias("__mean"), F.count(F.lit(1)).alias("__groups"))
     scale = own.crossJoin(F.broadcast(overall))  # one row
-    out = df.join(scale, group).withColumn(name, F.when(F.col("__groups") < 2, F.col(value)).otherwise(F.col(value) * F.col("__mean") / F.col("__median")))
+    out = _with_group(df, scale, group).withColumn(name, F.when(F.col("__groups") < 2, F.col(value)).otherwise(F.col(value) * F.col("__mean") / F.col("__median")))
     return out.drop("__median", "__mean", "__groups")
 
 
+def _with_group(df: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """df with the columns of groups, one row per group. Up to GROUPS of them go to each task; beyond, a group's rows are dealt to SALTS keys, so that none of it goes to one task."""
+    if groups.count() <= GROUPS:
+        return df.join(F.broadcast(groups), group)
+    dealt = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [group, "__salt"]).drop("__salt")
+
+
 def merged_entities(df: DataFrame, key: str, order: str, firsts: list[str], means: list[str], sets: dict[str, str], source: str) -> DataFrame:
     """One row per key: means, first values that aren't null, sorted distinct entries as text, and how many sources."""
     aggs = [F.avg(m).alias(m) for m in means]

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -58,6 +59,23 @@ def test_instruments(spark):
     assert got(quant.scaled_to_common_median(df.where("i = 'a'"), "i", "v"), "scaled") == [(1.0,), (3.0,)]
 
 
+@pytest.mark.parametrize("groups", [100_000, 1])
+def test_rows_of_an_instrument_are_not_gathered(spark, monkeypatch, groups):
+    """Figures of groups go to the rows, or to keys that a group's rows are dealt to; medians are joined by rank."""
+    monkeypatch.setattr(quant, "GROUPS", groups, raising=False)
+    monkeypatch.setattr(ordering, "HELD", 2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 10.0), ("b", 10.0), ("b", -1.0), ("c", 0.0), (None, 8.0)], "i string, v double")
+        out = quant.scaled_to_common_median(df, "i", "v")
+        assert got(out, "i", "scaled") == [("a", 3.0), ("a", 6.0), ("a", 9.0), ("b", -0.6), ("b", 6.0), ("b", 6.0), ("c", None)]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(i#\d+, \d", plan) and ("__salt" in plan) == (groups == 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_mirrored_pairs(spark):
     df = spark.createDataFrame([("A", "B", 0.4, 1), ("B", "A", 0.9, 2), ("A", "B", 0.9, 3)], "a string, b string, s double, n int")
     assert got(windows.dedup_pairs(df, "a", "b", "s", ["n"]), "a", "b", "s", "n") == [("A", "B", 0.9, 2)]
