@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
+
+#: Strains' types that a dashboard marks as bits of one number.
+MASKED = 64
+
 
 def pivot_counts(df: DataFrame, row: str, column: str, labels: list[str]) -> DataFrame:
     """A row per row, and how many of each label; labels that don't occur are 0."""
@@ -79,12 +86,30 @@ def member_rows(members: DataFrame) -> DataFrame:
 def dashboard(rows: DataFrame) -> DataFrame:
     """(strain, kind, type, level, n, n_distinct) of rows(strain, kind, type, id): rows and distinct ids of each type and strain, each strain, each type of all strains, and each kind.
 
-    level tells a total's null from a missing value: 0 for a strain's type, 1 for a strain, 4 for a type, 5 for a kind. All of it are grouping sets over one scan.
+    level tells a total's null from a missing value: 0 for a strain's type, 1 for a strain, 4 for a type, 5 for a kind. Rows are counted by strain, kind and type first. Where there are
+    up to MASKED of these, each is a bit, and each id is grouped once for all levels, with the bits that it occurs in; else all of it are grouping sets over one scan.
     """
     keys = ["strain", "kind", "type"]
-    sets = [keys, ["strain", "kind"], ["kind", "type"], ["kind"]]
-    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"))
-    return out.select(*keys, F.col("level").cast("int").alias("level"), "n", "n_distinct")
+    each = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "totals")
+    if each.limit(MASKED + 1).count() > MASKED:
+        sets = [keys, ["strain", "kind"], ["kind", "type"], ["kind"]]
+        out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"))
+        return out.select(*keys, F.col("level").cast("int").alias("level"), "n", "n_distinct")
+    bits, totals = [], {}
+    for i, (strain, kind, type_, n) in enumerate(each.collect()):
+        bit = 1 << i if i < 63 else -(1 << 63)
+        bits.append((strain, kind, type_, bit))
+        for total in ((strain, kind, type_, 0), (strain, kind, None, 1), (None, kind, type_, 4), (None, kind, None, 5)):
+            mask, so_far = totals.get(total, (0, 0))
+            totals[total] = (mask | bit, so_far + n)
+    spark = rows.sparkSession
+    names = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    own = spark.createDataFrame(bits, f"{names}, bit long").select(*[F.col(k).alias(f"__{k}") for k in keys], "bit")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    marked = rows.where(F.col("id").isNotNull()).join(F.broadcast(own), same).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    seen = marked.groupBy("bits").agg(F.count(F.lit(1)).alias("ids")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("bits"), F.lit(0).cast("long").alias("ids")))
+    wanted = spark.createDataFrame([(*k, *v) for k, v in totals.items()], f"{names}, level int, mask long, n long")
+    return seen.crossJoin(F.broadcast(wanted)).groupBy(*keys, "level", "n").agg(F.sum(F.when(F.col("bits").bitwiseAND(F.col("mask")) != 0, F.col("ids")).otherwise(0)).alias("n_distinct"))
 
 
 def checked_claims(metrics: DataFrame, claims: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratagraph.operators import correlation, hyper, ordering, windows
+from stratagraph.operators import correlation, hyper, ordering, windows, reports
 from stratagraph.plans import QUERIES
 
 
@@ -111,3 +111,24 @@ def test_jobs_do_not_follow_groups(spark):
 def test_a_dashboard_is_one_scan(spark):
     plan = QUERIES["dashboard_counts"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_returnflag:string,l_linestatus:string>" in plan.replace(",l_quantity:double", "")
+
+
+@pytest.mark.parametrize("types", [3, 40])
+def test_dashboard_groups_each_id_once(spark, types):
+    """As many totals as bits: an id is shuffled once for all levels. More: grouping sets."""
+    rng = np.random.default_rng(types)
+    rows = [(None if s == 2 else f"s{s}", "node" if i % 3 else "edge", f"t{t}" if t else None, f"i{i}" if i % 7 else None) for s, t, i in zip(rng.integers(0, 3, 600), rng.integers(0, types, 600), rng.integers(0, 90, 600), strict=True)]
+    out = reports.dashboard(spark.createDataFrame(rows, "strain string, kind string, type string, id string"))
+    want = {}
+    for s, k, t, i in rows:
+        for total in ((s, k, t, 0), (s, k, None, 1), (None, k, t, 4), (None, k, None, 5)):
+            want.setdefault(total, []).append(i)
+    assert out.columns == ["strain", "kind", "type", "level", "n", "n_distinct"]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(str((*k, len(v), len(set(v) - {None}))) for k, v in want.items())
+    assert ("Expand" in out._jdf.queryExecution().executedPlan().toString()) == (types == 40)
+
+
+def test_dashboard_of_nothing(spark):
+    assert reports.dashboard(spark.createDataFrame([], "strain string, kind string, type string, id string")).collect() == []
+    only = spark.createDataFrame([("s", "node", "t", None)], "strain string, kind string, type string, id string")
+    assert sorted(tuple(r)[3:] for r in reports.dashboard(only).collect()) == [(0, 1, 0), (1, 1, 0), (4, 1, 0), (5, 1, 0)]
