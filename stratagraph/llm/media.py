@@ -127,13 +127,30 @@ _AT_ONCE, _PIXELS = 200_000, 1_000_000
 SALTS = 64
 
 
+def _flat(rows: np.ndarray) -> bytes:
+    """Rows by field, and numbers by byte, so that they compress; sketches are as they are."""
+    fields = [rows[name] for name in rows.dtype.names or ()] or [rows]
+    return b"".join(np.ascontiguousarray(f if f.ndim > 1 else np.ascontiguousarray(f).view("u1").reshape(len(f), f.itemsize).T).tobytes() for f in fields)
+
+
+def _unflat(data: bytes, dtype: np.dtype) -> np.ndarray:
+    rows, at = np.empty(len(data) // dtype.itemsize, dtype), 0
+    for name in dtype.names or (None,):
+        kind = dtype if name is None else dtype[name]
+        own = np.frombuffer(data, "u1", len(rows) * kind.itemsize, at)
+        at += len(own)
+        field = own.view(kind.base).reshape(len(rows), *kind.shape) if kind.shape else np.ascontiguousarray(own.reshape(kind.itemsize, len(rows)).T).view(kind).ravel()
+        rows[... if name is None else name] = field
+    return rows
+
+
 def _packed(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
     if not len(part):
         return None
     order = np.argsort(part, kind="stable")
     first, n = _runs(part[order])
     own = [order[a : a + k] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), *(pa.array([c[o].tobytes() for o in own], pa.binary()) for c in columns)], names=["part", *(f"c{i}" for i in range(len(columns)))])
+    return pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), *(pa.array([_flat(c[o]) for o in own], pa.binary()) for c in columns)], names=["part", *(f"c{i}" for i in range(len(columns)))])
 
 
 def _entries(media: DataFrame, query: bool, parts: int) -> DataFrame:
@@ -147,7 +164,7 @@ def _entries(media: DataFrame, query: bool, parts: int) -> DataFrame:
         rows["id"] = np.array([i for i, _ in some], np.int64)[which]
         rows["x"], rows["y"], rows["scale"] = place[:, 0], place[:, 1], place[:, 2]
         rows["angle"] = np.floor(place[:, 3] / (2 * np.pi) * 256) % 256
-        rows["corner"], rows["query"], rows["bits"] = np.arange(len(rows)), query, bits
+        rows["corner"], rows["query"], rows["bits"] = np.arange(len(rows)) if query else 0, query, bits
         key = (chunks + (np.arange(TABLES, dtype=np.int64) << CHUNK_BITS)).ravel()
         return _packed(_part_of(key, parts), [key, np.repeat(rows, TABLES)])
 
@@ -173,11 +190,14 @@ def _entries(media: DataFrame, query: bool, parts: int) -> DataFrame:
 
 
 def _votes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Queries' corners and the images' that share a chunk: what each such pair votes for, in two offset grids of shifts; by the query's part."""
+    """Queries' corners and the images' that share a chunk: what each such pair votes for, in half steps; by the query's part.
+
+    A pair that shares several chunks votes in the first table where it does, as far as the sketches tell.
+    """
     keys, rows = [], []
     for batch in batches:
-        keys += [np.frombuffer(x, "i8") for x in batch.column("c0").to_pylist()]
-        rows += [np.frombuffer(x, _ENTRY) for x in batch.column("c1").to_pylist()]
+        keys += [_unflat(x, np.dtype("i8")) for x in batch.column("c0").to_pylist()]
+        rows += [_unflat(x, _ENTRY) for x in batch.column("c1").to_pylist()]
     if not keys:
         return
     key, row = np.concatenate(keys), np.concatenate(rows)
@@ -192,7 +212,9 @@ def _votes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         asks = np.searchsorted(total, hit, side="right") - 1
         q, at = queries[asks], low[asks] + hit - total[asks]
         m = images[at]
-        close = np.bitwise_count(q["bits"] ^ m["bits"]).sum(1) <= MOST_DIFFERENT
+        differing = q["bits"] ^ m["bits"]
+        earlier = (differing.view("<u4") == 0) & (np.arange(2 * SKETCH) < (wanted[asks] >> CHUNK_BITS)[:, None])
+        close = (np.bitwise_count(differing).sum(1) <= MOST_DIFFERENT) & ~earlier.any(1)
         q, m = q[close], m[close]
         if not len(q):
             continue
@@ -202,14 +224,24 @@ def _votes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         cos, sin = np.cos(2 * np.pi * turn) * scale, np.sin(2 * np.pi * turn) * scale
         qx, qy, mx, my = (c.astype(float) for c in (q["x"], q["y"], m["x"], m["y"]))
         dx, dy = qx - (cos * mx - sin * my), qy - (sin * mx + cos * my)
-        for shift in (0.0, 0.5):
-            cell = [np.floor(dx / SHIFT_STEP + shift), np.floor(dy / SHIFT_STEP + shift), np.floor(turn * TURNS + shift) % TURNS, np.rint(np.log2(scale) * 4)]
-            rows = np.empty(len(q), _VOTE)
-            rows["query"], rows["match"], rows["corner"] = q["id"], m["id"], q["corner"]
-            rows["cell"] = ((cell[0].astype(np.int64) + (1 << 19)) << 40) | ((cell[1].astype(np.int64) + (1 << 19)) << 20) | (cell[2].astype(np.int64) << 12) | ((cell[3].astype(np.int64) + 512) << 1) | (shift > 0)
-            rows = rows[np.lexsort((rows["corner"], rows["cell"], rows["match"], rows["query"]))]
-            rows = rows[_runs(rows["query"], rows["match"], rows["cell"], rows["corner"])[0]]
-            yield _packed(_part_of(rows["query"], parts), [rows])
+        cell = [np.floor(2 * dx / SHIFT_STEP), np.floor(2 * dy / SHIFT_STEP), np.floor(2 * turn * TURNS), np.rint(np.log2(scale) * 4)]
+        out = np.empty(len(q), _VOTE)
+        out["query"], out["match"], out["corner"] = q["id"], m["id"], q["corner"]
+        out["cell"] = ((cell[0].astype(np.int64) + (1 << 20)) << 42) | ((cell[1].astype(np.int64) + (1 << 20)) << 21) | (cell[2].astype(np.int64) << 12) | (cell[3].astype(np.int64) + 512)
+        out = out[np.lexsort((out["corner"], out["cell"], out["match"], out["query"]))]
+        out = out[_runs(out["query"], out["match"], out["cell"], out["corner"])[0]]
+        yield _packed(_part_of(out["query"], parts), [out])
+
+
+def _grids(rows: np.ndarray) -> np.ndarray:
+    """Votes in half steps as votes in whole steps of two offset grids."""
+    each = []
+    for shift in (0, 1):
+        x, y, turn, scale = rows["cell"] >> 42, (rows["cell"] >> 21) & ((1 << 21) - 1), (rows["cell"] >> 12) & 511, rows["cell"] & 4095
+        own = rows.copy()
+        own["cell"] = ((x + shift) >> 1 << 42) | ((y + shift) >> 1 << 21) | ((turn + shift) >> 1) % TURNS << 13 | scale << 1 | shift
+        each.append(own)
+    return np.concatenate(each)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,15 +250,16 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, votes in zip(batch.column("part").to_pylist(), batch.column("c0").to_pylist(), strict=True):
             if held and part != at:
-                yield _agreed(np.frombuffer(b"".join(held), _VOTE))
+                yield _agreed(np.concatenate(held))
                 held = []
             at = part
-            held.append(votes)
+            held.append(_unflat(votes, _VOTE))
     if held:
-        yield _agreed(np.frombuffer(b"".join(held), _VOTE))
+        yield _agreed(np.concatenate(held))
 
 
 def _agreed(rows: np.ndarray) -> pa.RecordBatch:
+    rows = _grids(rows)
     rows = rows[np.lexsort((rows["corner"], rows["cell"], rows["match"], rows["query"]))]
     rows = rows[_runs(rows["query"], rows["match"], rows["cell"], rows["corner"])[0]]
     first, n = _runs(rows["query"], rows["match"], rows["cell"])

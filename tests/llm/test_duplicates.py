@@ -242,6 +242,26 @@ def test_edited_images_are_found(spark):
     assert {r.query_id for r in media.find_edited(v).collect()} <= {0, 20, 40, 60, 80, 100}
 
 
+def test_a_pair_of_corners_votes_once():
+    """A corner of a query and the same one of an image share all tables, each in a task of its own; one of these votes, in half steps."""
+    image = np.kron(np.random.default_rng(4).integers(0, 255, (8, 8)), np.ones((10, 10))).astype(np.float32)
+    _, chunks, place, bits = media.features(image[None])
+    votes = []
+    for table in range(media.TABLES):
+        keys, blobs = [], []
+        for query in (0, 1):
+            rows = np.zeros(1, media._ENTRY)
+            rows["id"], rows["x"], rows["y"], rows["query"], rows["bits"] = 7 + query, place[0, 0], place[0, 1], query, bits[0]
+            keys.append(np.array([chunks[0, table] + (table << media.CHUNK_BITS)]))
+            blobs.append(rows)
+        batch = media._packed(np.zeros(2, int), [np.concatenate(keys), np.concatenate(blobs)])
+        votes += [x for out in media._votes(iter([batch]), 4) for x in out.column(1).to_pylist()]
+    assert len(votes) == 1 and len(votes[0]) == media._VOTE.itemsize
+    for n in (0, 1, 9):
+        rows = np.frombuffer(np.random.default_rng(n).bytes(n * media._ENTRY.itemsize), media._ENTRY)
+        assert media._unflat(media._flat(rows), media._ENTRY).tobytes() == rows.tobytes()
+
+
 def test_images_that_are_none(spark):
     x = media.encode(np.random.default_rng(0).integers(0, 255, (60, 60)))
     m = spark.createDataFrame([(1, x), (2, x), (3, None), (4, b"P5 9"), (5, b""), (None, x), (6, media.encode(np.zeros((60, 60)))), (7, media.encode(np.zeros((3, 3))))], "id long, image binary")
