@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import per_slice
 #: Chunks are of 2^AVERAGE_BITS bytes on average, and of at least and at most so many.
 AVERAGE_BITS, LEAST, MOST = 11, 256, 16384
 #: What a task keeps: characters of chunks, beyond which it starts anew, and words, twice as many at most.
-CHUNK_CHARS, WORDS, WORD_CHARS = 12_000_000, 200_000, 32
+CHUNK_CHARS, WORDS, WORD_CHARS = 12_000_000, 400_000, 32
 BLANKS = re.compile("[ \n]")
 _WINDOW = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -72,52 +73,40 @@ def cuts(data: bytes) -> list[int]:
 
 
 class ChunkEncoder:
-    """Encodes texts as (number of tokens, ids joined by blanks, tokens joined by blanks)."""
+    """Encodes texts as (number of tokens, ids joined by blanks, tokens joined by blanks). What it keeps of words and chunks is their ids, as bytes."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
-        self.blank = False
+        self.kind = "H" if size <= 1 << 16 else "I"
+        self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.chunks: dict[str, tuple] = {}
-        self.joins: dict[str, tuple] = {}
+        self.joins: dict[str, bytes | None] = {}
         self.kept = self.reused = self.repaired = self.widened = 0
 
-    def _batch(self, pieces: list[str]) -> list[tuple[int, str, str]]:
-        out = []
-        decimal, names = self.decimal, self.names
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            ids = e.ids
-            out.append((len(ids), " ".join([decimal[i] for i in ids]), " ".join([names[i] for i in ids])))
-        return out
+    def _batch(self, pieces: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def plain(self, text: str) -> tuple[int, str, str]:
+    def plain(self, text: str) -> bytes:
         """By words: no token crosses a blank or a line end, and normalisation doesn't either."""
-        words = [w for w in text.replace("\n", " ").split(" ") if w]
-        if not words:
-            return 0, "", ""
+        words = text.replace("\n", " ").split(" ")
         have, old = self.words, self.old
-        missing = [w for w in dict.fromkeys(words) if w not in have]
-        if missing:
+        own: dict[str, bytes] = {}
+        if missing := set(words).difference(have):
             have.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in have]
-        own: dict[str, tuple[int, str, str]] = {}
-        for w, e in zip(missing, self._batch(missing) if missing else (), strict=True):
-            (have if len(w) <= WORD_CHARS else own)[w] = e
-            self.blank |= not e[0]
-        found = [have[w] if w in have else own[w] for w in words] if own else [have[w] for w in words]
-        if self.blank:  # some words have no token
-            found = [e for e in found if e[0]]
+            asked = [w for w in missing if w not in old]
+            for w, e in zip(asked, self._batch(asked) if asked else (), strict=True):
+                (have if len(w) <= WORD_CHARS else own)[w] = e
+        found = b"".join([have[w] if w in have else own[w] for w in words] if own else map(have.__getitem__, words))
         if len(have) > WORDS:  # words that stay in use are taken over from the old ones
-            self.words, self.old = {}, have
-        n, ids, tokens = zip(*found, strict=True) if found else ((), (), ())
-        return sum(n), " ".join(ids), " ".join(tokens)
+            self.words, self.old = {"": b""}, have
+        return found
 
     def chunk(self, text: str) -> tuple | None:
-        """(head, what the inside gives, tail, first word inside, last word inside, the inside); None without a blank."""
+        """(head, the ids of the inside, tail, first word inside, last word inside, the inside); None without a blank."""
         if text in self.chunks:
             self.reused += 1
             return self.chunks[text]
@@ -126,8 +115,7 @@ class ChunkEncoder:
         if first:
             a, b = first.start(), max(text.rfind(" "), text.rfind("\n"))
             inside = text[a : b + 1]
-            words = inside.replace("\n", " ").split()
-            got = (text[:a], self.plain(inside), text[b + 1 :], words[0] if words else "", words[-1] if words else "", inside)
+            got = (text[:a], self.plain(inside), text[b + 1 :], "".join(inside.split(None, 1)[:1]), "".join(inside.rsplit(None, 1)[-1:]), inside)
         if self.kept > CHUNK_CHARS:
             self.chunks.clear()
             self.joins.clear()
@@ -136,26 +124,23 @@ class ChunkEncoder:
         self.chunks[text] = got
         return got
 
-    def join(self, before: str, piece: str, after: str) -> tuple[int, str, str] | None:
+    def join(self, before: str, piece: str, after: str) -> bytes | None:
         """piece encoded between the words before and after; None if these don't come out as on their own."""
         window = f"{before} {piece} {after}"
         if window not in self.joins:
             self.repaired += 1
-            n, ids, tokens = self._batch([window])[0]
-            (a, a_ids, a_tokens), (b, b_ids, b_tokens) = self.plain(before), self.plain(after)
-            ids_, tokens_ = ids.split(" "), tokens.split(" ")
-            left, right = a_ids.split(" ") if a else [], b_ids.split(" ") if b else []
-            agree = n >= a + b and ids_[:a] == left and ids_[len(ids_) - b :] == right
-            self.joins[window] = (n - a - b, " ".join(ids_[a : n - b]), " ".join(tokens_[a : n - b])) if agree else None
+            ids, a, b = self._batch([window])[0], self.plain(before), self.plain(after)
+            end = len(ids) - len(b)
+            self.joins[window] = ids[len(a) : end] if end >= len(a) and ids.startswith(a) and ids.endswith(b) else None
             self.kept += len(window)
         return self.joins[window]
 
-    def encode(self, text: str) -> tuple[int, str, str]:
+    def ids(self, text: str) -> bytes:
         data = text.encode("utf-8", "surrogatepass")
         at = [0, *cuts(data), len(data)]
         if len(at) == 2:
             return self.plain(text)
-        parts: list[tuple[int, str, str]] = []
+        parts: list[bytes] = []
         pending, guard, last = "", "", ""
         for a, b in zip(at, at[1:], strict=False):
             piece = data[a:b].decode("utf-8", "surrogatepass")
@@ -179,8 +164,11 @@ class ChunkEncoder:
         if pending:
             joined = self.join(guard, pending, "")
             parts.append(joined if joined is not None else self.plain(pending))
-        parts = [p for p in parts if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        return b"".join(parts)
+
+    def encode(self, text: str) -> tuple[int, str, str]:
+        numbers = memoryview(self.ids(text)).cast(self.kind).tolist()
+        return len(numbers), " ".join(map(self.decimal.__getitem__, numbers)), " ".join(map(self.names.__getitem__, numbers))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -28,6 +28,15 @@ def test_bpe_equals_the_tokenizer(texts):
     assert enc.reused > 0 and enc.repaired > 0
 
 
+def test_kept_tokens_are_small():
+    """What is kept of a word's and a chunk's tokens is numbers of two bytes, not texts."""
+    enc = bpe.ChunkEncoder(bpe.default_tokenizer())
+    text = " ".join(f"lorem{i}, ipsum{i}." for i in range(2000))
+    n = enc.encode(text)[0]
+    assert enc.plain(text) == b"".join(enc.words[w] for w in text.split(" ")) and len(enc.plain(text)) == 2 * n
+    assert all(isinstance(c[1], bytes) for c in enc.chunks.values()) and len(enc.chunks) > 3
+
+
 def test_bpe_of_odd_rows(odd, none):
     rows = bpe.encode(odd).collect()
     want = sorted((r.doc_id if r.doc_id is not None else -1, *reference(r.text or "")) for r in odd.collect())
