@@ -20,6 +20,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ WORD = re.compile(r"[^\W\d_]+")
 FILLER = bytes(range(64))
 #: Stands behind single words: zstandard begins no match in the last eight bytes, so a short word would not be looked for.
 TAIL = FILLER[48:] + FILLER[:16]
+#: Words that a worker keeps from task to task: the first ones that it met, among which the common ones are.
+KEPT_WORDS = 100_000
 _CACHE_WORDS, _LONGEST_WORD = 400_000, 32
 
 
@@ -129,24 +132,25 @@ def squeezed(dictionary: bytes) -> bytes:
     return re.sub(rb" +", b" ", dictionary)
 
 
-class WordSavings:
-    """By how many bytes a word is shorter with the second dictionary than with the first."""
+class WordSavings(dict):
+    """By how many bytes a word is shorter with the second dictionary than with the first. What was found is kept, so that most words are one look-up."""
 
     def __init__(self, first: bytes, second: bytes):
+        super().__init__()
         self.pair = [Compressors.fine(first + FILLER), Compressors.fine(second + FILLER)]
-        self.known: dict[str, int] = {}
 
-    def __call__(self, w: str) -> int:
-        got = self.known.get(w)
-        if got is None:
-            data = FILLER + f" {w} ".encode("utf-8", "surrogatepass") + TAIL
-            got = len(self.pair[0](data)) - len(self.pair[1](data))
-            if len(w) <= _LONGEST_WORD:
-                if len(self.known) > _CACHE_WORDS:
-                    self.known.clear()
-                self.known[w] = got
+    def __missing__(self, w: str) -> int:
+        data = FILLER + f" {w} ".encode("utf-8", "surrogatepass") + TAIL
+        got = len(self.pair[0](data)) - len(self.pair[1](data))
+        if len(w) <= _LONGEST_WORD:
+            if len(self) > _CACHE_WORDS:
+                self.clear()
+            self[w] = got
         return got
 
+    def __call__(self, w: str) -> int:
+        return self[w]
+
 
 class Compressors:
     def __init__(self, ordinary_words: bytes, ordinary: bytes, toxic: bytes):
@@ -172,7 +176,7 @@ class Compressors:
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
-        d = np.array([self.saved(w) for w in WORD.findall(low)] or [0], dtype=np.int32)
+        d = np.array(list(map(self.saved.__getitem__, WORD.findall(low))) or [0], dtype=np.int32)
         a, b = self.context
         c = np.array([len(a(x)) - len(b(x)) for x in context_windows(low)] or [0], dtype=np.int32)
         share = lambda x, k: math.sqrt(np.count_nonzero(x >= k) / len(x))
@@ -274,9 +278,11 @@ def _compressors(model: Model) -> Compressors:
 
 
 def forget() -> None:
-    """Drops what words were found to save; the next stage's tasks run in the same workers."""
+    """Drops most of what words were found to save; the next stage's tasks run in the same workers."""
     for _, c in _LOADED.values():
-        c.saved.known.clear()
+        kept = dict(islice(c.saved.items(), KEPT_WORDS))
+        c.saved.clear()
+        c.saved.update(kept)
 
 
 def scores(model: Model | None, texts: list[str]) -> np.ndarray:

@@ -278,6 +278,17 @@ def test_short_words_are_matched():
     assert saved("moron") >= 2 and saved("grobnik") > saved("moron") and saved("lorem") == 0
 
 
+def test_words_are_kept_from_task_to_task(monkeypatch):
+    """The first words that a worker met, which are the common ones, aren't compressed anew by its next task; the others are dropped."""
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 2)
+    c = toxicity.Compressors(b"lorem ipsum dolor", b"lorem ipsum dolor sit amet", b" grobnik ")
+    monkeypatch.setattr(toxicity, "_LOADED", {1: (None, c)})
+    first = c.features("lorem ipsum grobnik sit lorem")
+    toxicity.forget()
+    assert list(c.saved) == ["lorem", "ipsum"]
+    assert c.features("lorem ipsum grobnik sit lorem") == first
+
+
 def test_what_one_text_alone_has_is_not_toxic():
     rows = [("alpha beta gamma delta " * 5, 0)] * 20 + [(f"alpha beta zonkers unique{'xyzwvutsrq'[k]}thing", 1) for k in range(10)]
     found = b" ".join(toxicity.toxic_windows([t for t, y in rows if y], toxicity.of_words([t for t, y in rows if not y])))
