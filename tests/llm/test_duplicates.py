@@ -152,6 +152,24 @@ def test_segments_keep_every_link():
     assert linked > 150
 
 
+def test_few_texts_are_dealt_out_that_are_not_wanted(spark, monkeypatch):
+    """Of all rows the wanted ones go on, and those whose bit they share; a small map lets more of them go on and loses none."""
+    docs = spark.range(20_000).select(F.xxhash64("id").alias("row"), F.lit("x").alias("text"))
+    wanted = spark.range(0, 20_000, 200).select(F.xxhash64("id").alias("row"))
+    for words, most in ((ngram_join.MAP_WORDS, 110), (16, 5000), (1, 20_000)):
+        monkeypatch.setattr(ngram_join, "MAP_WORDS", words)
+        got = ngram_join._perhaps(docs, wanted)
+        assert got.columns == ["row", "text"]
+        assert 100 <= got.count() <= most and got.join(wanted, "row").count() == 100
+
+
+def test_sets_of_repeated_rows_come_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m"), (3, "n o p q r s")], "row long, text string")
+    handles = [(ngram_join.set_hash(s), r) for s, r in zip(ngram_join.sets(["a b c d e f g", "h i j k l m"]), (1, 2), strict=True)]
+    got = ngram_join._elements(docs, spark.createDataFrame(handles, "handle binary, row long")).collect()
+    assert sorted((bytes(r.handle), len(r.elements) // 8, int.from_bytes(r.wide[:8], "little")) for r in got) == sorted((h, n, n) for (h, _), n in zip(handles, (3, 2), strict=True))
+
+
 def test_wide_sketches():
     rng = np.random.default_rng(5)
     for n, m in ((1, 1), (3, 2), (64, 65), (128, 129), (900, 1100), (5000, 4100)):
