@@ -363,3 +363,39 @@ def test_stages_of_odd_and_empty_tables(spark, odd, none, tmp_path):
             assert out == []
         else:  # one of the two equal rows goes, and the leak
             assert sorted(-1 if r.doc_id is None else r.doc_id for r in out) == [-1, 1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_bytes_of_keys_do_not_grow_with_the_parts(spark, monkeypatch):
+    rng = random.Random(17)
+    texts = [" ".join(str(rng.randrange(10_000)) for _ in range(150)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    gathered, size = ngram_join._gathered, {}
+    for part_bytes in (200_000, 2000):
+        sent = []
+
+        def spy(rows, sent=sent):
+            if not sent:
+                sent.append(rows.agg(F.sum(F.coalesce(F.length("entries"), F.lit(0)) + F.coalesce(F.length("rows"), F.lit(0)))).first()[0])
+            return gathered(rows)
+
+        monkeypatch.setattr(ngram_join, "_gathered", spy)
+        monkeypatch.setattr(ngram_join, "PART_BYTES", part_bytes)
+        assert ngram_join.join(docs).where("doc_id = component_id").count() == len(texts)
+        size[part_bytes] = sent[0]
+    assert size[2000] < 1.1 * size[200_000]
+
+
+def test_sets_are_joined_whatever_the_map_and_the_chunks(spark, odd, monkeypatch):
+    rng = random.Random(18)
+    base = [[str(rng.randrange(1000)) for _ in range(60)] for _ in range(12)]
+    texts = [" ".join([*b[:-1], str(k)] if k % 2 else b) for b in base for k in range(6)]
+    rows = [(i % 60, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, kept = tup(ngram_join.join(docs), "doc_id", "n_shingles", "component_id"), tup(ngram_join.representatives(docs), "doc_id", "text")
+    left = tup(suffix_dedup.report(odd), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert (len({c for *_, c in want}), len(kept)) == (10, 12)  # documents of the last two families have ids of the first two
+    monkeypatch.setattr(ngram_join, "MAP_WORDS", 1)
+    monkeypatch.setattr(ngram_join, "CHUNK_KEYS", 1)
+    assert tup(ngram_join.join(docs), "doc_id", "n_shingles", "component_id") == want
+    assert tup(ngram_join.representatives(docs), "doc_id", "text") == kept
+    assert tup(suffix_dedup.report(odd), "n_bytes", "n_removed", "n_spans", "kept_sha256") == left
