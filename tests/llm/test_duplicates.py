@@ -399,3 +399,20 @@ def test_sets_are_joined_whatever_the_map_and_the_chunks(spark, odd, monkeypatch
     assert tup(ngram_join.join(docs), "doc_id", "n_shingles", "component_id") == want
     assert tup(ngram_join.representatives(docs), "doc_id", "text") == kept
     assert tup(suffix_dedup.report(odd), "n_bytes", "n_removed", "n_spans", "kept_sha256") == left
+
+
+def test_contexts_without_another_are_left_out(spark, monkeypatch):
+    rng = random.Random(19)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = make(600)
+    docs = spark.createDataFrame([(i, make(3000) + (passage if i < 2 else "")) for i in range(30)], "doc_id long, text string")
+    rows, settle = {}, suffix_dedup.settle
+
+    def spy(df, name="settled"):
+        out = settle(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "settle", spy)
+    assert {r.doc_id for r in suffix_dedup.report(docs).where("n_removed >= 600").collect()} == {0, 1}
+    assert 0 < rows["shared-contexts"] < rows["contexts"] / 10
