@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratagraph.operators import align, community, correlation, paths
@@ -93,6 +95,26 @@ def test_communities_of_many_components(spark, monkeypatch):
     assert {tuple(r) for r in community.communities(df, "g", "a", "b", "w").collect()} == want
 
 
+def test_communities_of_one_large_component(spark, monkeypatch):
+    """A task gets batches and holds nodes and a chunk of edges, not its component."""
+    monkeypatch.setattr(community, "CHUNK", 5000)
+    a, b = np.triu_indices(900, 1)
+    w = np.where(a // 300 == b // 300, 5.0, 1.0)
+    rows = [pa.RecordBatch.from_pydict({"bin": np.zeros(len(x), int), "of": np.zeros(len(x), int), "a": a[x], "b": b[x], "w": w[x], "two_m": np.full(len(x), 2 * w.sum())}) for x in np.array_split(np.arange(len(a)), 80)]
+    tracemalloc.start()
+    found = [tuple(r.values()) for x in community._clustered(3)(iter(rows)) for r in x.to_pylist()]
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found == [(n, n // 300 * 300, 300) for n in range(900)] and most < 8 * len(a)
+    node, label = community.modularity_communities(a, b, w)
+    assert node.tolist() == list(range(900)) and label.tolist() == [n // 300 for n in range(900)]
+    df = spark.createDataFrame([("x", i, j, 1.0) for j in range(5) for i in range(j)], "g string, a int, b int, w double")
+    settle, plans = community.settle, []
+    monkeypatch.setattr(community, "settle", lambda df, *name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settle(df, *name))[1])
+    assert community.communities(df, "g", "a", "b", "w").count() == 5
+    assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroups" in p for p in plans)
+
+
 def test_votes_are_by_node(spark, monkeypatch):
     """The edges that each round reads are written by node."""
     plans, settle = [], community.settle
