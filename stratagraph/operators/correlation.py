@@ -18,6 +18,8 @@ TILES = 8
 #: Bytes of values in a block, at most, where a tile has fewer.
 BLOCK_BYTES = 64 << 20
 DIGITS = 10
+#: More than rounding to DIGITS changes.
+SLACK = 1e-9
 
 
 def standardised(df: DataFrame, entity: str, sample: str, value: str, least_samples: int = 3, by: list[str] = []) -> DataFrame:
@@ -59,23 +61,45 @@ def _block(table: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
 def _pairs(a: np.ndarray, b: np.ndarray, same: bool, pa_: np.ndarray, pb: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(own, other, r) of two blocks whose rows have the places pa_ and pb, tile by tile: each pair once or, with k, the k strongest others of each place of either side."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # with k, the k-th strongest of each place so far: what is weaker for both of its places is among no k strongest
+    weakest = np.full(len(pa_) if same else len(pa_) + len(pb), threshold)
+    held, new = 0, 0
+    tile, size, above = (np.empty(min(BLOCK, len(a)) * min(BLOCK, len(b)), kind) for kind in (float, float, bool))
     for i in range(0, len(a), BLOCK):
         for j in range(i if same else 0, len(b), BLOCK):
-            r = np.round(a[i : i + BLOCK] @ b[j : j + BLOCK].T, DIGITS)
-            strong = np.abs(r)
+            x, y = a[i : i + BLOCK], b[j : j + BLOCK]
+            r = np.matmul(x, y.T, out=tile[: len(x) * len(y)].reshape(len(x), len(y)))
+            strong = np.abs(r, out=size[: r.size].reshape(r.shape))
             if same and i == j:
                 strong[np.tril_indices(len(r))] = -1.0
-            hit = strong >= threshold
-            if k:
-                # what is weaker than k others of its row, and than k of its column, is among no k strongest
-                rows = np.partition(strong, -k, axis=1)[:, -k, None] if strong.shape[1] > k and not (same and i == j) else -1.0
-                columns = np.partition(strong, -k, axis=0)[None, -k] if strong.shape[0] > k and not (same and i == j) else -1.0
-                hit &= (strong >= rows) | (strong >= columns)
-            x, y = np.nonzero(hit)
-            own, other, value = pa_[i + x], pb[j + y], r[x, y]
-            found.append(_kept(np.concatenate([own, other]), np.concatenate([other, own]), np.concatenate([value, value]), k) if k else (own, other, value))
-        if k:
-            found = [_kept(*(np.concatenate(c) for c in zip(*found, strict=True)), k)]
+            rows, columns = weakest[pa_[i : i + BLOCK]], weakest[pb[j : j + BLOCK]]
+            if k and not (same and i == j):
+                # where few are known yet, a place's k-th strongest of this tile
+                if strong.shape[1] > k and (few := rows <= threshold).any():
+                    rows[few] = np.fmax(threshold, np.partition(strong[few], -k, axis=1)[:, -k])
+                if strong.shape[0] > k and (few := columns <= threshold).any():
+                    columns[few] = np.fmax(threshold, np.partition(np.ascontiguousarray(strong.T[few]), -k, axis=1)[:, -k])
+            # a rounded r may be as strong as a limit that r is below by half a digit
+            if not k:
+                x, y = np.divmod(np.flatnonzero(strong >= threshold - SLACK), strong.shape[1])
+                value = np.round(r[x, y], DIGITS)
+                enough = np.abs(value) >= threshold
+                found.append((pa_[i + x[enough]], pb[j + y[enough]], value[enough]))
+                continue
+            for limit, turned in ((rows[:, None], False), (columns[None], True)):
+                x, y = np.divmod(np.flatnonzero(np.greater_equal(strong, limit - SLACK, out=above[: r.size].reshape(r.shape))), strong.shape[1])
+                value = np.round(r[x, y], DIGITS)
+                enough = np.abs(value) >= threshold
+                own, other, value = pa_[i + x[enough]], pb[j + y[enough]], value[enough]
+                found.append((other, own, value) if turned else (own, other, value))
+                new += len(own)
+            if new > held // 4:
+                found = [_kept(*(np.concatenate(c) for c in zip(*found, strict=True)), k)]
+                at, first, n = np.unique(found[0][0], return_index=True, return_counts=True)  # sorted by place, strongest first
+                weakest[at[n == k]] = np.abs(found[0][2][first[n == k] + k - 1])
+                held, new = len(found[0][0]), 0
+    if k and found:
+        found = [_kept(*(np.concatenate(c) for c in zip(*found, strict=True)), k)]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))

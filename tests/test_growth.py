@@ -187,3 +187,28 @@ def test_blocks_of_many_tiles(spark, monkeypatch):
         monkeypatch.setattr(correlation, "TILES", 8)
         rows[block] = [sorted(tuple(r) for r in correlation.correlation_edges(df, "e", "s", "v", 0.5, k, mode).collect()) for k, mode in ((0, "either"), (4, "either"), (4, "mutual"))]
     assert rows[5] == rows[2000] and all(rows[5])
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_are_cut_by_what_is_known(monkeypatch, same):
+    """Only tiles of places of which fewer than k partners are known are partitioned; with ties, the pairs are those of ranking all."""
+    monkeypatch.setattr(correlation, "BLOCK", 40)
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: (sizes.append(x.size), partition(x, *a, **k))[1])
+    z = np.round(np.random.default_rng(6).normal(size=(800, 5)))
+    z -= z.mean(1, keepdims=True)
+    z = z[(z != 0).any(1)]
+    z /= np.sqrt((z * z).sum(1, keepdims=True))
+    a, b = (z, z) if same else (z[:390], z[390:])
+    order = np.random.default_rng(8).permutation(len(z))
+    pa_, pb = (np.arange(len(z)),) * 2 if same else (np.sort(order[:390]), np.sort(order[390:]))
+    r = np.round(a @ b.T, correlation.DIGITS)
+    x, y = np.nonzero(np.triu(np.ones(r.shape, bool), 1) if same else np.ones(r.shape, bool))
+    keep = np.abs(r[x, y]) >= 0.6
+    x, y = x[keep], y[keep]
+    sides = np.concatenate([pa_[x], pb[y]]), np.concatenate([pb[y], pa_[x]]), np.tile(r[x, y], 2)
+    want = correlation._kept(*sides, 5)
+    got = correlation._pairs(a, b, same, pa_, pb, 0.6, 5)
+    rows = [sorted(zip(*(c.tolist() for c in v), strict=True)) for v in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 3000
+    assert sum(sizes) < 0.8 * r.size
