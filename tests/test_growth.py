@@ -179,7 +179,7 @@ def test_seeds_with_enough_paths_stop(spark, monkeypatch):
     assert max(sizes) < 420 * 420 + 10
 
 
-@pytest.mark.parametrize("search", ["bounded_paths"])
+@pytest.mark.parametrize("search", ["bounded_paths", "bounded_distances"])
 def test_shuffles_of_levels_go(spark, search):
     """What the levels before have shuffled isn't on disk any more."""
     folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
