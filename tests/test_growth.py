@@ -180,21 +180,18 @@ def test_seeds_with_enough_paths_stop(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("search", ["bounded_paths", "bounded_distances"])
-def test_shuffles_of_levels_go(spark, search):
-    """What the levels before have shuffled isn't on disk any more."""
+def test_shuffles_of_levels_go(spark, monkeypatch, search):
+    """After each level that is written out, what it has shuffled is let go; then it isn't on disk any more."""
+    calls, forget, settle = [], paths.forget_shuffles, paths.settle
+    monkeypatch.setattr(paths, "settle", lambda df, *name: (calls.append("settle"), settle(df, *name))[1])
+    monkeypatch.setattr(paths, "forget_shuffles", lambda s: (calls.append("forget"), forget(s))[1])
+    edges = spark.createDataFrame([("s", str(i), str(i + k), "r") for i in range(60) for k in (1, 2)], "strain string, src string, dst string, relation string")
+    seeds = spark.createDataFrame([("s", str(i), str(i)) for i in range(0, 60, 3)], "strain string, seed string, node string")
+    getattr(paths, search)(paths.entity_graph(edges), seeds, 4)
+    assert calls.count("forget") == 5 and calls[-8:] == ["settle", "forget"] * 4
     folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
-
-    def shuffled():
-        return {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
-
-    before = shuffled()
-    edges = spark.createDataFrame([("s", i, i + k, "r") for i in range(60) for k in (1, 2)], "strain string, src int, dst int, relation string")
-    seeds = spark.createDataFrame([("s", i, i) for i in range(0, 60, 3)], "strain string, seed int, node int")
-    if search == "bounded_paths":
-        edges, seeds = (df.withColumns({c: df[c].cast("string") for c in df.columns}) for df in (edges, seeds))
-    assert getattr(paths, search)(paths.entity_graph(edges), seeds, 5).limit(1).schema
     for _ in range(40):
-        left = {f.split("_")[1] for f in shuffled() - before}
+        left = {f.split("_")[1] for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
         if len(left) <= 3:
             break
         time.sleep(0.25)
